@@ -1,19 +1,16 @@
-"""Text forms of statistics and ages."""
+"""Text forms of statistics and ages, as SQL expression text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
 
-
-def percent_text(value: Column) -> Column:
+def percent_text(value: str) -> str:
     """A fraction as percent with one decimal; a dash for null."""
-    return F.when(value.isNull(), F.lit("—")).otherwise(F.format_string("%.1f%%", value * 100))
+    return f"if({value} IS NULL, '—', format_string('%.1f%%', {value} * 100))"
 
 
-def age_text(age_ms: Column) -> Column:
+def age_text(age_ms: str) -> str:
     """'future' below zero, milliseconds below a second, else seconds with one decimal."""
     return (
-        F.when(age_ms < 0, F.lit("future"))
-        .when(age_ms < 1000, F.concat(age_ms.cast("string"), F.lit("ms")))
-        .otherwise(F.format_string("%.1fs", age_ms / 1000))
+        f"CASE WHEN {age_ms} < 0 THEN 'future' WHEN {age_ms} < 1000 THEN concat({age_ms}, 'ms') "
+        f"ELSE format_string('%.1fs', {age_ms} / 1000) END"
     )

@@ -1,9 +1,7 @@
-"""Sigma-threshold counts and their interpolation."""
+"""Sigma-threshold counts and their interpolation, as SQL expression text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 from livetick.schema import DEFAULT_THRESHOLDS
 
 # A sample on the cutoff is not counted. Sums in a distributed job depend on the
@@ -11,58 +9,56 @@ from livetick.schema import DEFAULT_THRESHOLDS
 CUTOFF_TOLERANCE = 1e-9
 
 
-def beyond(value: Column, avg: Column, sd: Column, threshold, side: str,
-           tolerance: float = CUTOFF_TOLERANCE) -> Column:
-    """Whether a sample lies strictly more than threshold * sd above (or below) the mean."""
-    diff = value - avg if side == "above" else avg - value
-    slack = F.lit(tolerance) * (F.abs(avg) + sd)
-    return diff > threshold * sd + slack
+def threshold_array(thresholds: tuple[float, ...] | None = None) -> str:
+    """The configured thresholds as a literal array; the defaults when none are known yet."""
+    return "array(" + ", ".join(f"{float(t)!r}D" for t in (thresholds or DEFAULT_THRESHOLDS)) + ")"
+
+
+def beyond(value: str, avg: str, sd: str, threshold: float, side: str,
+           tolerance: float = CUTOFF_TOLERANCE) -> str:
+    """Whether a sample lies strictly more than threshold * sd above (or below) the mean; false without one."""
+    diff = f"{value} - {avg}" if side == "above" else f"{avg} - {value}"
+    slack = f"{tolerance!r}D * (abs({avg}) + {sd})"
+    return f"coalesce({diff} > {float(threshold)!r}D * {sd} + {slack}, false)"
 
 
-def sigma_counts(samples: Column, avg: Column, sd: Column, side: str,
-                 thresholds: tuple[float, ...] = DEFAULT_THRESHOLDS) -> Column:
-    """Per threshold, how many samples lie beyond it; all zero without a baseline."""
-    return F.array(*[
-        F.coalesce(
-            F.size(F.filter(samples, lambda x: F.coalesce(beyond(x, avg, sd, F.lit(t), side), F.lit(False)))),
-            F.lit(0),
-        ).cast("bigint")
+def sigma_counts(samples: str, avg: str, sd: str, side: str,
+                 thresholds: tuple[float, ...] = DEFAULT_THRESHOLDS) -> str:
+    """Per threshold, how many samples of an array lie beyond it; all zero without a baseline."""
+    return "array(" + ", ".join(
+        f"cast(greatest(0, size(filter({samples}, x -> {beyond('x', avg, sd, t, side)}))) AS bigint)"
         for t in thresholds
-    ])
+    ) + ")"
 
 
-def count_at_sigma(counts: Column, sigma: Column | float, thresholds: Column, log: bool = False) -> Column:
+def count_at_sigma(counts: str, sigma: str | float, thresholds: str | None = None, log: bool = False) -> str:
     """The count at any sigma, interpolated between the ascending thresholds.
 
     Clamped to the end counts; 0 for empty or unequal arrays. ``log`` interpolates
     the logarithm of the counts where both are positive.
     """
-    sigma = F.lit(sigma) if not isinstance(sigma, Column) else sigma
-    size = F.size(thresholds)
-    below = F.size(F.filter(thresholds, lambda t: t < sigma))
-    lo_t, hi_t = F.get(thresholds, below - 1), F.get(thresholds, below)
-    lo_c = F.get(counts, below - 1).cast("double")
-    hi_c = F.get(counts, below).cast("double")
-    span = hi_t - lo_t
-    part = F.when(span == 0, F.lit(0.0)).otherwise((sigma - lo_t) / span)
-    between = lo_c + (hi_c - lo_c) * part
+    at = thresholds or threshold_array()
+    sigma = f"{float(sigma)!r}D" if not isinstance(sigma, str) else sigma
+    below = f"size(filter({at}, t -> t < {sigma}))"
+    lo_t, hi_t = f"get({at}, {below} - 1)", f"get({at}, {below})"
+    lo, hi = f"get({counts}, {below} - 1)", f"get({counts}, {below})"
+    part = f"if({hi_t} = {lo_t}, 0D, ({sigma} - {lo_t}) / nullif({hi_t} - {lo_t}, 0D))"
+    between = f"{lo} + ({hi} - {lo}) * {part}"
     if log:
-        curved = F.exp(F.ln(lo_c) + (F.ln(hi_c) - F.ln(lo_c)) * part)
-        between = F.when((lo_c > 0) & (hi_c > 0), curved).otherwise(between)
-    return (
-        F.when(F.coalesce(size, F.lit(0)) == 0, F.lit(0.0))
-        .when(F.coalesce(F.size(counts), F.lit(0)) != size, F.lit(0.0))
-        .when(below == 0, F.get(counts, F.lit(0)).cast("double"))
-        .when(below == size, F.get(counts, size - 1).cast("double"))
-        .otherwise(between)
-    )
-
-
-def dot_radius(count: Column) -> Column:
+        curved = f"exp(ln({lo}) + (ln({hi}) - ln({lo})) * {part})"
+        between = f"if({lo} > 0 AND {hi} > 0, {curved}, {between})"
+    return f"""cast(CASE
+        WHEN coalesce(size({at}), 0) <= 0 OR coalesce(size({counts}), -1) <> size({at}) THEN 0D
+        WHEN {below} = 0 THEN get({counts}, 0)
+        WHEN {below} = size({at}) THEN get({counts}, size({at}) - 1)
+        ELSE {between} END AS double)"""
+
+
+def dot_radius(count: str) -> str:
     """Dot size: 1.5 + 1.5 * log10(count + 1), kept within 1.5 and 8."""
-    return F.greatest(F.lit(1.5), F.least(F.lit(8.0), 1.5 + 1.5 * F.log10(count + 1)))
+    return f"greatest(1.5D, least(8D, 1.5D + 1.5D * log10({count} + 1)))"
 
 
-def dot_opacity(count: Column) -> Column:
+def dot_opacity(count: str) -> str:
     """Dot opacity: 0.4 + 0.15 * log10(count + 1), at most 0.95."""
-    return F.least(F.lit(0.95), 0.4 + 0.15 * F.log10(count + 1))
+    return f"least(0.95D, 0.4D + 0.15D * log10({count} + 1))"

@@ -1,11 +1,9 @@
-"""Epoch arithmetic on microsecond columns."""
+"""Durations and epoch arithmetic on microsecond columns, as SQL expression text."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, functions as F
-
 _UNITS = {"us": 1, "ms": 1_000, "s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000}
 
 
@@ -19,15 +17,20 @@ def duration_us(text: str | int) -> int:
     return int(match.group(1)) * _UNITS[match.group(2)]
 
 
-def micros(ts: Column) -> Column:
-    """Epoch microseconds of a timestamp column (NTZ is read as UTC)."""
-    return F.unix_micros(ts.cast("timestamp"))
+def micros(ts: str) -> str:
+    """Epoch microseconds of a timestamp (NTZ is read as UTC)."""
+    return f"unix_micros(cast({ts} AS timestamp))"
 
 
-def floor_div(col: Column, step: int) -> Column:
+def grid(col: str, step: int) -> str:
     """Grid index floor(col / step) in integer arithmetic, right below zero as well."""
-    return F.call_function("div", col - F.pmod(col, F.lit(step)), F.lit(step))
+    return f"(({col} - pmod({col}, {step}L)) div {step}L)"
+
+
+def grid_start(col: str, step: int) -> str:
+    """Start of the grid cell that holds col."""
+    return f"({col} - pmod({col}, {step}L))"
 
 
-def to_ms(us: Column) -> Column:
-    return floor_div(us, 1_000)
+def to_ms(us: str) -> str:
+    return grid(us, 1_000)

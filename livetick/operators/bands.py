@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from livetick.functions.sigma import count_at_sigma, dot_opacity, dot_radius
-from livetick.functions.timecols import duration_us, floor_div
-from livetick.schema import DEFAULT_THRESHOLDS
-
-
-def threshold_array(thresholds: tuple[float, ...] | None) -> Column:
-    """The configured thresholds as a literal array; the defaults when none are known yet."""
-    return F.array(*[F.lit(float(t)) for t in (thresholds or DEFAULT_THRESHOLDS)])
+from livetick.functions.sigma import count_at_sigma, dot_opacity, dot_radius, threshold_array
+from livetick.functions.timecols import duration_us, grid_start
 
 
 def gated(ticks: DataFrame, sigma: float, min_samples: int) -> DataFrame:
     """Band edges avg +- sigma * sd; null (a gap, the row stays) below ``min_samples``."""
-    open_gate = (F.col("cpu_n") >= min_samples) & F.col("cpu_avg").isNotNull()
-    avg = F.when(open_gate, F.col("cpu_avg"))
-    return ticks.withColumns({
-        "smooth": avg,
-        "upper": avg + sigma * F.col("cpu_sd"),
-        "lower": avg - sigma * F.col("cpu_sd"),
-    })
+    avg = f"if(cpu_n >= {min_samples}, cpu_avg, NULL)"
+    return ticks.selectExpr(
+        "*", f"{avg} AS smooth", f"{avg} + {float(sigma)!r}D * cpu_sd AS upper",
+        f"{avg} - {float(sigma)!r}D * cpu_sd AS lower",
+    )
 
 
 def drawable_hosts(rows: DataFrame, at_least: int = 2) -> DataFrame:
@@ -32,9 +24,7 @@ def drawable_hosts(rows: DataFrame, at_least: int = 2) -> DataFrame:
 
 def bands(ticks: DataFrame, sigma: float, min_samples: int = 30) -> DataFrame:
     rows = gated(ticks, sigma, min_samples)
-    return rows.join(drawable_hosts(ticks), "host", "left_semi").select(
-        "ts_us", "host", "smooth", "upper", "lower",
-    )
+    return rows.join(drawable_hosts(ticks), "host", "left_semi").select("ts_us", "host", "smooth", "upper", "lower")
 
 
 def anomaly_dots(ticks: DataFrame, sigma: float, min_samples: int = 30,
@@ -42,38 +32,31 @@ def anomaly_dots(ticks: DataFrame, sigma: float, min_samples: int = 30,
     """A dot on a band edge wherever the interpolated count reaches one."""
     at = threshold_array(thresholds)
     rows = gated(ticks, sigma, min_samples).join(drawable_hosts(ticks), "host", "left_semi")
-    sides = F.inline(F.array(*[
-        F.struct(
-            F.lit(side).alias("side"), F.col(edge).alias("value"),
-            count_at_sigma(F.col(f"anomalies_{side}"), sigma, at).alias("n_at_sigma"),
-        )
+    sides = ", ".join(
+        f"struct('{side}' AS side, {edge} AS value, {count_at_sigma(f'anomalies_{side}', sigma, at)} AS n_at_sigma)"
         for side, edge in (("above", "upper"), ("below", "lower"))
-    ]))
-    dots = rows.select("ts_us", "host", sides).filter("n_at_sigma >= 1 AND value IS NOT NULL")
-    return dots.withColumns({
-        "radius": dot_radius(F.col("n_at_sigma")), "opacity": dot_opacity(F.col("n_at_sigma")),
-    })
+    )
+    dots = rows.selectExpr("ts_us", "host", f"inline(array({sides}))")
+    return dots.filter("n_at_sigma >= 1 AND value IS NOT NULL").selectExpr(
+        "*", f"{dot_radius('n_at_sigma')} AS radius", f"{dot_opacity('n_at_sigma')} AS opacity",
+    )
 
 
 def with_density(ticks: DataFrame, sigma: float, thresholds: tuple[float, ...] | None = None,
                  log: bool = False) -> DataFrame:
     """Interpolated counts above and below at sigma, for every tick."""
     at = threshold_array(thresholds)
-    return ticks.withColumns({
-        f"{side}_at_sigma": count_at_sigma(F.col(f"anomalies_{side}"), sigma, at, log=log)
-        for side in ("above", "below")
-    })
+    return ticks.selectExpr("*", *[
+        f"{count_at_sigma(f'anomalies_{side}', sigma, at, log=log)} AS {side}_at_sigma" for side in ("above", "below")
+    ])
 
 
 def anomaly_density(ticks: DataFrame, sigma: float, step: str | int) -> DataFrame:
     """Per host and bucket: interpolated anomalies, samples, and the anomalous share of the samples."""
-    width = duration_us(step)
-    return with_density(ticks, sigma).groupBy(
-        "host", (floor_div(F.col("ts_us"), width) * width).alias("bucket_us"),
-    ).agg(
-        F.sum(F.col("above_at_sigma") + F.col("below_at_sigma")).alias("anomalies"),
-        F.sum("n_current").alias("samples"),
-    ).withColumn("fraction", F.when(F.col("samples") > 0, F.col("anomalies") / F.col("samples")))
+    bucket = F.expr(f"{grid_start('ts_us', duration_us(step))} AS bucket_us")
+    return with_density(ticks, sigma).groupBy("host", bucket).agg(
+        F.expr("sum(above_at_sigma + below_at_sigma) AS anomalies"), F.sum("n_current").alias("samples"),
+    ).selectExpr("*", "if(samples > 0, anomalies / samples, NULL) AS fraction")
 
 
 def anomaly_feed(ticks: DataFrame, sigma: float, n: int = 20) -> DataFrame:
@@ -92,13 +75,10 @@ def wide_by_time(rows: DataFrame, hosts: list[str], columns: list[str]) -> DataF
 def axis_domain(rows: DataFrame, columns: list[str], y_min: float | None = None,
                 y_max: float | None = None) -> DataFrame:
     """Padded value axis over all columns: 10 % of the span, or a fallback for a flat line."""
-    edge = rows.agg(
-        F.min(F.least(*columns)).alias("lo"), F.max(F.greatest(*columns)).alias("hi"),
-    )
-    span = (F.col("hi") - F.col("lo")) * 0.1
-    pad = F.when(span != 0, span).otherwise(F.greatest(F.lit(0.05), F.col("hi") * 0.1))
-    return edge.select(
+    edge = rows.agg(F.min(F.least(*columns)).alias("lo"), F.max(F.greatest(*columns)).alias("hi"))
+    pad = "if(hi - lo <> 0, (hi - lo) * 0.1D, greatest(0.05D, hi * 0.1D))"
+    return edge.selectExpr(
         "lo", "hi",
-        (F.lit(y_min) if y_min is not None else F.greatest(F.lit(0.0), F.col("lo") - pad)).alias("y_min"),
-        (F.lit(y_max) if y_max is not None else F.col("hi") + pad).alias("y_max"),
+        f"{float(y_min)!r}D AS y_min" if y_min is not None else f"greatest(0D, lo - {pad}) AS y_min",
+        f"{float(y_max)!r}D AS y_max" if y_max is not None else f"hi + {pad} AS y_max",
     )

@@ -9,22 +9,10 @@ events at one instant gather in a task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame
 
-from livetick.functions.timecols import duration_us, floor_div
-from livetick.operators.sliding import deviation, merge_two, sliding_moments
-
-
-def _merge_pair(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
-    """Moments of the union of part a (never empty) and part b (null when empty)."""
-    nb = F.coalesce(b["n"], F.lit(0))
-    n = a["n"] + nb
-    gap = F.coalesce(b["mean"], a["mean"]) - a["mean"]
-    return {
-        "n": n,
-        "mean": a["mean"] + gap * nb / n,
-        "m2": a["m2"] + F.coalesce(b["m2"], F.lit(0.0)) + gap * gap * a["n"] * nb / n,
-    }
+from livetick.functions.timecols import duration_us, grid
+from livetick.operators.sliding import deviation, merge_two, moments_by, sliding_moments
 
 
 def trailing_moments(events: DataFrame, window: str | int, buckets: int = 24) -> DataFrame:
@@ -33,69 +21,67 @@ def trailing_moments(events: DataFrame, window: str | int, buckets: int = 24) ->
     if w % buckets:
         raise ValueError("the window must divide into the buckets")
     step = w // buckets
-    instants = events.groupBy("host", "ts_us").agg(
-        F.count("cpu").alias("n"), F.avg("cpu").alias("mean"), (F.var_pop("cpu") * F.count("cpu")).alias("m2"),
-    ).filter("n > 0").withColumn("k", floor_div(F.col("ts_us"), step))
-    probes = instants.select(
-        "host", (F.col("ts_us") - w).alias("ts_us"), F.lit(None).cast("bigint").alias("n"),
-        F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("m2"),
-        (F.col("k") - buckets).alias("k"),
-    )
-    group = Window.partitionBy("host", "k")
-    upto = group.orderBy(F.col("ts_us").asc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    # Probes sort before data of the same instant, which lies outside the half-open window.
-    after = group.orderBy(F.col("ts_us").desc(), F.col("n").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    gap = F.col("mean") - F.col("_c")
-    ends = instants.unionByName(probes).withColumn("_c", F.min("mean").over(group)).withColumns({
-        "_1": F.col("n") * gap, "_2": F.col("m2") + F.col("n") * gap * gap,
-    })
-    is_probe = F.col("n").isNull()
-    sums = ends.withColumns({
-        f"{p}{m}": F.sum(c).over(spec)
-        for p, spec in (("u", upto), ("a", after)) for m, c in (("n", "n"), ("1", "_1"), ("2", "_2"))
-    }).select(
-        "host", "k", is_probe.alias("probe"),
-        F.when(is_probe, F.col("ts_us") + w).otherwise(F.col("ts_us")).alias("ts_us"), "_c",
-        *[F.when(is_probe, F.col(f"a{m}")).otherwise(F.col(f"u{m}")).alias(f"s{m}") for m in ("n", "1", "2")],
-    ).filter("sn > 0").select(
-        "host", "k", "probe", "ts_us", F.col("sn").alias("n"),
-        (F.col("_c") + F.col("s1") / F.col("sn")).alias("mean"),
-        F.greatest(F.lit(0.0), F.col("s2") - F.col("s1") * F.col("s1") / F.col("sn")).alias("m2"),
+    instants = moments_by(events, ["host", "ts_us"], "cpu")
+    # Each instant adds its values to its own bucket and asks the bucket one window back
+    # for what came after t - w there; a probe carries no values.
+    rows = instants.selectExpr(
+        "host", "inline(array("
+        "named_struct('ts_us', ts_us, 'n', n, 'mean', mean, 'm2', m2), "
+        f"named_struct('ts_us', ts_us - {w}L, 'n', NULL, 'mean', NULL, 'm2', NULL)))",
+    ).selectExpr("*", f"{grid('ts_us', step)} AS k")
+    group = "PARTITION BY host, k"
+    by_time = f"{group} ORDER BY ts_us, n NULLS LAST"
+    whole = f"({by_time} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    upto = f"({by_time} ROWS UNBOUNDED PRECEDING)"
+    # Read backwards, a probe comes before data of its own instant, which lies outside the window.
+    after = f"({group} ORDER BY ts_us DESC, n DESC NULLS FIRST ROWS UNBOUNDED PRECEDING)"
+
+    def folds(p: str, over: str) -> list[str]:
+        return [
+            f"sum(n) OVER {over} AS {p}n", f"sum(n * (mean - _c)) OVER {over} AS {p}1",
+            f"sum(m2 + n * (mean - _c) * (mean - _c)) OVER {over} AS {p}2",
+        ]
+
+    ends = (
+        rows.selectExpr("*", f"first(mean) IGNORE NULLS OVER {whole} AS _c")
+        .selectExpr("*", *folds("_u", upto)).selectExpr("*", *folds("_a", after))
+        .selectExpr(
+            "host", "k", "n IS NULL AS probe", f"if(n IS NULL, ts_us + {w}L, ts_us) AS ts_us", "_c",
+            *[f"if(n IS NULL, _a{m}, _u{m}) AS s{m}" for m in ("n", "1", "2")],
+        ).filter("sn > 0")
+        .selectExpr(
+            "host", "k", "probe", "ts_us", "sn AS n", "_c + s1 / sn AS mean",
+            "greatest(0D, s2 - s1 * s1 / sn) AS m2",
+        )
     )
-    part = ["host", "ts_us", "n", "mean", "m2"]
     if buckets == 1:
-        return merge_two(sums.select(*part), ["host", "ts_us"])
-    whole = events.withColumn("k", floor_div(F.col("ts_us"), step)).groupBy("host", "k").agg(
-        F.count("cpu").alias("n"), F.avg("cpu").alias("mean"), (F.var_pop("cpu") * F.count("cpu")).alias("m2"),
-    ).filter("n > 0")
-    between = sliding_moments(whole, ["host"], buckets - 1).select(
-        "host", (F.col("k") + 1).alias("k"),
-        F.col("n").alias("bn"), F.col("mean").alias("bmean"), F.col("m2").alias("bm2"),
+        return merge_two(ends.drop("k", "probe"), ["host", "ts_us"])
+    totals = moments_by(events.selectExpr("host", f"{grid('ts_us', step)} AS k", "cpu"), ["host", "k"], "cpu")
+    # What lies between is added to the part that starts the event's own bucket.
+    between = sliding_moments(totals, ["host"], buckets - 1).selectExpr(
+        "host", "k + 1 AS k", "false AS probe", "n AS bn", "mean AS bmean", "m2 AS bm2",
     )
-    heads = sums.filter("NOT probe").join(between, ["host", "k"], "left")
-    merged = _merge_pair(
-        {m: F.col(m) for m in ("n", "mean", "m2")},
-        {"n": F.col("bn"), "mean": F.col("bmean"), "m2": F.col("bm2")},
+    gap, both = "(coalesce(bmean, mean) - mean)", "(n + coalesce(bn, 0L))"
+    parts = ends.join(between, ["host", "k", "probe"], "left").selectExpr(
+        "host", "ts_us", f"{both} AS n", f"mean + {gap} * coalesce(bn, 0L) / {both} AS mean",
+        f"m2 + coalesce(bm2, 0D) + {gap} * {gap} * n * coalesce(bn, 0L) / {both} AS m2",
     )
-    heads = heads.select("host", "ts_us", *[c.alias(m) for m, c in merged.items()])
-    return merge_two(heads.unionByName(sums.filter("probe").select(*part)), ["host", "ts_us"])
+    return merge_two(parts, ["host", "ts_us"])
 
 
 def event_baseline(events: DataFrame, window: str | int, sigma: float, min_samples: int = 0,
                    buckets: int = 24, ddof: int = 0) -> DataFrame:
     """Append avg, sd, upper, lower (and the window count) to every event; null below ``min_samples``."""
     events = events.filter("host IS NOT NULL AND ts IS NOT NULL")
-    stats = trailing_moments(events, window, buckets).select(
-        "host", "ts_us", F.col("n").alias("window_n"),
-        F.when(F.col("n") >= min_samples, F.col("mean")).alias("avg"),
-        F.when(F.col("n") >= min_samples, deviation(F.col("n"), F.col("m2"), ddof)).alias("sd"),
+    stats = trailing_moments(events, window, buckets).selectExpr(
+        "host", "ts_us", "n AS window_n", f"if(n >= {min_samples}, mean, NULL) AS avg",
+        f"if(n >= {min_samples}, {deviation('n', 'm2', ddof)}, NULL) AS sd",
+    )
+    return events.join(stats, ["host", "ts_us"]).selectExpr(
+        "*", f"avg + {sigma!r}D * sd AS upper", f"avg - {sigma!r}D * sd AS lower",
     )
-    return events.join(stats, ["host", "ts_us"]).withColumns({
-        "upper": F.col("avg") + sigma * F.col("sd"), "lower": F.col("avg") - sigma * F.col("sd"),
-    })
 
 
 def outliers(rows: DataFrame) -> DataFrame:
     """Events outside their own band."""
-    return rows.filter((F.col("cpu") > F.col("upper")) | (F.col("cpu") < F.col("lower")))
+    return rows.filter("cpu > upper OR cpu < lower")

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from livetick.functions.timecols import floor_div
+from livetick.functions.timecols import grid
 
 
 def custom_reduce(
@@ -55,5 +55,5 @@ def partition_apply(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.Dat
     def call(pdf: pd.DataFrame) -> pd.DataFrame:
         return fn(pdf.sort_values("seq").drop(columns="_chunk").reset_index(drop=True))
 
-    chunked = df.withColumn("_chunk", floor_div(F.col("seq"), chunk_rows))
+    chunked = df.withColumn("_chunk", F.expr(grid("seq", chunk_rows)))
     return chunked.groupBy(key, "_chunk").applyInPandas(call, schema)

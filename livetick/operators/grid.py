@@ -4,24 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from livetick.functions.timecols import duration_us, floor_div
+from livetick.functions.timecols import duration_us, grid
 from livetick.operators.running import running
 
 
 def next_in_key(df: DataFrame, keys: list[str], order: str, chunk: int, name: str) -> DataFrame:
     """The following value of a unique order column within its key, null at the end."""
-    return running(
-        df, keys, [order], floor_div(F.col(order), chunk),
-        {name: ("min", F.col(order))}, descending=True, exclusive=True,
-    )
+    return running(df, keys, order, grid(order, chunk), {name: ("min", order)}, descending=True, exclusive=True)
 
 
 def previous_in_key(df: DataFrame, keys: list[str], order: str, chunk: int, name: str) -> DataFrame:
     """The preceding value of a unique order column within its key, null at the start."""
-    return running(
-        df, keys, [order], floor_div(F.col(order), chunk),
-        {name: ("max", F.col(order))}, exclusive=True,
-    )
+    return running(df, keys, order, grid(order, chunk), {name: ("max", order)}, exclusive=True)
 
 
 def grid_fill(events: DataFrame, step: str | int, chunk_steps: int = 100_000) -> DataFrame:
@@ -31,11 +25,7 @@ def grid_fill(events: DataFrame, step: str | int, chunk_steps: int = 100_000) ->
     forward. Each bucket fills the gap up to the next one, so no spine is joined.
     """
     width = duration_us(step)
-    buckets = events.groupBy("host", floor_div(F.col("ts_us"), width).alias("k")).agg(F.avg("cpu").alias("mean"))
+    buckets = events.groupBy("host", F.expr(f"{grid('ts_us', width)} AS k")).agg(F.avg("cpu").alias("mean"))
     ahead = next_in_key(buckets, ["host"], "k", chunk_steps, "_next")
-    cells = F.sequence("k", F.coalesce(F.col("_next") - 1, F.col("k")))
-    return ahead.select("host", F.col("k").alias("_k"), "mean", F.explode(cells).alias("k")).select(
-        (F.col("k") * width).alias("ts_us"), "host",
-        F.when(F.col("k") == F.col("_k"), F.col("mean")).alias("value"),
-        F.col("mean").alias("filled"),
-    )
+    cells = ahead.selectExpr("host", "k AS _k", "mean", "explode(sequence(k, coalesce(_next - 1, k))) AS k")
+    return cells.selectExpr(f"k * {width}L AS ts_us", "host", "if(k = _k, mean, NULL) AS value", "mean AS filled")

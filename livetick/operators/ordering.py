@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from livetick.functions.timecols import duration_us, floor_div
+from livetick.functions.timecols import duration_us, grid
 from livetick.operators.rollups import interval, tail
 from livetick.operators.running import running
 from livetick.sources.tables import latest
@@ -17,10 +17,9 @@ def late_filter(df: DataFrame, arrival: str, policy: str = "drop", chunk_rows: i
     never raises the maximum, so the maximum over all rows is the one over accepted rows.
     """
     seen = running(
-        df, [], [arrival], floor_div(F.col(arrival), chunk_rows),
-        {"_seen": ("max", F.col("ts_us"))}, exclusive=True,
+        df, [], arrival, grid(arrival, chunk_rows), {"_seen": ("max", "ts_us")}, exclusive=True,
     )
-    on_time = F.col("_seen").isNull() | (F.col("ts_us") >= F.col("_seen"))
+    on_time = F.expr("_seen IS NULL OR ts_us >= _seen")
     if policy == "drop":
         return seen.filter(on_time).drop("_seen")
     if policy == "fail":

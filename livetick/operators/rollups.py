@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from livetick.functions.timecols import duration_us, floor_div
-from livetick.operators.sliding import merge_two, sliding_moments
+from livetick.functions.timecols import duration_us, grid, grid_start
+from livetick.operators.sliding import sliding_moments
 from livetick.sources.tables import latest
 
 
@@ -56,10 +56,10 @@ def event_rate(events: DataFrame, window: str | int) -> DataFrame:
 def bucket_counts(df: DataFrame, step: str | int, keys: list[str] | None = None) -> DataFrame:
     """Row counts per fixed bucket: begin, end and midpoint in microseconds."""
     width = duration_us(step)
-    begin = floor_div(F.col("ts_us"), width) * width
-    return df.groupBy(*(keys or []), begin.alias("begin_us")).agg(F.count(F.lit(1)).alias("n")).select(
-        *(keys or []), "begin_us", (F.col("begin_us") + width).alias("end_us"),
-        (F.col("begin_us") + width // 2).alias("mid_us"), "n",
+    counts = df.groupBy(*(keys or []), F.expr(f"{grid_start('ts_us', width)} AS begin_us")).agg(
+        F.count(F.lit(1)).alias("n"))
+    return counts.selectExpr(
+        *(keys or []), "begin_us", f"begin_us + {width}L AS end_us", f"begin_us + {width // 2}L AS mid_us", "n",
     )
 
 
@@ -75,7 +75,7 @@ def top_n(events: DataFrame, step: str | int, n: int) -> DataFrame:
     most n rows per group.
     """
     width = duration_us(step)
-    rows = events.withColumn("k", floor_div(F.col("ts_us"), width))
+    rows = events.withColumn("k", F.expr(grid("ts_us", width)))
     by_value = Window.partitionBy("host", "k").orderBy(F.col("cpu").desc(), F.col("seq"))
     top = (
         rows.withColumn("rn", F.row_number().over(by_value)).filter(F.col("rn") <= n)
@@ -116,15 +116,12 @@ def newest(df: DataFrame, n: int, *order: Column) -> DataFrame:
 def weighted_rollup(ticks: DataFrame, tick: str | int, window: str | int) -> DataFrame:
     """Trailing mean of tick means, weighted by their sample counts."""
     step = duration_us(tick)
-    parts = ticks.filter("cpu_n > 0").select(
-        "host", floor_div(F.col("ts_us"), step).alias("k"), F.col("cpu_n").alias("n"),
-        F.col("cpu_avg").alias("mean"), F.lit(0.0).alias("m2"),
+    parts = ticks.filter("cpu_n > 0").selectExpr(
+        "host", f"{grid('ts_us', step)} AS k", "cpu_n AS n", "cpu_avg AS mean", "0D AS m2",
     )
     rolled = sliding_moments(parts, ["host"], duration_us(window) // step)
     held = parts.select("host", "k").join(rolled, ["host", "k"])
-    return held.select(
-        (F.col("k") * step).alias("ts_us"), "host", F.col("mean").alias("weighted_avg"), F.col("n").alias("weight"),
-    )
+    return held.selectExpr(f"k * {step}L AS ts_us", "host", "mean AS weighted_avg", "n AS weight")
 
 
 def page_summary(events: DataFrame, retain: str | int, rate_window: str | int) -> DataFrame:
@@ -145,5 +142,5 @@ def page_summary(events: DataFrame, retain: str | int, rate_window: str | int) -
 
 __all__ = [
     "tail", "reduce_by", "host_rollup", "event_rate", "bucket_counts", "clip_bars", "top_n", "latest_per",
-    "edges", "newest", "weighted_rollup", "page_summary", "merge_two", "interval",
+    "edges", "newest", "weighted_rollup", "page_summary", "interval",
 ]

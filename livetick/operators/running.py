@@ -1,6 +1,6 @@
 """Running totals that never put one key in one task.
 
-A plain ``Window.partitionBy(key)`` sorts a whole key in one task, so a key with
+A plain ``OVER (PARTITION BY key)`` sorts a whole key in one task, so a key with
 a third of all rows decides the run time. Here each key is cut into chunks along
 its order. A chunk is scanned on its own, and what came before it is added from
 a table with one row per key and chunk. A chunk of width w over a unique integer
@@ -9,71 +9,54 @@ order column holds at most w rows, whatever the skew.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from livetick.functions.timecols import floor_div
-
-_FOLD = {"sum": F.sum, "max": F.max, "min": F.min}
+from livetick.functions.timecols import grid
 
 
 def running(
     df: DataFrame,
     keys: list[str],
-    order: list[str],
-    chunk: Column,
-    measures: dict[str, tuple[str, Column]],
+    order: str,
+    chunk: str,
+    measures: dict[str, tuple[str, str]],
     descending: bool = False,
     exclusive: bool = False,
 ) -> DataFrame:
-    """Add running folds per key along ``order``.
+    """Add running folds per key along the unique column ``order``.
 
-    ``measures`` maps an output name to ('sum' | 'max' | 'min', value column).
-    ``chunk`` must not decrease along ``order``. ``exclusive`` leaves the row's
-    own value out; a sum then starts at 0, a max or min at null.
+    ``measures`` maps an output name to ('sum' | 'max' | 'min', SQL expression).
+    ``chunk`` is an expression that does not decrease along ``order``.
+    ``exclusive`` leaves the row's own value out; a sum then starts at 0, a max or
+    min at null.
     """
-    arg = {name: f"_v_{name}" for name in measures}
-    rows = df.withColumns({"_chunk": chunk, **{arg[n]: col for n, (_, col) in measures.items()}})
-
-    def direction(name: str) -> Column:
-        return F.col(name).desc() if descending else F.col(name).asc()
-
-    before = (
-        Window.partitionBy(*keys).orderBy(direction("_chunk"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    within = (
-        Window.partitionBy(*keys, "_chunk").orderBy(*[direction(o) for o in order])
-        .rowsBetween(Window.unboundedPreceding, -1 if exclusive else Window.currentRow)
-    )
+    way = "DESC" if descending else "ASC"
+    end = "1 PRECEDING" if exclusive else "CURRENT ROW"
+    by_key = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    by_chunk = ", ".join([*keys, "_chunk"])
+    within = f"(PARTITION BY {by_chunk} ORDER BY {order} {way} ROWS BETWEEN UNBOUNDED PRECEDING AND {end})"
+    before = f"({by_key}ORDER BY _chunk {way} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+    rows = df.selectExpr("*", f"{chunk} AS _chunk", *[f"{e} AS _v_{n}" for n, (_, e) in measures.items()])
     totals = rows.groupBy(*keys, "_chunk").agg(
-        *[_FOLD[fn](arg[n]).alias(f"_t_{n}") for n, (fn, _) in measures.items()]
+        *[F.expr(f"{fn}(_v_{n}) AS _t_{n}") for n, (fn, _) in measures.items()]
     )
-    carry = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_k_chunk"),
-        *[_FOLD[fn](f"_t_{n}").over(before).alias(f"_c_{n}") for n, (fn, _) in measures.items()],
+    carry = totals.selectExpr(
+        *[f"{k} AS _k_{k}" for k in keys], "_chunk AS _k_chunk",
+        *[f"{fn}(_t_{n}) OVER {before} AS _c_{n}" for n, (fn, _) in measures.items()],
     )
-    on = F.col("_chunk").eqNullSafe(F.col("_k_chunk"))
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-
-    def joined(name: str, fn: str) -> Column:
-        local, prior = F.col(f"_l_{name}"), F.col(f"_c_{name}")
-        if fn == "sum":
-            return F.coalesce(local, F.lit(0)) + F.coalesce(prior, F.lit(0))
-        return F.greatest(local, prior) if fn == "max" else F.least(local, prior)
-
-    local = rows.withColumns({
-        f"_l_{n}": _FOLD[fn](arg[n]).over(within) for n, (fn, _) in measures.items()
-    })
-    return local.join(carry, on, "inner").select(
-        *df.columns, *[joined(n, fn).alias(n) for n, (fn, _) in measures.items()]
+    local = rows.selectExpr("*", *[f"{fn}(_v_{n}) OVER {within} AS _l_{n}" for n, (fn, _) in measures.items()])
+    match = " AND ".join([f"{k} <=> _k_{k}" for k in keys] + ["_chunk <=> _k_chunk"])
+    merged = {
+        "sum": "coalesce(_l_{n}, 0) + coalesce(_c_{n}, 0)", "max": "greatest(_l_{n}, _c_{n})",
+        "min": "least(_l_{n}, _c_{n})",
+    }
+    return local.join(carry, F.expr(match), "inner").selectExpr(
+        *df.columns, *[f"{merged[fn].format(n=n)} AS {n}" for n, (fn, _) in measures.items()]
     )
 
 
 def ranked(df: DataFrame, keys: list[str], seq: str, chunk_rows: int = 1_000_000,
            name: str = "rn", descending: bool = False) -> DataFrame:
     """1-based position of each row within its key, along the unique id ``seq``."""
-    return running(
-        df, keys, [seq], floor_div(F.col(seq), chunk_rows),
-        {name: ("sum", F.lit(1).cast("bigint"))}, descending=descending,
-    )
+    return running(df, keys, seq, grid(seq, chunk_rows), {name: ("sum", "1L")}, descending=descending)

@@ -8,56 +8,31 @@ times, nothing is subtracted, and a task's group holds at most W rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from livetick.functions.timecols import floor_div
-
-
-def _running_moments(w, prefix: str) -> list[dict[str, Column]]:
-    """Running n, mean and m2 over a window spec, shifted by the first mean of the group."""
-    shift, n = F.col(f"{prefix}c"), F.col(f"{prefix}n")
-    gap = F.col("mean") - shift
-    return [
-        {f"{prefix}c": F.first("mean").over(w), f"{prefix}n": F.sum("n").over(w)},
-        {
-            f"{prefix}1": F.sum(F.col("n") * gap).over(w),
-            f"{prefix}2": F.sum(F.col("m2") + F.col("n") * gap * gap).over(w),
-        },
-        {
-            f"{prefix}mean": shift + F.col(f"{prefix}1") / n,
-            f"{prefix}m2": F.greatest(
-                F.lit(0.0), F.col(f"{prefix}2") - F.col(f"{prefix}1") * F.col(f"{prefix}1") / n
-            ),
-        },
-    ]
-
-
-def moment_buckets(df: DataFrame, keys: list[str], bucket: Column, value: str, *extra: Column) -> DataFrame:
-    """One row per key and bucket ``k``: n, mean, m2 (and extra aggregates), pre-aggregated map-side."""
-    return (
-        df.withColumn("k", bucket)
-        .groupBy(*keys, "k")
-        .agg(
-            F.count(value).alias("n"),
-            F.avg(value).alias("mean"),
-            (F.var_pop(value) * F.count(value)).alias("m2"),
-            *extra,
-        )
-        .filter("n > 0")
-    )
+from pyspark.sql import DataFrame, functions as F
+
+from livetick.functions.timecols import grid_start
+
+# n, mean and m2 of the non-null values of one group, all mergeable.
+MOMENTS = "count({v}) AS n", "avg({v}) AS mean", "var_pop({v}) * count({v}) AS m2"
 
 
-def merge_two(rows: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
+def moments_by(df: DataFrame, keys: list[str], value: str, *extra: str) -> DataFrame:
+    """n, mean, m2 (and extra aggregates) per key, pre-aggregated map-side; empty groups left out."""
+    return df.groupBy(*keys).agg(
+        *[F.expr(e.format(v=value)) for e in MOMENTS], *[F.expr(e) for e in extra],
+    ).filter("n > 0")
+
+
+def merge_two(rows: DataFrame, keys: list[str], *extra: str) -> DataFrame:
     """Merge up to two (n, mean, m2) parts per key; exact for one part."""
-    total = F.sum("n")
-    spread = F.max("mean") - F.min("mean")
-    pairs = (total * total - F.sum(F.col("n") * F.col("n"))) / 2  # n1 * n2, or 0 for one part
-    return rows.groupBy(*keys).agg(
-        total.alias("n"),
-        F.when(spread == 0, F.min("mean")).otherwise(F.sum(F.col("n") * F.col("mean")) / total).alias("mean"),
-        (F.sum("m2") + pairs / total * spread * spread).alias("m2"),
+    gap = "(max(mean) - min(mean))"
+    pairs = "((sum(n) * sum(n) - sum(n * n)) / 2)"  # n1 * n2, or 0 for one part
+    return rows.groupBy(*keys).agg(*[F.expr(e) for e in (
+        "sum(n) AS n",
+        f"if({gap} = 0, min(mean), sum(n * mean) / sum(n)) AS mean",
+        f"sum(m2) + {pairs} / sum(n) * {gap} * {gap} AS m2",
         *extra,
-    )
+    )])
 
 
 def sliding_moments(buckets: DataFrame, keys: list[str], width: int) -> DataFrame:
@@ -65,39 +40,44 @@ def sliding_moments(buckets: DataFrame, keys: list[str], width: int) -> DataFram
 
     ``n_current`` is the count of bucket k itself, 0 where it is empty.
     """
-    rows = buckets.select(*keys, "k", "n", "mean", "m2").withColumn("_block", floor_div(F.col("k"), width))
-    fwd = Window.partitionBy(*keys, "_block").orderBy(F.col("k").asc())
-    bwd = Window.partitionBy(*keys, "_block").orderBy(F.col("k").desc())
-    # lead and lag pick their own frame; the folds run from the group's start.
-    fwd_run = fwd.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bwd_run = bwd.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumns({"_next": F.lead("k").over(fwd), "_prev": F.lag("k").over(fwd)})
-    for step in _running_moments(fwd_run, "_f"):
-        rows = rows.withColumns(step)
-    for step in _running_moments(bwd_run, "_b"):
-        rows = rows.withColumns(step)
-
-    k = F.col("k")
-    start = F.col("_block") * width
+    group = "PARTITION BY " + ", ".join([*keys, "_start"])
+    near = f"({group} ORDER BY k)"
+    whole = f"({group} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    upto = f"({group} ORDER BY k ROWS UNBOUNDED PRECEDING)"
+    since = f"({group} ORDER BY k DESC ROWS UNBOUNDED PRECEDING)"
+
+    def folds(p: str, over: str) -> list[str]:
+        return [
+            f"sum(n) OVER {over} AS {p}n", f"sum(n * (mean - _c)) OVER {over} AS {p}1",
+            f"sum(m2 + n * (mean - _c) * (mean - _c)) OVER {over} AS {p}2",
+        ]
+
+    def part(p: str, k: str, current: str) -> str:
+        return (
+            f"named_struct('k', {k}, 'n', {p}n, 'mean', _c + {p}1 / {p}n, "
+            f"'m2', greatest(0D, {p}2 - {p}1 * {p}1 / {p}n), 'n_current', {current})"
+        )
+
+    rows = buckets.selectExpr(*keys, "k", "n", "mean", "m2", f"{grid_start('k', width)} AS _start")
+    # Sums are taken around a value of the block itself, so large means lose no digits.
+    rows = rows.selectExpr(
+        "*", f"lead(k) OVER {near} AS _next", f"lag(k) OVER {near} AS _prev", f"first(mean) OVER {whole} AS _c",
+    ).selectExpr("*", *folds("_f", upto)).selectExpr("*", *folds("_b", since))
+
     # The head up to k also serves the empty buckets before the next one.
-    head_last = F.coalesce(F.col("_next") - 1, start + (width - 1))
-    heads = F.transform(F.sequence(k, head_last), lambda at: F.struct(
-        at.alias("k"), F.col("_fn").alias("n"), F.col("_fmean").alias("mean"), F.col("_fm2").alias("m2"),
-        F.when(at == k, F.col("n")).otherwise(F.lit(0)).cast("bigint").alias("n_current"),
-    ))
+    heads = (
+        f"transform(sequence(k, coalesce(_next - 1, _start + {width - 1}L)), "
+        f"at -> {part('_f', 'at', 'if(at = k, n, 0L)')})"
+    )
     # The tail from j on belongs to the window that ends width - 1 later, one block on.
-    tail_first = F.coalesce(F.col("_prev") + 1, start + 1)
-    tails = F.when(
-        tail_first <= k,
-        F.transform(F.sequence(tail_first, k), lambda j: F.struct(
-            (j + (width - 1)).alias("k"), F.col("_bn").alias("n"), F.col("_bmean").alias("mean"),
-            F.col("_bm2").alias("m2"), F.lit(0).cast("bigint").alias("n_current"),
-        )),
-    ).otherwise(F.array().cast("array<struct<k:bigint,n:bigint,mean:double,m2:double,n_current:bigint>>"))
-    parts = rows.select(*keys, F.inline(F.concat(heads, tails)))
-    return merge_two(parts, [*keys, "k"], F.sum("n_current").alias("n_current"))
-
-
-def deviation(n: Column, m2: Column, ddof: int = 0) -> Column:
+    first = "coalesce(_prev + 1, _start + 1)"
+    tails = f"transform(sequence({first}, k), j -> {part('_b', f'j + {width - 1}L', '0L')})"
+    parts = rows.selectExpr(
+        *keys, f"inline(if({first} <= k, concat({heads}, {tails}), {heads}))",
+    )
+    return merge_two(parts, [*keys, "k"], "sum(n_current) AS n_current")
+
+
+def deviation(n: str, m2: str, ddof: int = 0) -> str:
     """Standard deviation of merged moments; null when n <= ddof."""
-    return F.when(n > ddof, F.sqrt(F.greatest(F.lit(0.0), m2) / (n - ddof)))
+    return f"if({n} > {ddof}, sqrt(greatest(0D, {m2}) / ({n} - {ddof})), CAST(NULL AS double))"

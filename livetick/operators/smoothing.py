@@ -9,21 +9,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from livetick.functions.timecols import floor_div
+from livetick.functions.timecols import grid
 
 
 def _chunk_folds(rows: DataFrame, keys: list[str], alpha: float) -> DataFrame:
     """(A, B) of each chunk; a key's very first value enters with weight one, as the seed."""
-    newest_first = Window.partitionBy(*keys, "_chunk").orderBy(F.col("seq").desc())
-    weight = F.pow(F.lit(1.0 - alpha), F.row_number().over(newest_first) - 1)
-    return rows.withColumn("_w", weight).groupBy(*keys, "_chunk").agg(
-        F.sum(F.lit(alpha) * F.col("_x") * F.col("_w")).alias("b"),
-        (F.min("_w") * F.lit(1.0 - alpha)).alias("a"),
-        (F.min_by("_x", "seq") * F.min("_w") * F.lit(1.0 - alpha)).alias("seed"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    newest_first = f"(PARTITION BY {', '.join([*keys, '_chunk'])} ORDER BY seq DESC)"
+    keep = f"{1.0 - alpha!r}D"
+    weighted = rows.selectExpr("*", f"pow({keep}, row_number() OVER {newest_first} - 1) AS _w")
+    return weighted.groupBy(*keys, "_chunk").agg(*[F.expr(e) for e in (
+        f"sum({alpha!r}D * _x * _w) AS b", f"min(_w) * {keep} AS a",
+        f"min_by(_x, seq) * min(_w) * {keep} AS seed", "count(1) AS n",
+    )])
 
 
 def _carry(folds: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,9 +49,9 @@ def _carry(folds: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _chunked(df: DataFrame, value: str, chunk_rows: int) -> DataFrame:
-    return df.filter(F.col(value).isNotNull()).withColumns({
-        "_chunk": floor_div(F.col("seq"), chunk_rows), "_x": F.col(value).cast("double"),
-    })
+    return df.filter(f"{value} IS NOT NULL").selectExpr(
+        "*", f"{grid('seq', chunk_rows)} AS _chunk", f"double({value}) AS _x",
+    )
 
 
 def ema(df: DataFrame, keys: list[str], value: str, alpha: float, out: str = "ema",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from livetick.functions.timecols import duration_us, floor_div
+from livetick.functions.timecols import duration_us, grid
 from livetick.operators.grid import previous_in_key
 from livetick.operators.running import ranked, running
 
@@ -14,19 +14,15 @@ def fifo_pairs(arrivals: DataFrame, emissions: DataFrame, keys: list[str], chunk
 
     Both sides carry ``seq`` (unique order) and ``at_us``.
     """
-    left = ranked(arrivals, keys, "seq", chunk_rows).select(*keys, "rn", F.col("seq"), F.col("at_us").alias("arrived_us"))
-    right = ranked(emissions, keys, "seq", chunk_rows).select(
-        *keys, "rn", F.col("seq").alias("emit_seq"), F.col("at_us").alias("emitted_us"))
-    return left.join(right, [*keys, "rn"]).withColumn("latency_us", F.col("emitted_us") - F.col("arrived_us"))
+    left = ranked(arrivals, keys, "seq", chunk_rows).selectExpr(*keys, "rn", "seq", "at_us AS arrived_us")
+    right = ranked(emissions, keys, "seq", chunk_rows).selectExpr(*keys, "rn", "seq AS emit_seq", "at_us AS emitted_us")
+    return left.join(right, [*keys, "rn"]).selectExpr("*", "emitted_us - arrived_us AS latency_us")
 
 
 def fifo_residual(arrivals: DataFrame, emissions: DataFrame, keys: list[str]) -> DataFrame:
     """Arrivals without an emission, per key; counts alone decide it, so nothing is ranked."""
-    counted = arrivals.select(*keys, F.lit(1).alias("a"), F.lit(0).alias("e")).unionByName(
-        emissions.select(*keys, F.lit(0).alias("a"), F.lit(1).alias("e")))
-    return counted.groupBy(*keys).agg(
-        F.greatest(F.lit(0), F.sum("a") - F.sum("e")).cast("bigint").alias("pending")
-    ).filter("pending > 0")
+    counted = arrivals.selectExpr(*keys, "1 AS a", "0 AS e").unionByName(emissions.selectExpr(*keys, "0 AS a", "1 AS e"))
+    return counted.groupBy(*keys).agg(F.expr("greatest(0L, sum(a) - sum(e)) AS pending")).filter("pending > 0")
 
 
 def recent_ring(df: DataFrame, metric: str, order: list[Column], capacity: int = 1024) -> DataFrame:
@@ -42,20 +38,13 @@ def floor_percentiles(df: DataFrame, keys: list[str], value: str, percents: list
     Equal values are counted before anything is ordered; the distinct values are
     then scanned in chunks of ``chunk_width`` value units.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = running(
-        counts, keys, [value], F.floor(F.col(value) / chunk_width), {"_upto": ("sum", F.col("_n"))},
-    )
+    counts = df.filter(f"{value} IS NOT NULL").groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = running(counts, keys, value, f"floor({value} / {chunk_width})", {"_upto": ("sum", "_n")})
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("n"))
     joined = upto.join(totals, keys) if keys else upto.withColumn("n", counts.agg(F.sum("_n")).scalar())
-
-    def index(p: int) -> Column:
-        return F.least(F.col("n") - 1, F.call_function("div", F.col("n") * p, F.lit(100)))
-
-    return joined.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        *[F.min(F.when(F.col("_upto") > index(p), F.col(value))).alias(f"p{p}") for p in percents],
-    )
+    return joined.groupBy(*keys).agg(F.max("n").alias("n"), *[
+        F.expr(f"min({value}) FILTER (WHERE _upto > least(n - 1, n * {p} div 100)) AS p{p}") for p in percents
+    ])
 
 
 def pause_rollup(pauses: DataFrame, kind: str, duration: str) -> DataFrame:
@@ -64,54 +53,47 @@ def pause_rollup(pauses: DataFrame, kind: str, duration: str) -> DataFrame:
     )
 
 
-def batch_stats(batches: DataFrame, size: Column) -> DataFrame:
+def batch_stats(batches: DataFrame, size: str) -> DataFrame:
     """Calls, events, mean batch size (NaN without calls) and largest batch."""
-    calls, events = F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))
-    return batches.select(size.alias("_size")).agg(
-        calls.alias("calls"), events.alias("events"),
-        F.when(calls == 0, F.lit(float("nan"))).otherwise(events / calls).alias("avg_batch"),
-        F.max("_size").alias("max_batch"),
-    )
+    return batches.agg(*[F.expr(e) for e in (
+        "count(1) AS calls", f"coalesce(sum({size}), 0L) AS events",
+        f"if(count(1) = 0, double('NaN'), sum({size}) / count(1)) AS avg_batch", f"max({size}) AS max_batch",
+    )])
 
 
-def egress(frames: DataFrame, subscribers: Column) -> DataFrame:
+def egress(frames: DataFrame, subscribers: str) -> DataFrame:
     """Characters sent: frame length times the subscribers open at that moment."""
-    sent = F.length("frame") * subscribers
-    return frames.agg(
-        F.count(F.lit(1)).alias("frames"), F.sum(F.length("frame")).alias("frame_chars"),
-        F.sum(sent).cast("bigint").alias("sent_chars"),
-    )
+    return frames.agg(*[F.expr(e) for e in (
+        "count(1) AS frames", "sum(length(frame)) AS frame_chars",
+        f"sum(length(frame) * {subscribers}) AS sent_chars",
+    )])
 
 
 def phase_residual(phases: DataFrame, total: str, parts: list[str]) -> DataFrame:
     """What is left of the total after its measured phases."""
-    spent = F.lit(0)
-    for p in parts:
-        spent = spent + F.col(p)
-    return phases.withColumn("residual", F.col(total) - spent)
+    return phases.selectExpr("*", f"{total} - ({' + '.join(parts)}) AS residual")
 
 
 def tick_gaps(ticks: DataFrame, tick: str | int, chunk_ticks: int = 100_000) -> DataFrame:
     """Clock gap to the host's previous tick, and whether boundaries were missed in between."""
     step = duration_us(tick)
     gaps = previous_in_key(ticks.select("host", "ts_us"), ["host"], "ts_us", step * chunk_ticks, "_prev")
-    return gaps.filter("_prev IS NOT NULL").select(
-        "host", "ts_us", (F.col("ts_us") - F.col("_prev")).alias("gap_us"),
-        (F.col("ts_us") - F.col("_prev") > step).alias("missed"),
+    return gaps.filter("_prev IS NOT NULL").selectExpr(
+        "host", "ts_us", "ts_us - _prev AS gap_us", f"ts_us - _prev > {step} AS missed",
     )
 
 
 def counter_deltas(scrapes: DataFrame, keys: list[str], at: str, counters: list[str], gauges: list[str]) -> DataFrame:
     """Achieved rate of each counter between the first and last scrape, and the peak of each gauge."""
-    row = F.struct(at, *counters)
-    ends = scrapes.groupBy(*keys).agg(
-        F.min_by(row, at).alias("f"), F.max_by(row, at).alias("l"), *[F.max(g).alias(f"{g}_peak") for g in gauges],
-    )
-    span = F.col(f"l.{at}") - F.col(f"f.{at}")
-    return ends.select(
-        *keys, span.alias("span"),
-        *[(F.col(f"l.{c}") - F.col(f"f.{c}")).alias(f"{c}_delta") for c in counters],
-        *[F.when(span > 0, (F.col(f"l.{c}") - F.col(f"f.{c}")) / span).alias(f"{c}_rate") for c in counters],
+    row = f"struct({', '.join([at, *counters])})"
+    ends = scrapes.groupBy(*keys).agg(*[F.expr(e) for e in (
+        f"min_by({row}, {at}) AS f", f"max_by({row}, {at}) AS l", *[f"max({g}) AS {g}_peak" for g in gauges],
+    )])
+    span = f"(l.{at} - f.{at})"
+    return ends.selectExpr(
+        *keys, f"{span} AS span",
+        *[f"l.{c} - f.{c} AS {c}_delta" for c in counters],
+        *[f"if({span} > 0, (l.{c} - f.{c}) / {span}, NULL) AS {c}_rate" for c in counters],
         *[f"{g}_peak" for g in gauges],
     )
 
@@ -119,10 +101,10 @@ def counter_deltas(scrapes: DataFrame, keys: list[str], at: str, counters: list[
 def frame_fanin(ticks: DataFrame, chunk_us: int) -> DataFrame:
     """Per frame: samples folded into it, then running frames, running samples and their ratio."""
     frames = ticks.groupBy("ts_us").agg(F.sum("cpu_n").alias("frame_events"))
-    run = running(frames, [], ["ts_us"], floor_div(F.col("ts_us"), chunk_us), {
-        "total_frames": ("sum", F.lit(1).cast("bigint")), "total_events": ("sum", F.col("frame_events")),
+    run = running(frames, [], "ts_us", grid("ts_us", chunk_us), {
+        "total_frames": ("sum", "1L"), "total_events": ("sum", "frame_events"),
     })
-    return run.withColumn("fan_in", F.col("total_events") / F.col("total_frames"))
+    return run.selectExpr("*", "total_events / total_frames AS fan_in")
 
 
 def global_ticks(events: DataFrame, tick: str | int, max_age: str | int, chunk_ticks: int = 100_000) -> DataFrame:
@@ -130,43 +112,41 @@ def global_ticks(events: DataFrame, tick: str | int, max_age: str | int, chunk_t
     step, age = duration_us(tick), duration_us(max_age)
     if age % step:
         raise ValueError("the retention must be a whole number of ticks")
-    k = floor_div(F.col("ts_us"), step)
-    last = floor_div(events.agg(F.max("ts_us")).scalar(), step) - 1
-    counts = events.groupBy(k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    last = events.agg(F.expr(f"{grid('max(ts_us)', step)} - 1")).scalar()
+    counts = events.groupBy(F.expr(f"{grid('ts_us', step)} AS k")).agg(F.count(F.lit(1)).alias("c"))
     # A slice is ingested at its own boundary and gone once its age has passed.
-    moves = counts.select("k", "n", F.lit(0).cast("bigint").alias("gone")).unionByName(
-        counts.select((F.col("k") + age // step).alias("k"), F.lit(0).cast("bigint").alias("n"), F.col("n").alias("gone"))
+    moves = counts.selectExpr(
+        f"inline(array(struct(k, c AS n, 0L AS gone), struct(k + {age // step}L AS k, 0L AS n, c AS gone)))",
     ).groupBy("k").agg(F.sum("n").alias("n"), F.sum("gone").alias("gone")).filter(F.col("k") <= last)
-    run = running(moves, [], ["k"], floor_div(F.col("k"), chunk_ticks), {
-        "events_ingested_total": ("sum", F.col("n")), "evicted_total": ("sum", F.col("gone")),
+    run = running(moves, [], "k", grid("k", chunk_ticks), {
+        "events_ingested_total": ("sum", "n"), "evicted_total": ("sum", "gone"),
     })
-    return run.select(
-        ((F.col("k") + 1) * step).alias("ts_us"), "events_ingested_total",
-        (F.col("n") / (step / 1_000_000)).alias("events_per_sec"), "evicted_total",
+    return run.selectExpr(
+        f"(k + 1) * {step}L AS ts_us", "events_ingested_total", f"n / {step / 1_000_000!r}D AS events_per_sec",
+        "evicted_total",
     )
 
 
 def cumulative_rate(events: DataFrame, tick: str | int, chunk_ticks: int = 100_000) -> DataFrame:
     """Running sum of a value per host at each of its ticks, and its change per second."""
     step = duration_us(tick)
-    slices = events.groupBy("host", floor_div(F.col("ts_us"), step).alias("k")).agg(F.sum("requests").alias("s"))
-    chunk = floor_div(F.col("k"), chunk_ticks)
-    total = running(slices, ["host"], ["k"], chunk, {"cumulative": ("sum", F.col("s"))})
-    with_prev = running(total, ["host"], ["k"], chunk, {"_prev": ("max", F.col("k"))}, exclusive=True)
-    seconds = (F.col("k") - F.col("_prev")) * (step / 1_000_000)
-    return with_prev.select(
-        ((F.col("k") + 1) * step).alias("ts_us"), "host", "cumulative",
-        (F.col("s") / seconds).alias("rate"),
+    slices = events.groupBy("host", F.expr(f"{grid('ts_us', step)} AS k")).agg(F.sum("requests").alias("s"))
+    chunk = grid("k", chunk_ticks)
+    total = running(slices, ["host"], "k", chunk, {"cumulative": ("sum", "s")})
+    with_prev = running(total, ["host"], "k", chunk, {"_prev": ("max", "k")}, exclusive=True)
+    return with_prev.selectExpr(
+        f"(k + 1) * {step}L AS ts_us", "host", "cumulative", f"s / ((k - _prev) * {step / 1_000_000!r}D) AS rate",
     )
 
 
 def conservation(ticks: DataFrame, events: DataFrame, tick: str | int, limit_percent: float = 30.0) -> DataFrame:
     """Samples delivered through tick slices against raw events of the same closed ticks, in percent."""
     step = duration_us(tick)
-    end = floor_div(events.agg(F.max("ts_us")).scalar(), step) * step
+    end = events.agg(F.expr(f"{grid('max(ts_us)', step)} * {step}L")).scalar()
     raw = events.filter(F.col("ts_us") < end).agg(F.count(F.lit(1))).scalar()
-    folded = F.coalesce(F.sum("n_current"), F.lit(0))
-    return ticks.agg(folded.alias("folded"), F.countDistinct("ts_us").alias("frames")).select(
-        "frames", "folded", raw.alias("raw"),
-    ).withColumn("drift_percent", F.when(F.col("raw") > 0, (F.col("folded") - F.col("raw")) / F.col("raw") * 100)) \
-        .withColumn("flagged", F.abs("drift_percent") >= limit_percent)
+    frames = ticks.groupBy("ts_us").agg(F.sum("n_current").alias("n"))
+    return frames.agg(F.count(F.lit(1)).alias("frames"), F.expr("coalesce(sum(n), 0L) AS folded")).withColumn(
+        "raw", raw,
+    ).selectExpr("*", "if(raw > 0, (folded - raw) * 100.0D / raw, NULL) AS drift_percent").selectExpr(
+        "*", f"abs(drift_percent) >= {limit_percent!r}D AS flagged",
+    )

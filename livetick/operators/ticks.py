@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from livetick.functions.sigma import beyond
-from livetick.functions.timecols import duration_us, floor_div
-from livetick.operators.sliding import deviation, moment_buckets, sliding_moments
+from livetick.functions.timecols import duration_us, grid
+from livetick.operators.grid import next_in_key
+from livetick.operators.sliding import deviation, moments_by, sliding_moments
 from livetick.schema import DEFAULT_THRESHOLDS
 
+_STATS = {"cpu_avg": "double", "cpu_sd": "double", "cpu_n": "bigint", "n_current": "bigint"}
+_SIDES = ("above", "below")
+
 
 def _width(tick_us: int, base_us: int) -> int:
     if base_us % tick_us:
@@ -18,23 +22,21 @@ def _width(tick_us: int, base_us: int) -> int:
 
 def last_closed(events: DataFrame, tick_us: int) -> Column:
     """Index of the last tick whose boundary an event has reached (one scalar subquery)."""
-    return events.agg((floor_div(F.max("ts_us"), tick_us) - 1).alias("k")).scalar()
+    return events.agg(F.expr(f"{grid('max(ts_us)', tick_us)} - 1 AS k")).scalar()
 
 
 def tick_slices(events: DataFrame, tick: str | int, closed_only: bool = True) -> DataFrame:
     """Per host and tick: count, extremes and request statistics of the slice [T - tick, T)."""
     step = duration_us(tick)
-    slices = events.withColumn("k", floor_div(F.col("ts_us"), step)).groupBy("host", "k").agg(
-        F.count("cpu").alias("n_current"),
-        F.min("cpu").alias("cpu_min"),
-        F.max("cpu").alias("cpu_max"),
-        F.avg("requests").alias("requests_avg"),
-        F.coalesce(F.sum("requests"), F.lit(0)).alias("requests_sum"),
-        F.count("requests").alias("requests_n"),
-    )
+    slices = events.selectExpr("host", f"{grid('ts_us', step)} AS k", "cpu", "requests").groupBy("host", "k").agg(
+        *[F.expr(e) for e in (
+            "count(cpu) AS n_current", "min(cpu) AS cpu_min", "max(cpu) AS cpu_max",
+            "avg(requests) AS requests_avg", "coalesce(sum(requests), 0L) AS requests_sum",
+            "count(requests) AS requests_n",
+        )])
     if closed_only:
         slices = slices.filter(F.col("k") <= last_closed(events, step))
-    return slices.withColumn("ts_us", (F.col("k") + 1) * step).drop("k")
+    return slices.withColumn("ts_us", F.expr(f"(k + 1) * {step}L")).drop("k")
 
 
 def tick_baseline(events: DataFrame, tick: str | int, base: str | int,
@@ -42,16 +44,12 @@ def tick_baseline(events: DataFrame, tick: str | int, base: str | int,
     """Per host and tick with a non-empty window [T - base, T): avg, deviation, count, slice count."""
     step = duration_us(tick)
     width = _width(step, duration_us(base))
-    buckets = moment_buckets(events, ["host"], floor_div(F.col("ts_us"), step), "cpu")
+    buckets = moments_by(events.selectExpr("host", f"{grid('ts_us', step)} AS k", "cpu"), ["host", "k"], "cpu")
     rolled = sliding_moments(buckets, ["host"], width)
     if closed_only:
         rolled = rolled.filter(F.col("k") <= last_closed(events, step))
-    return rolled.select(
-        "host", "k",
-        F.col("mean").alias("cpu_avg"),
-        deviation(F.col("n"), F.col("m2"), ddof).alias("cpu_sd"),
-        F.col("n").alias("cpu_n"),
-        "n_current",
+    return rolled.selectExpr(
+        "host", "k", "mean AS cpu_avg", f"{deviation('n', 'm2', ddof)} AS cpu_sd", "n AS cpu_n", "n_current",
     )
 
 
@@ -76,58 +74,39 @@ def host_ticks(
     # Said before the plan forks, so that both branches share the bucket exchange.
     events = events.filter("host IS NOT NULL AND ts IS NOT NULL")
     baseline = tick_baseline(events, step, base, closed_only, ddof)
-    flags = [(side, i, t) for side in ("above", "below") for i, t in enumerate(thresholds)]
-    counter = {(side, i): f"_{side}{i}" for side, i, _ in flags}
-
-    samples = (
-        events.select("host", floor_div(F.col("ts_us"), step).alias("k"), "cpu")
-        .join(baseline.filter("n_current > 0").select("host", "k", "cpu_avg", "cpu_sd"), ["host", "k"])
-        .select(
-            "host", ((F.col("k") + 1) * step).alias("ts_us"),
-            *[F.lit(None).cast(t).alias(c) for c, t in _STATS],
-            *[
-                F.coalesce(beyond(F.col("cpu"), F.col("cpu_avg"), F.col("cpu_sd"), F.lit(t), side), F.lit(False))
-                .cast("int").alias(counter[side, i])
-                for side, i, t in flags
-            ],
-        )
+    boundary = f"(k + 1) * {step}L AS ts_us"
+    levels = list(enumerate(thresholds))
+
+    samples = events.selectExpr("host", f"{grid('ts_us', step)} AS k", "cpu").join(
+        baseline.filter("n_current > 0").select("host", "k", "cpu_avg", "cpu_sd"), ["host", "k"],
+    ).selectExpr(
+        "host", boundary, *[f"CAST(NULL AS {t}) AS {c}" for c, t in _STATS.items()],
+        *[f"int({beyond('cpu', 'cpu_avg', 'cpu_sd', t, s)}) AS _{s}{i}" for s in _SIDES for i, t in levels],
     )
-    stats = baseline.select(
-        "host", ((F.col("k") + 1) * step).alias("ts_us"), *[c for c, _ in _STATS],
-        *[F.lit(0).alias(c) for c in counter.values()],
+    stats = baseline.selectExpr(
+        "host", boundary, *_STATS, *[f"0 AS _{s}{i}" for s in _SIDES for i, _ in levels],
     )
     ticks = stats.unionByName(samples).groupBy("host", "ts_us").agg(
-        *[F.max(c).alias(c) for c, _ in _STATS], *[F.sum(c).alias(c) for c in counter.values()],
-    ).select(
-        "ts_us", "host", *[c for c, _ in _STATS],
-        *[
-            F.array(*[F.col(counter[side, i]) for i in range(len(thresholds))]).alias(f"anomalies_{side}")
-            for side in ("above", "below")
-        ],
-    )
+        *[F.expr(f"max({c}) AS {c}") for c in _STATS],
+        *[F.expr(f"array({', '.join(f'sum(_{s}{i})' for i, _ in levels)}) AS anomalies_{s}") for s in _SIDES],
+    ).select("ts_us", "host", *_STATS, *[f"anomalies_{s}" for s in _SIDES])
     return _fill_silent(ticks, step, len(thresholds)) if emit_empty else ticks
 
 
-_STATS = [("cpu_avg", "double"), ("cpu_sd", "double"), ("cpu_n", "bigint"), ("n_current", "bigint")]
-
-
 def _fill_silent(ticks: DataFrame, step: int, n_thresholds: int) -> DataFrame:
     """Also a row for each silent host and tick, between the host's first tick and the last one.
 
     A gap is filled from the row before it; each row looks one row ahead only.
     """
-    from livetick.operators.grid import next_in_key
-
     end = ticks.agg(F.max("ts_us")).scalar()
-    ahead = next_in_key(ticks, ["host"], "ts_us", step * 100_000, "_next")
-    gap_first = F.col("ts_us") + step
-    gap_last = F.coalesce(F.col("_next") - step, end)
-    zeros = F.array(*[F.lit(0).cast("bigint")] * n_thresholds)
-    gaps = ahead.filter(gap_first <= gap_last).select(
-        F.explode(F.sequence(gap_first, gap_last, F.lit(step).cast("bigint"))).alias("ts_us"), "host",
-        F.lit(None).cast("double").alias("cpu_avg"), F.lit(None).cast("double").alias("cpu_sd"),
-        F.lit(0).cast("bigint").alias("cpu_n"), F.lit(0).cast("bigint").alias("n_current"),
-        zeros.alias("anomalies_above"), zeros.alias("anomalies_below"),
+    ahead = next_in_key(ticks.select("host", "ts_us"), ["host"], "ts_us", step * 100_000, "_next")
+    zeros = f"array_repeat(0L, {n_thresholds})"
+    gaps = ahead.withColumn("_last", F.coalesce(F.expr(f"_next - {step}L"), end)).filter(
+        f"ts_us + {step}L <= _last",
+    ).selectExpr(
+        f"explode(sequence(ts_us + {step}L, _last, {step}L)) AS ts_us", "host",
+        "CAST(NULL AS double) AS cpu_avg", "CAST(NULL AS double) AS cpu_sd", "0L AS cpu_n", "0L AS n_current",
+        f"{zeros} AS anomalies_above", f"{zeros} AS anomalies_below",
     )
     return ticks.unionByName(gaps)
 
@@ -139,12 +118,9 @@ def slice_samples(events: DataFrame, tick: str | int, part_rows: int = 10_000) -
     whole without building one array of it. Part 0 is the only one of a small slice.
     """
     step = duration_us(tick)
-    rows = events.withColumn("k", floor_div(F.col("ts_us"), step))
+    rows = events.filter("host IS NOT NULL AND ts IS NOT NULL").selectExpr("*", f"{grid('ts_us', step)} AS k")
     counts = rows.groupBy("host", "k").agg(F.count("cpu").alias("n_current"))
-    n_parts = F.ceil(F.col("n_current") / part_rows).cast("bigint")
-    return (
-        rows.join(counts, ["host", "k"])
-        .withColumn("part", F.pmod(F.xxhash64("ts_us", "cpu", "requests", "seq"), n_parts))
-        .groupBy("host", "part", ((F.col("k") + 1) * step).alias("ts_us"), "n_current")
-        .agg(F.sort_array(F.collect_list("cpu")).alias("samples"))
-    )
+    return rows.join(counts, ["host", "k"]).selectExpr(
+        "host", f"(k + 1) * {step}L AS ts_us", "n_current", "cpu",
+        f"pmod(xxhash64(seq), greatest(1L, ceil(n_current / {part_rows}))) AS part",
+    ).groupBy("host", "ts_us", "n_current", "part").agg(F.sort_array(F.collect_list("cpu")).alias("samples"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from livetick.functions.display import age_text, percent_text
 from livetick.functions.sigma import count_at_sigma as at_sigma
@@ -10,7 +10,6 @@ from livetick.operators import bands as B, hosts, rollups
 from livetick.plans import inputs, settings as S
 from livetick.plans.shape import ms, num
 from livetick.sources.tables import from_points, read_events, static_series
-from pyspark.sql import types as T
 
 
 def _enabled_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,12 +18,12 @@ def _enabled_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.bands(_enabled_ticks(spark, sf_dir), S.SIGMA, S.MIN_SAMPLES)
-    return rows.select(ms(), "host", num("smooth"), num("upper"), num("lower"))
+    return rows.selectExpr(ms(), "host", num("smooth"), num("upper"), num("lower"))
 
 
 def anomaly_dots(spark: SparkSession, sf_dir: str) -> DataFrame:
     dots = B.anomaly_dots(_enabled_ticks(spark, sf_dir), S.SIGMA, S.MIN_SAMPLES)
-    return dots.select(ms(), "host", "side", num("value"), num("n_at_sigma"), num("radius"), num("opacity"))
+    return dots.selectExpr(ms(), "host", "side", num("value"), num("n_at_sigma"), num("radius"), num("opacity"))
 
 
 def anomaly_bars_15s(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,24 +31,24 @@ def anomaly_bars_15s(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = from_points(dots, T.StructType([
         T.StructField("ts_us", T.LongType()), T.StructField("value", T.DoubleType())]))
     bars = rollups.bucket_counts(points, S.BUCKET)
-    return bars.select(ms("begin_us", "begin_ms"), ms("end_us", "end_ms"), ms("mid_us", "mid_ms"), "n")
+    return bars.selectExpr(ms("begin_us", "begin_ms"), ms("end_us", "end_ms"), ms("mid_us", "mid_ms"), "n")
 
 
 def anomaly_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.anomaly_density(inputs.ticks(spark, sf_dir), S.SIGMA, S.BUCKET)
-    return rows.select(ms("bucket_us", "bucket_ms"), "host", num("anomalies"), "samples", num("fraction"))
+    return rows.selectExpr(ms("bucket_us", "bucket_ms"), "host", num("anomalies"), "samples", num("fraction"))
 
 
 def anomaly_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.anomaly_feed(inputs.ticks(spark, sf_dir), S.SIGMA, 20)
-    return rows.select(ms(), "host", num("above_at_sigma"), num("below_at_sigma"), "n_current")
+    return rows.selectExpr(ms(), "host", num("above_at_sigma"), num("below_at_sigma"), "n_current")
 
 
 def _at_every_sigma(spark: SparkSession, sf_dir: str, log: bool) -> DataFrame:
-    rows = inputs.ticks(spark, sf_dir).withColumn("sigma", F.explode(F.array(*[F.lit(s) for s in S.SIGMAS])))
-    at = B.threshold_array(None)
-    return rows.select(ms(), "host", "sigma", *[
-        num(at_sigma(F.col(f"anomalies_{side}"), F.col("sigma"), at, log=log), side) for side in ("above", "below")
+    sigmas = ", ".join(f"{s!r}D" for s in S.SIGMAS)
+    rows = inputs.ticks(spark, sf_dir).selectExpr("*", f"explode(array({sigmas})) AS sigma")
+    return rows.selectExpr(ms(), "host", "sigma", *[
+        num(at_sigma(f"anomalies_{side}", "sigma", log=log), side) for side in ("above", "below")
     ])
 
 
@@ -64,26 +63,23 @@ def count_at_sigma_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wide_by_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.bands(inputs.ticks(spark, sf_dir), S.SIGMA, S.MIN_SAMPLES)
     wide = B.wide_by_time(rows, S.ALL_HOSTS, ["smooth", "upper", "lower"])
-    return wide.select(ms(), *[num(f"{h}_{c}") for h in S.ALL_HOSTS for c in ("smooth", "upper", "lower")])
+    return wide.selectExpr(ms(), *[num(f"{h}_{c}") for h in S.ALL_HOSTS for c in ("smooth", "upper", "lower")])
 
 
 def axis_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.bands(_enabled_ticks(spark, sf_dir), S.SIGMA, S.MIN_SAMPLES)
-    return B.axis_domain(rows, ["smooth", "upper", "lower"]).select(num("lo"), num("hi"), num("y_min"), num("y_max"))
+    return B.axis_domain(rows, ["smooth", "upper", "lower"]).selectExpr(num("lo"), num("hi"), num("y_min"), num("y_max"))
 
 
 def threshold_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smoothed lines of the enabled hosts plus a fixed line over the visible axis."""
     events = read_events(spark, sf_dir)
-    lines = B.gated(_enabled_ticks(spark, sf_dir), S.SIGMA, S.MIN_SAMPLES).select(
-        F.col("host").alias("series"), ms(), num("smooth", "value"))
+    lines = B.gated(_enabled_ticks(spark, sf_dir), S.SIGMA, S.MIN_SAMPLES).selectExpr(
+        "host AS series", ms(), num("smooth", "value"))
     # Two mounted rows; each takes one end of the axis.
-    mounted = static_series(spark, [(0, S.HIGH), (1, S.HIGH)])
-    axis = F.floor(events.agg(F.max("ts_us")).scalar() / 1_000).cast("bigint")
-    line = mounted.select(
-        F.lit("threshold").alias("series"),
-        F.when(F.col("ts_ms") == 0, axis - 5 * 86_400_000).otherwise(axis).alias("ts_ms"), "value",
-    )
+    mounted = static_series(spark, [(-5 * 86_400_000, S.HIGH), (0, S.HIGH)])
+    axis_end = events.agg(F.expr(ms("max(ts_us)", "t"))).scalar()
+    line = mounted.select(F.lit("threshold").alias("series"), (F.col("ts_ms") + axis_end).alias("ts_ms"), "value")
     return lines.unionByName(line)
 
 
@@ -91,9 +87,8 @@ def latest_tick_per_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest tick per host, known hosts first, with display texts and age at the newest event."""
     as_of = read_events(spark, sf_dir).agg(F.max("ts_us")).scalar()
     last = rollups.latest_per(inputs.ticks(spark, sf_dir), ["host"])
-    ordered = hosts.ranked_hosts(last, inputs.hosts(spark))
-    return ordered.withColumn("_age_us", as_of - F.col("ts_us")).select(
-        "host", F.col("rank").cast("bigint").alias("rank"), ms(),
-        percent_text(F.col("cpu_avg")).alias("avg_text"), percent_text(F.col("cpu_sd")).alias("sd_text"),
-        "cpu_n", age_text(F.floor(F.col("_age_us") / 1_000).cast("bigint")).alias("age"),
+    ordered = hosts.ranked_hosts(last, inputs.hosts(spark)).withColumn("age_ms", (as_of - F.col("ts_us")))
+    return ordered.selectExpr(
+        "host", "bigint(rank) AS rank", ms(), f"{percent_text('cpu_avg')} AS avg_text",
+        f"{percent_text('cpu_sd')} AS sd_text", "cpu_n", f"{age_text('(age_ms div 1000L)')} AS age",
     )

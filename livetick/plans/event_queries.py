@@ -7,7 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from livetick.functions.timecols import floor_div
+from livetick.functions.timecols import grid as grid_of
 from livetick.operators import baseline, custom, grid, hosts, ordering, rollups, smoothing, telemetry
 from livetick.plans import inputs, settings as S
 from livetick.plans.shape import flat, ms, num
@@ -39,7 +39,7 @@ def snapshot_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = parts.select("part", F.from_json("frame", "type string, rows array<struct<time_ms bigint, cpu double>>").alias("f"))
     return decoded.select("part", F.col("f.type").alias("type"), F.inline("f.rows")).groupBy("part", "type").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("time_ms").alias("first_ms"), F.max("time_ms").alias("last_ms"),
-        num(F.sum("cpu"), "cpu_sum"),
+        F.expr(num("sum(cpu)", "cpu_sum")),
     )
 
 
@@ -56,7 +56,7 @@ def required_null_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_events(spark, sf_dir).select("seq", "host", F.nullif("cpu", F.lit(0.0)).alias("cpu"),
                                              F.nullif("requests", F.lit(0)).alias("requests"))
     tagged = split_required(rows, ["cpu", "requests", "host"])
-    return tagged.select("seq", "status", flat("missing"))
+    return tagged.selectExpr("seq", "status", flat("missing"))
 
 
 # -- hosts, filters, roll-ups -------------------------------------------------------
@@ -67,8 +67,8 @@ def enabled_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def host_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hosts.discover(read_events(spark, sf_dir), inputs.hosts(spark)).select(
-        "host", F.col("rank").cast("bigint").alias("rank")).orderBy("rank")
+    return hosts.discover(read_events(spark, sf_dir), inputs.hosts(spark)).selectExpr(
+        "host", "bigint(rank) AS rank").orderBy("rank")
 
 
 def high_cpu_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,21 +77,21 @@ def high_cpu_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def host_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.host_rollup(read_events(spark, sf_dir)).select(
+    return rollups.host_rollup(read_events(spark, sf_dir)).selectExpr(
         "host", num("cpu_avg"), num("cpu_sd"), "n", "requests_sum", "cpu_min", "cpu_max")
 
 
 def host_tail_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.tail(read_events(spark, sf_dir), S.TAIL).groupBy("host").agg(
-        num(F.avg("requests"), "requests_avg"), F.count(F.lit(1)).alias("n"))
+        F.expr(num("avg(requests)", "requests_avg")), F.count(F.lit(1)).alias("n"))
 
 
 def rolling_tail_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.tail(read_events(spark, sf_dir), S.TAIL).agg(num(F.avg("cpu"), "rolling_cpu"))
+    return rollups.tail(read_events(spark, sf_dir), S.TAIL).agg(F.expr(num("avg(cpu)", "rolling_cpu")))
 
 
 def event_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.event_rate(read_events(spark, sf_dir), S.TAIL).select("n_events", num("events_per_sec"))
+    return rollups.event_rate(read_events(spark, sf_dir), S.TAIL).selectExpr("n_events", num("events_per_sec"))
 
 
 def alert_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,11 +99,11 @@ def alert_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     axis = events.agg(F.max("ts_us")).scalar()
     alerts = hosts.high_value(events, S.HIGH, inputs.disabled(spark))
     bars = rollups.clip_bars(rollups.bucket_counts(alerts, S.BUCKET), axis - 5 * 86_400_000_000, axis)
-    return bars.select(ms("begin_us", "begin_ms"), ms("end_us", "end_ms"), ms("mid_us", "mid_ms"), "n")
+    return bars.selectExpr(ms("begin_us", "begin_ms"), ms("end_us", "end_ms"), ms("mid_us", "mid_ms"), "n")
 
 
 def keep_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.top_n(read_events(spark, sf_dir), S.TICK, 3).select(ms(), "host", "cpu_keep", "n", flat("top"))
+    return rollups.top_n(read_events(spark, sf_dir), S.TICK, 3).selectExpr(ms(), "host", "cpu_keep", "n", flat("top"))
 
 
 def first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,11 +112,11 @@ def first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rollups.newest(read_events(spark, sf_dir), 20, F.col("ts").desc(), F.col("seq").desc())
-    return rows.select("seq", ms(), "host", "cpu", "requests")
+    return rows.selectExpr("seq", ms(), "host", "cpu", "requests")
 
 
 def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.page_summary(read_events(spark, sf_dir), S.KEEP, S.TAIL).select(
+    return rollups.page_summary(read_events(spark, sf_dir), S.KEEP, S.TAIL).selectExpr(
         "retained", "hosts", num("events_per_sec"), "evicted")
 
 
@@ -128,7 +128,7 @@ def custom_reducer(spark: SparkSession, sf_dir: str) -> DataFrame:
         combine=lambda a, b: [a[0] + b[0], a[1] + b[1]],
         finish=lambda s: math.sqrt(s[0] / s[1]),
         out="cpu_rms",
-    ).select("host", num("cpu_rms"))
+    ).selectExpr("host", num("cpu_rms"))
 
 
 def host_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,19 +139,19 @@ def host_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_events(spark, sf_dir).select("seq", "host", "cpu")
     calls = custom.partition_apply(rows, "host", spread, "host string, lo double, hi double, rows bigint")
     return calls.groupBy("host").agg(
-        (F.max("hi") - F.min("lo")).alias("_s"), F.sum("rows").alias("n")).select("host", num("_s", "spread"), "n")
+        (F.max("hi") - F.min("lo")).alias("_s"), F.sum("rows").alias("n")).selectExpr("host", num("_s", "spread"), "n")
 
 
 # -- rolling and ordered ------------------------------------------------------------
 
 def event_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = baseline.event_baseline(read_events(spark, sf_dir), S.BASE, 2.0, S.MIN_SAMPLES)
-    return rows.select("seq", ms(), "host", "cpu", "window_n", num("avg"), num("sd"), num("upper"), num("lower"))
+    return rows.selectExpr("seq", ms(), "host", "cpu", "window_n", num("avg"), num("sd"), num("upper"), num("lower"))
 
 
 def event_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = baseline.event_baseline(read_events(spark, sf_dir), S.BASE, 2.0, S.MIN_SAMPLES)
-    return baseline.outliers(rows).select("seq", ms(), "host", "cpu", num("upper"), num("lower"))
+    return baseline.outliers(rows).selectExpr("seq", ms(), "host", "cpu", num("upper"), num("lower"))
 
 
 def _smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,21 +163,21 @@ def _smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ema_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _smoothed(spark, sf_dir).select("seq", ms(), "host", "pos", num("ema"), num("req_per_sec"))
+    return _smoothed(spark, sf_dir).selectExpr("seq", ms(), "host", "pos", num("ema"), num("req_per_sec"))
 
 
 def ema_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return smoothing.ema_last(read_events(spark, sf_dir), "cpu", S.ALPHA_TREND).select(num("trend"))
+    return smoothing.ema_last(read_events(spark, sf_dir), "cpu", S.ALPHA_TREND).selectExpr(num("trend"))
 
 
 def total_req_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = rollups.latest_per(_smoothed(spark, sf_dir), ["host"], "seq")
-    return last.agg(num(F.sum("req_per_sec"), "total_req_per_sec"))
+    return last.agg(F.expr(num("sum(req_per_sec)", "total_req_per_sec")))
 
 
 def back_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ordering.back_window(read_events(spark, sf_dir), S.VIEW)
-    return rows.select("seq", ms(), "host", "cpu", ms("t_start_us", "t_start_ms"), ms("t_end_us", "t_end_ms"))
+    return rows.selectExpr("seq", ms(), "host", "cpu", ms("t_start_us", "t_start_ms"), ms("t_end_us", "t_end_ms"))
 
 
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +188,7 @@ def late_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some events arrive up to seven places late; those behind the newest accepted one are dropped."""
     shifted = read_events(spark, sf_dir).withColumn(
         "arrival", F.col("seq") * 2 + F.when(F.pmod("seq", F.lit(5)) == 0, 15).otherwise(0))
-    return ordering.late_filter(shifted, "arrival").select("seq", ms(), "host")
+    return ordering.late_filter(shifted, "arrival").selectExpr("seq", ms(), "host")
 
 
 def snapshot_append_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,12 +197,12 @@ def snapshot_append_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     lo, hi = events.agg(F.min("ts")).scalar(), events.agg(F.max("ts")).scalar()
     held = events.filter(F.col("ts") <= lo + (hi - lo) * 0.6)
     incoming = events.filter(F.col("ts") >= lo + (hi - lo) * 0.5)
-    return ordering.resume_merge(held, incoming).select("seq", ms(), "host", "cpu")
+    return ordering.resume_merge(held, incoming).selectExpr("seq", ms(), "host", "cpu")
 
 
 def grid_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = grid.grid_fill(read_events(spark, sf_dir), "10m", chunk_steps=1_000)
-    return rows.select(ms(), "host", num("value"), num("filled"))
+    return rows.selectExpr(ms(), "host", num("value"), num("filled"))
 
 
 # -- telemetry ----------------------------------------------------------------------
@@ -227,33 +227,32 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pause_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telemetry.pause_rollup(read_events(spark, sf_dir), "host", "cpu").select(
+    return telemetry.pause_rollup(read_events(spark, sf_dir), "host", "cpu").selectExpr(
         "host", "pauses", num("total_ms"), "max_ms")
 
 
 def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches are the events of one host within an hour."""
-    sizes = read_events(spark, sf_dir).groupBy("host", floor_div(F.col("ts_us"), 3_600_000_000).alias("k")).agg(
+    sizes = read_events(spark, sf_dir).groupBy("host", F.expr(grid_of("ts_us", 3_600_000_000)).alias("k")).agg(
         F.count(F.lit(1)).alias("size"))
-    return telemetry.batch_stats(sizes, F.col("size")).select("calls", "events", num("avg_batch"), "max_batch")
+    return telemetry.batch_stats(sizes, "size").selectExpr("calls", "events", num("avg_batch"), "max_batch")
 
 
 def egress_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A frame goes to the users active in its batch."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
-    users = raw.groupBy(floor_div(F.col("event_id"), S.BATCH_ROWS).alias("batch_id")).agg(
+    users = raw.groupBy(F.expr(grid_of("event_id", S.BATCH_ROWS)).alias("batch_id")).agg(
         F.countDistinct("user_id").alias("subscribers"))
     encoded = frames.append_frames(frames.event_batches(read_events(spark, sf_dir), S.BATCH_ROWS))
-    return telemetry.egress(encoded.join(users, "batch_id"), F.col("subscribers"))
+    return telemetry.egress(encoded.join(users, "batch_id"), "subscribers")
 
 
 def phase_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price as the total, discount and tax as its measured phases; percentiles of what is left."""
-    phases = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        "l_returnflag", F.col("l_extendedprice").alias("total"),
-        (F.col("l_extendedprice") * F.col("l_discount")).alias("record"),
-        (F.col("l_extendedprice") * F.col("l_tax")).alias("serialize"),
+    phases = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
+        "l_returnflag", "l_extendedprice AS total", "l_extendedprice * l_discount AS record",
+        "l_extendedprice * l_tax AS serialize",
     )
     rest = telemetry.phase_residual(phases, "total", ["record", "serialize"])
     ranks = telemetry.floor_percentiles(rest, ["l_returnflag"], "residual", [50, 95, 99], chunk_width=1_000)
-    return ranks.select("l_returnflag", "n", num("p50"), num("p95"), num("p99"))
+    return ranks.selectExpr("l_returnflag", "n", num("p50"), num("p95"), num("p99"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from livetick.functions.timecols import floor_div
+from livetick.functions.timecols import grid
 from livetick.operators.ticks import host_ticks
 from livetick.plans import settings as S
 from livetick.sources.tables import host_dimension, read_events
@@ -24,13 +24,12 @@ def disabled(spark: SparkSession) -> DataFrame:
 
 def arrivals(events: DataFrame) -> DataFrame:
     """Every event, keyed by host and day, so that keys collide."""
-    day = floor_div(F.col("ts_us"), 86_400_000_000).alias("day")
-    return events.select("host", day, "seq", F.col("ts_us").alias("at_us"), "cpu")
+    return events.selectExpr("host", f"{grid('ts_us', 86_400_000_000)} AS day", "seq", "ts_us AS at_us", "cpu")
 
 
 def emissions(events: DataFrame) -> DataFrame:
     """Events leave with their ingest batch, at its last event; outsized values are held back."""
-    batch = floor_div(F.col("seq"), S.BATCH_ROWS)
+    batch = F.expr(grid("seq", S.BATCH_ROWS))
     ends = events.groupBy(batch.alias("batch")).agg(F.max("ts_us").alias("end_us"))
-    sent = arrivals(events).filter(F.col("cpu") <= S.HELD_BACK).withColumn("batch", batch)
-    return sent.join(ends, "batch").select("host", "day", "seq", F.col("end_us").alias("at_us"))
+    sent = arrivals(events).filter(f"cpu <= {S.HELD_BACK}").withColumn("batch", batch)
+    return sent.join(ends, "batch").selectExpr("host", "day", "seq", "end_us AS at_us")

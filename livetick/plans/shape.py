@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 from livetick.functions.timecols import to_ms
 
 # Means of two-decimal values often end exactly half-way at the sixth decimal, where
@@ -12,16 +10,15 @@ from livetick.functions.timecols import to_ms
 SHIFT = 3.3e-8
 
 
-def num(col: Column | str, name: str | None = None) -> Column:
+def num(expr: str, name: str | None = None) -> str:
     """A float rounded to six decimals."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.round(c + F.lit(SHIFT), 6).alias(name or col)
+    return f"round({expr} + {SHIFT!r}D, 6) AS {name or expr}"
 
 
-def ms(col: str = "ts_us", name: str = "ts_ms") -> Column:
-    return to_ms(F.col(col)).alias(name)
+def ms(col: str = "ts_us", name: str = "ts_ms") -> str:
+    return f"{to_ms(col)} AS {name}"
 
 
-def flat(col: str) -> Column:
+def flat(col: str) -> str:
     """An array as comma-separated text."""
-    return F.array_join(F.transform(F.col(col), lambda x: x.cast("string")), ",").alias(col)
+    return f"array_join(transform({col}, x -> string(x)), ',') AS {col}"

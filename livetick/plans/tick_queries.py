@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from livetick.functions.timecols import floor_div
+from livetick.functions.timecols import grid
 from livetick.operators import telemetry
 from livetick.operators.rollups import newest, weighted_rollup as weighted
+from livetick.operators.running import running
 from livetick.operators.ticks import host_ticks as build_ticks, slice_samples as samples_of, tick_slices
 from livetick.plans import inputs, settings as S
 from livetick.plans.shape import flat, ms, num
@@ -15,7 +16,7 @@ from livetick.sources.tables import read_events, read_lineitem
 
 
 def _tick_rows(ticks: DataFrame) -> DataFrame:
-    return ticks.select(
+    return ticks.selectExpr(
         ms(), "host", num("cpu_avg"), num("cpu_sd"), "cpu_n", "n_current",
         flat("anomalies_above"), flat("anomalies_below"),
     )
@@ -39,17 +40,17 @@ def host_ticks_silent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slice_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples_of(read_events(spark, sf_dir), S.TICK).select(
+    return samples_of(read_events(spark, sf_dir), S.TICK).selectExpr(
         ms(), "host", "part", "n_current", flat("samples"),
     )
 
 
 def tick_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tick_slices(read_events(spark, sf_dir), S.TICK).select(ms(), "host", "cpu_min", "cpu_max")
+    return tick_slices(read_events(spark, sf_dir), S.TICK).selectExpr(ms(), "host", "cpu_min", "cpu_max")
 
 
 def tick_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tick_slices(read_events(spark, sf_dir), S.TICK).select(
+    return tick_slices(read_events(spark, sf_dir), S.TICK).selectExpr(
         ms(), "host", num("requests_avg"), "requests_sum", "requests_n",
     )
 
@@ -57,8 +58,8 @@ def tick_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON frame per tick, compared through its decoded rows."""
     encoded = frames.aggregate_frames(inputs.ticks(spark, sf_dir))
-    return frames.decode_ticks(encoded).select(
-        "type", F.col("ts").alias("ts_ms"), "host", num("cpu_avg"), num("cpu_sd"), "cpu_n", "n_current",
+    return frames.decode_ticks(encoded).selectExpr(
+        "type", "ts AS ts_ms", "host", num("cpu_avg"), num("cpu_sd"), "cpu_n", "n_current",
         flat("anomalies_above"), flat("anomalies_below"),
     )
 
@@ -68,34 +69,34 @@ def tick_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = inputs.ticks(spark, sf_dir)
     span = 86_400_000_000
     recent = ticks.filter(F.col("ts_us") > ticks.agg(F.max("ts_us")).scalar() - span)
-    return frames.decode_ticks(frames.aggregate_snapshot(recent)).select(
-        "type", F.col("ts").alias("ts_ms"), "host", num("cpu_avg"), "cpu_n", "n_current",
+    return frames.decode_ticks(frames.aggregate_snapshot(recent)).selectExpr(
+        "type", "ts AS ts_ms", "host", num("cpu_avg"), "cpu_n", "n_current",
     )
 
 
 def last_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = newest(inputs.ticks(spark, sf_dir), 20, F.col("ts_us").desc(), F.col("host"))
-    return rows.select(ms(), "host", num("cpu_avg"), num("cpu_sd"), "cpu_n", "n_current")
+    return rows.selectExpr(ms(), "host", num("cpu_avg"), num("cpu_sd"), "cpu_n", "n_current")
 
 
 def weighted_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = weighted(inputs.ticks(spark, sf_dir), S.TICK, "6h")
-    return rows.select(ms(), "host", num("weighted_avg"), "weight")
+    return rows.selectExpr(ms(), "host", num("weighted_avg"), "weight")
 
 
 def frame_fanin(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = telemetry.frame_fanin(inputs.ticks(spark, sf_dir), 7 * 86_400_000_000)
-    return rows.select(ms(), "frame_events", "total_frames", "total_events", num("fan_in"))
+    return rows.selectExpr(ms(), "frame_events", "total_frames", "total_events", num("fan_in"))
 
 
 def global_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = telemetry.global_ticks(read_events(spark, sf_dir), S.TICK, S.KEEP, chunk_ticks=200)
-    return rows.select(ms(), "events_ingested_total", num("events_per_sec"), "evicted_total")
+    return rows.selectExpr(ms(), "events_ingested_total", num("events_per_sec"), "evicted_total")
 
 
 def cumulative_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = telemetry.cumulative_rate(read_events(spark, sf_dir), S.TICK, chunk_ticks=200)
-    return rows.select(ms(), "host", "cumulative", num("rate"))
+    return rows.selectExpr(ms(), "host", "cumulative", num("rate"))
 
 
 def tick_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,29 +105,26 @@ def tick_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     gaps = telemetry.tick_gaps(slices, S.TICK, chunk_ticks=200)
     ranks = telemetry.floor_percentiles(gaps, ["host"], "gap_us", [50, 99], chunk_width=3_600_000_000)
     missed = gaps.groupBy("host").agg(F.count_if("missed").alias("missed"))
-    return ranks.join(missed, "host").select(
-        "host", F.col("n").alias("n_gaps"), ms("p50", "p50_ms"), ms("p99", "p99_ms"), "missed",
+    return ranks.join(missed, "host").selectExpr(
+        "host", "n AS n_gaps", ms("p50", "p50_ms"), ms("p99", "p99_ms"), "missed",
     )
 
 
 def conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_events(spark, sf_dir)
     rows = telemetry.conservation(build_ticks(events, S.TICK, S.BASE), events, S.TICK)
-    return rows.select("frames", "folded", "raw", num("drift_percent"), "flagged")
+    return rows.selectExpr("frames", "folded", "raw", num("drift_percent"), "flagged")
 
 
 def counter_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scrapes are the hourly slices of each host with running counters."""
-    from livetick.operators.running import running
-
-    slices = tick_slices(read_events(spark, sf_dir), S.TICK).withColumn(
-        "uptime_sec", floor_div(F.col("ts_us"), 1_000_000))
-    scrapes = running(slices, ["host"], ["ts_us"], floor_div(F.col("ts_us"), 7 * 86_400_000_000), {
-        "ingested": ("sum", F.col("n_current")), "requests": ("sum", F.col("requests_sum")),
+    slices = tick_slices(read_events(spark, sf_dir), S.TICK).selectExpr("*", f"{grid('ts_us', 1_000_000)} AS uptime_sec")
+    scrapes = running(slices, ["host"], "ts_us", grid("ts_us", 7 * 86_400_000_000), {
+        "ingested": ("sum", "n_current"), "requests": ("sum", "requests_sum"),
     })
     rows = telemetry.counter_deltas(scrapes, ["host"], "uptime_sec", ["ingested", "requests"], ["cpu_max"])
-    return rows.select(
-        "host", F.col("span").alias("span_sec"), "ingested_delta", "requests_delta",
+    return rows.selectExpr(
+        "host", "span AS span_sec", "ingested_delta", "requests_delta",
         num("ingested_rate"), num("requests_rate"), "cpu_max_peak",
     )
 

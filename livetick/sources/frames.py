@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from livetick.functions.timecols import floor_div, to_ms
+from livetick.functions.timecols import grid, to_ms
 from livetick.schema import DEFAULT_THRESHOLDS, HOST_TICK, WIRE_EVENT
 
 # The frame types of the two streams.
@@ -13,12 +13,12 @@ AGGREGATE_TYPES = ("aggregate-snapshot", "aggregate-append")
 
 
 def _wire_event() -> Column:
-    return F.struct(to_ms(F.col("ts_us")).alias("time_ms"), "cpu", "requests", "host")
+    return F.expr(f"struct({to_ms('ts_us')} AS time_ms, cpu, requests, host)")
 
 
 def event_batches(events: DataFrame, batch_rows: int = 1_000) -> DataFrame:
     """Consecutive arrivals as ``batch_id, events``; a batch holds at most ``batch_rows`` events."""
-    return events.groupBy(floor_div(F.col("seq"), batch_rows).alias("batch_id")).agg(
+    return events.groupBy(F.expr(grid("seq", batch_rows)).alias("batch_id")).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("seq", _wire_event().alias("event")))),
             lambda r: r["event"],
@@ -52,7 +52,7 @@ def snapshot_frames(events: DataFrame, frame_rows: int = 10_000) -> DataFrame:
 
 def _wire_tick() -> Column:
     return F.struct(
-        to_ms(F.col("ts_us")).alias("ts"),
+        F.expr(to_ms("ts_us")).alias("ts"),
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in HOST_TICK.fields[1:]],
     )
 

@@ -36,14 +36,10 @@ def bind(df: DataFrame, binding: Binding) -> DataFrame:
 
     ``ts`` stays as stored, so that time filters reach the file scan.
     """
-    cols = [] if binding.seq is None else [F.expr(binding.seq).cast("bigint").alias("seq")]
-    return df.select(
-        *cols,
-        F.expr(binding.ts).alias("ts"),
-        micros(F.expr(binding.ts)).alias("ts_us"),
-        F.expr(binding.host).alias("host"),
-        F.expr(binding.cpu).cast("double").alias("cpu"),
-        F.expr(binding.requests).alias("requests"),
+    return df.selectExpr(
+        *([] if binding.seq is None else [f"cast({binding.seq} AS bigint) AS seq"]),
+        f"{binding.ts} AS ts", f"{micros(binding.ts)} AS ts_us", f"{binding.host} AS host",
+        f"cast({binding.cpu} AS double) AS cpu", f"{binding.requests} AS requests",
     )
 
 
