@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from livetick.plans import chart_queries, event_queries, tick_queries
+from livetick.plans import chart_queries, event_queries, stream_queries, tick_queries
 from livetick.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,8 @@ CHART = [
     "count_at_sigma_log", "wide_by_ts", "axis_domain", "threshold_line", "latest_tick_per_host",
 ]
 
+STREAM = ["stream_host_ticks", "stream_frames", "stream_resume", "stream_high_filter"]
+
 
 def _configured(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +42,8 @@ def _configured(fn: Query) -> Query:
 
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {}
-    for module, names in ((tick_queries, TICK), (event_queries, EVENT), (chart_queries, CHART)):
+    groups = ((tick_queries, TICK), (event_queries, EVENT), (chart_queries, CHART), (stream_queries, STREAM))
+    for module, names in groups:
         for name in names:
             found[name] = _configured(getattr(module, name))
     return found

@@ -322,6 +322,11 @@ SELECT k.host, CAST(dim.rank AS BIGINT) AS rank, k.ts_us // 1000 AS ts_ms, print
   CASE WHEN a < 0 THEN 'future' WHEN a < 1000 THEN a || 'ms' ELSE printf('%.1fs', a / 1000.0) END AS age
 FROM (SELECT *, ({END} - ts_us) // 1000 AS a FROM ticks) k JOIN l USING (host, ts_us) LEFT JOIN dim USING (host)"""),
     }
+    sql["stream_host_ticks"] = _q(TICKS, f"""
+SELECT {TICK_ROW} FROM ticks WHERE ts_us <= {END} - 600000000""")  # what a 10-minute watermark has closed
+    sql["stream_frames"] = sql["frame_roundtrip"]
+    sql["stream_resume"] = sql["snapshot_append_merge"]
+    sql["stream_high_filter"] = _q(EV, f"SELECT host, count(*) AS alerts FROM ev WHERE cpu > {S.HIGH} GROUP BY host")
     sigma_rows = "(VALUES " + ", ".join(f"(CAST({s} AS DOUBLE))" for s in S.SIGMAS) + ") AS s(sigma)"
     for name, log in (("count_at_sigma", False), ("count_at_sigma_log", True)):
         sql[name] = _q(TICKS, f"""

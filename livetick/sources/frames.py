@@ -101,7 +101,6 @@ def decode_ticks(frames: DataFrame) -> DataFrame:
     return _decode(frames, HOST_TICK, AGGREGATE_TYPES)
 
 
-def write_frames(frames: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Frames as text lines, one message per line."""
-    columns = partition_by or []
-    frames.select(*columns, "frame").write.mode("append").partitionBy(*columns).text(path)
+def write_frames(frames: DataFrame, path: str, mode: str = "append") -> None:
+    """Frames as text lines, one message per line, in as many files as there are tasks."""
+    frames.select("frame").write.mode(mode).text(path)
