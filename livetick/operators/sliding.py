@@ -35,10 +35,14 @@ def merge_two(rows: DataFrame, keys: list[str], *extra: str) -> DataFrame:
     )])
 
 
-def sliding_moments(buckets: DataFrame, keys: list[str], width: int) -> DataFrame:
+def sliding_moments(buckets: DataFrame, keys: list[str], width: int, filled_only: bool = False) -> DataFrame:
     """Moments of the ``width`` buckets ending at each k, for every k with a non-empty window.
 
-    ``n_current`` is the count of bucket k itself, 0 where it is empty.
+    ``n_current`` is the count of bucket k itself, 0 where it is empty; with
+    ``filled_only`` such k are left out.
+
+    Both passes change value only at some k, so what is shuffled between the blocks
+    are these changes, about two per bucket. Ticks are written out at the very end.
     """
     group = "PARTITION BY " + ", ".join([*keys, "_start"])
     near = f"({group} ORDER BY k)"
@@ -52,10 +56,10 @@ def sliding_moments(buckets: DataFrame, keys: list[str], width: int) -> DataFram
             f"sum(m2 + n * (mean - _c) * (mean - _c)) OVER {over} AS {p}2",
         ]
 
-    def part(p: str, k: str, current: str) -> str:
+    def value(p: str, current: str) -> str:
         return (
-            f"named_struct('k', {k}, 'n', {p}n, 'mean', _c + {p}1 / {p}n, "
-            f"'m2', greatest(0D, {p}2 - {p}1 * {p}1 / {p}n), 'n_current', {current})"
+            f"struct(k AS at, {p}n AS n, _c + {p}1 / {p}n AS mean, "
+            f"greatest(0D, {p}2 - {p}1 * {p}1 / {p}n) AS m2, {current} AS n_current)"
         )
 
     rows = buckets.selectExpr(*keys, "k", "n", "mean", "m2", f"{grid_start('k', width)} AS _start")
@@ -64,18 +68,37 @@ def sliding_moments(buckets: DataFrame, keys: list[str], width: int) -> DataFram
         "*", f"lead(k) OVER {near} AS _next", f"lag(k) OVER {near} AS _prev", f"first(mean) OVER {whole} AS _c",
     ).selectExpr("*", *folds("_f", upto)).selectExpr("*", *folds("_b", since))
 
-    # The head up to k also serves the empty buckets before the next one.
-    heads = (
-        f"transform(sequence(k, coalesce(_next - 1, _start + {width - 1}L)), "
-        f"at -> {part('_f', 'at', 'if(at = k, n, 0L)')})"
-    )
-    # The tail from j on belongs to the window that ends width - 1 later, one block on.
-    first = "coalesce(_prev + 1, _start + 1)"
-    tails = f"transform(sequence({first}, k), j -> {part('_b', f'j + {width - 1}L', '0L')})"
-    parts = rows.selectExpr(
-        *keys, f"inline(if({first} <= k, concat({heads}, {tails}), {heads}))",
+    # A head holds from k on. The tail from j on belongs to the window that ends width - 1
+    # later, one block on, and also serves the empty buckets before j. After the last one comes none.
+    none = "struct(k AS at, 0L AS n, 0D AS mean, 0D AS m2, 0L AS n_current)"
+    unset = "CAST(NULL AS struct<at: bigint, n: bigint, mean: double, m2: double, n_current: bigint>)"
+    tail_from = f"coalesce(_prev + 1, _start + 1) + {width - 1}L"
+    changes = rows.selectExpr(*keys, f"""inline(array(
+        struct(_start AS block, k AS p, {value('_f', 'n')} AS head, {unset} AS tail),
+        struct(_start + {width}L AS block, if(k > _start, {tail_from}, NULL) AS p, {unset} AS head, {value('_b', '0L')} AS tail),
+        struct(_start + {width}L AS block, if(_next IS NULL, k + {width}L, NULL) AS p, {unset} AS head, {none} AS tail)))""",
+    ).filter("p IS NOT NULL")
+
+    at = "PARTITION BY " + ", ".join([*keys, "block"]) + " ORDER BY p"
+    peers = f"({at} RANGE UNBOUNDED PRECEDING)"  # a head and a tail may change together
+    steps = changes.selectExpr(
+        *keys, "p", f"lead(p) OVER ({at}) AS _until", f"block + {width - 1}L AS _end",
+        f"last(head, true) OVER {peers} AS h", f"last(tail, true) OVER {peers} AS t",
+    ).selectExpr(
+        *keys, "p", "coalesce(_until - 1, _end) AS _last", "h.at AS _at", "coalesce(h.n_current, 0L) AS _own",
+        "coalesce(h.n, 0L) AS _hn", "coalesce(t.n, 0L) AS _tn", "coalesce(h.mean, t.mean) AS _mean",
+        "if(t.n > 0, t.mean, h.mean) - coalesce(h.mean, t.mean) AS _gap",
+        "coalesce(h.m2, 0D) + coalesce(t.m2, 0D) AS _m2",
+    ).filter("p <= _last AND _hn + _tn > 0")
+    merged = [
+        "_hn + _tn AS n", "_mean + _gap * _tn / (_hn + _tn) AS mean",
+        "_m2 + _gap * _gap * _hn * _tn / (_hn + _tn) AS m2",
+    ]
+    if filled_only:
+        return steps.filter("p = _at").selectExpr(*keys, "p AS k", *merged, "_own AS n_current")
+    return steps.selectExpr(*keys, "explode(sequence(p, _last)) AS k", *merged, "_at", "_own").selectExpr(
+        *keys, "k", "n", "mean", "m2", "if(k = _at, _own, 0L) AS n_current",
     )
-    return merge_two(parts, [*keys, "k"], "sum(n_current) AS n_current")
 
 
 def deviation(n: str, m2: str, ddof: int = 0) -> str:

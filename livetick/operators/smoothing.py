@@ -1,92 +1,69 @@
 """Exponential moving averages as a distributed scan.
 
-One step is the map s -> (1 - a) s + a x. Over a chunk of rows the steps compose
-to s -> A s + B, so each chunk is reduced to (A, B), the small chunk table is
-scanned per host, and the value carried into a chunk is applied inside it.
+One step is the map s -> (1 - a) s + a x. Over a run of rows the steps compose to
+s -> A s + B, so rows are folded in blocks that run in parallel.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from livetick.functions.timecols import grid
+from livetick.operators.running import ranked
 
-
-def _chunk_folds(rows: DataFrame, keys: list[str], alpha: float) -> DataFrame:
-    """(A, B) of each chunk; a key's very first value enters with weight one, as the seed."""
-    newest_first = f"(PARTITION BY {', '.join([*keys, '_chunk'])} ORDER BY seq DESC)"
-    keep = f"{1.0 - alpha!r}D"
-    weighted = rows.selectExpr("*", f"pow({keep}, row_number() OVER {newest_first} - 1) AS _w")
-    return weighted.groupBy(*keys, "_chunk").agg(*[F.expr(e) for e in (
-        f"sum({alpha!r}D * _x * _w) AS b", f"min(_w) * {keep} AS a",
-        f"min_by(_x, seq) * min(_w) * {keep} AS seed", "count(1) AS n",
-    )])
-
-
-def _carry(folds: DataFrame, keys: list[str]) -> DataFrame:
-    """State before (``s_in``) and after (``s_out``) each chunk, and the rows before it.
-
-    One fold per key over its chunk rows, a millionth of its events.
-    """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in folds.schema if f.name in keys)
-    schema = (schema + ", " if schema else "") + "_chunk bigint, s_in double, s_out double, _before bigint"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_chunk")
-        before, after, state = [], [], None
-        for a, b, seed in zip(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["seed"].to_numpy()):
-            before.append(np.nan if state is None else state)
-            state = b + (seed if state is None else a * state)
-            after.append(state)
-        out = pdf[[*keys, "_chunk"]].copy()
-        out["s_in"], out["s_out"] = before, after
-        out["_before"] = pdf["n"].cumsum() - pdf["n"]
-        return out
-
-    return folds.groupBy(*keys).applyInPandas(fold, schema)
-
-
-def _chunked(df: DataFrame, value: str, chunk_rows: int) -> DataFrame:
-    return df.filter(f"{value} IS NOT NULL").selectExpr(
-        "*", f"{grid('seq', chunk_rows)} AS _chunk", f"double({value}) AS _x",
-    )
+# A factor of 1e-100 leaves no trace of a metric value in a double.
+_VANISH = 100
 
 
 def ema(df: DataFrame, keys: list[str], value: str, alpha: float, out: str = "ema",
         chunk_rows: int = 1_000_000) -> DataFrame:
     """EMA per key in ``seq`` order, seeded with the first value; also ``pos``, the 1-based position.
 
-    ``seq`` is the unique arrival id, so a chunk holds at most ``chunk_rows`` rows.
+    Positions are cut into blocks long enough for (1 - alpha) ** block to vanish in
+    a double. Inside a block the average is a running sum of values scaled up by
+    their age; from before the block only the state at its start counts, which is
+    the fold of the preceding block.
     """
-    rows = _chunked(df, value, chunk_rows)
-    carry = _carry(_chunk_folds(rows, keys, alpha), keys)
-    joined = rows.join(carry.drop("s_out"), [*keys, "_chunk"])
+    keep = 1.0 - alpha
+    block = max(1, math.ceil(_VANISH / -math.log10(keep)))
+    group = ", ".join([*keys, "_block"])
+    ranks = ranked(df.filter(f"{value} IS NOT NULL"), keys, "seq", chunk_rows, name="pos")
+    placed = ranks.selectExpr("*", f"(pos - 1) div {block} AS _block", f"(pos - 1) % {block} AS _off")
+    seeded = f"if(pos = 1, double({value}), {alpha!r}D * {value})"
+    local = placed.selectExpr(
+        "*", f"pow({keep!r}D, _off) * sum({seeded} * pow({keep!r}D, -_off)) "
+        f"OVER (PARTITION BY {group} ORDER BY pos ROWS UNBOUNDED PRECEDING) AS _local",
+    )
+    states = local.filter(f"_off = {block - 1}").selectExpr(*keys, "_block + 1 AS _block", "_local AS _state")
+    return local.join(states, [*keys, "_block"], "left").selectExpr(
+        *df.columns, f"_local + coalesce(pow({keep!r}D, _off + 1) * _state, 0D) AS {out}", "pos",
+    )
 
-    fields = [f for f in df.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    names = [f.name for f in fields]
 
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        x = pdf["_x"].to_numpy()
-        start = pdf["s_in"].iloc[0]
-        lead = [] if np.isnan(start) else [start]
-        smooth = pd.Series([*lead, *x]).ewm(alpha=alpha, adjust=False).mean().to_numpy()[len(lead):]
-        res = pdf[names].copy()
-        res[out] = smooth
-        res["pos"] = pdf["_before"].to_numpy() + np.arange(1, len(x) + 1)
-        return res
+def ema_last(df: DataFrame, value: str, alpha: float, chunk_rows: int = 1_000_000) -> DataFrame:
+    """The final EMA over all hosts in arrival order: each chunk is folded, then the folds in turn.
 
-    return joined.groupBy(*keys, "_chunk").applyInPandas(apply, f"{schema}, `{out}` double, pos bigint")
+    The last step reads one row per chunk, a millionth of the events.
+    """
+    keep = f"{1.0 - alpha!r}D"
+    rows = df.filter(f"{value} IS NOT NULL").selectExpr(
+        "seq", f"double({value}) AS x", f"{grid('seq', chunk_rows)} AS chunk",
+    ).selectExpr("*", f"pow({keep}, row_number() OVER (PARTITION BY chunk ORDER BY seq DESC) - 1) AS w")
+    # s -> a s + b over the chunk; the very first value has weight one instead of alpha.
+    folds = rows.groupBy("chunk").agg(*[F.expr(e) for e in (
+        f"sum({alpha!r}D * x * w) AS b", f"min(w) * {keep} AS a", f"min_by(x, seq) * min(w) * {keep} AS seed",
+    )])
 
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        state = None
+        for row in pdf.sort_values("chunk").itertuples():
+            state = row.b + (row.seed if state is None else row.a * state)
+        return pd.DataFrame({"trend": [state]})
 
-def ema_last(df: DataFrame, value: str, alpha: float, chunk_rows: int = 1_000_000) -> DataFrame:
-    """The final EMA over all hosts in arrival order: chunk folds and the last carry only."""
-    rows = _chunked(df.select("seq", value), value, chunk_rows)
-    carry = _carry(_chunk_folds(rows, [], alpha), [])
-    return carry.agg(F.max_by("s_out", "_chunk").alias("trend"))
+    return folds.groupBy().applyInPandas(fold, "trend double")
 
 
 def after_warm_up(smoothed: DataFrame, skip: int) -> DataFrame:

@@ -10,7 +10,7 @@ from livetick.operators.grid import next_in_key
 from livetick.operators.sliding import deviation, moments_by, sliding_moments
 from livetick.schema import DEFAULT_THRESHOLDS
 
-_STATS = {"cpu_avg": "double", "cpu_sd": "double", "cpu_n": "bigint", "n_current": "bigint"}
+_STATS = ("cpu_avg", "cpu_sd", "cpu_n", "n_current")
 _SIDES = ("above", "below")
 
 
@@ -39,13 +39,10 @@ def tick_slices(events: DataFrame, tick: str | int, closed_only: bool = True) ->
     return slices.withColumn("ts_us", F.expr(f"(k + 1) * {step}L")).drop("k")
 
 
-def tick_baseline(events: DataFrame, tick: str | int, base: str | int,
-                  closed_only: bool = True, ddof: int = 0) -> DataFrame:
-    """Per host and tick with a non-empty window [T - base, T): avg, deviation, count, slice count."""
-    step = duration_us(tick)
-    width = _width(step, duration_us(base))
+def _baseline(events: DataFrame, step: int, width: int, closed_only: bool, ddof: int,
+              filled_only: bool = False) -> DataFrame:
     buckets = moments_by(events.selectExpr("host", f"{grid('ts_us', step)} AS k", "cpu"), ["host", "k"], "cpu")
-    rolled = sliding_moments(buckets, ["host"], width)
+    rolled = sliding_moments(buckets, ["host"], width, filled_only)
     if closed_only:
         rolled = rolled.filter(F.col("k") <= last_closed(events, step))
     return rolled.selectExpr(
@@ -53,6 +50,13 @@ def tick_baseline(events: DataFrame, tick: str | int, base: str | int,
     )
 
 
+def tick_baseline(events: DataFrame, tick: str | int, base: str | int,
+                  closed_only: bool = True, ddof: int = 0) -> DataFrame:
+    """Per host and tick with a non-empty window [T - base, T): avg, deviation, count, slice count."""
+    step = duration_us(tick)
+    return _baseline(events, step, _width(step, duration_us(base)), closed_only, ddof)
+
+
 def host_ticks(
     events: DataFrame,
     tick: str | int = "200ms",
@@ -71,25 +75,27 @@ def host_ticks(
     leaves AQE free to split a tick that holds a large share of all rows.
     """
     step = duration_us(tick)
-    # Said before the plan forks, so that both branches share the bucket exchange.
+    width = _width(step, duration_us(base))
+    # Said before the plan forks, so that both branches share the exchanges below.
     events = events.filter("host IS NOT NULL AND ts IS NOT NULL")
-    baseline = tick_baseline(events, step, base, closed_only, ddof)
     boundary = f"(k + 1) * {step}L AS ts_us"
     levels = list(enumerate(thresholds))
+    out = ["ts_us", "host", *_STATS, *[f"anomalies_{s}" for s in _SIDES]]
 
-    samples = events.selectExpr("host", f"{grid('ts_us', step)} AS k", "cpu").join(
-        baseline.filter("n_current > 0").select("host", "k", "cpu_avg", "cpu_sd"), ["host", "k"],
-    ).selectExpr(
-        "host", boundary, *[f"CAST(NULL AS {t}) AS {c}" for c, t in _STATS.items()],
+    filled = _baseline(events, step, width, closed_only, ddof, filled_only=True)
+    counted = events.selectExpr("host", f"{grid('ts_us', step)} AS k", "cpu").join(filled, ["host", "k"]).selectExpr(
+        "host", boundary, *_STATS,
         *[f"int({beyond('cpu', 'cpu_avg', 'cpu_sd', t, s)}) AS _{s}{i}" for s in _SIDES for i, t in levels],
-    )
-    stats = baseline.selectExpr(
-        "host", boundary, *_STATS, *[f"0 AS _{s}{i}" for s in _SIDES for i, _ in levels],
-    )
-    ticks = stats.unionByName(samples).groupBy("host", "ts_us").agg(
+    ).groupBy("host", "ts_us").agg(
         *[F.expr(f"max({c}) AS {c}") for c in _STATS],
         *[F.expr(f"array({', '.join(f'sum(_{s}{i})' for i, _ in levels)}) AS anomalies_{s}") for s in _SIDES],
-    ).select("ts_us", "host", *_STATS, *[f"anomalies_{s}" for s in _SIDES])
+    ).select(*out)
+    # Ticks without samples of their own have nothing to count.
+    zeros = f"array_repeat(0L, {len(thresholds)})"
+    quiet = _baseline(events, step, width, closed_only, ddof).filter("n_current = 0").selectExpr(
+        "host", boundary, *_STATS, *[f"{zeros} AS anomalies_{s}" for s in _SIDES],
+    ).select(*out)
+    ticks = counted.unionByName(quiet)
     return _fill_silent(ticks, step, len(thresholds)) if emit_empty else ticks
 
 
