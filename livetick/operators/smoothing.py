@@ -27,6 +27,8 @@ def ema(df: DataFrame, keys: list[str], value: str, alpha: float, out: str = "em
     their age; from before the block only the state at its start counts, which is
     the fold of the preceding block.
     """
+    if not 0 < alpha < 1:
+        raise ValueError("alpha must lie between 0 and 1")
     keep = 1.0 - alpha
     block = max(1, math.ceil(_VANISH / -math.log10(keep)))
     group = ", ".join([*keys, "_block"])
