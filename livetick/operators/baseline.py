@@ -59,12 +59,15 @@ def trailing_moments(events: DataFrame, window: str | int, buckets: int = 24) ->
     totals = moments_by(events.selectExpr("host", f"{grid('ts_us', step)} AS k", "cpu"), ["host", "k"], "cpu")
     # What lies between is added to the part that starts the event's own bucket.
     between = sliding_moments(totals, ["host"], buckets - 1).selectExpr(
-        "host", "k + 1 AS k", "false AS probe", "n AS bn", "mean AS bmean", "m2 AS bm2",
+        "host", "k + 1 AS k", "n AS bn", "mean AS bmean", "m2 AS bm2",
     )
-    gap, both = "(coalesce(bmean, mean) - mean)", "(n + coalesce(bn, 0L))"
-    parts = ends.join(between, ["host", "k", "probe"], "left").selectExpr(
-        "host", "ts_us", f"{both} AS n", f"mean + {gap} * coalesce(bn, 0L) / {both} AS mean",
-        f"m2 + coalesce(bm2, 0D) + {gap} * {gap} * n * coalesce(bn, 0L) / {both} AS m2",
+    # Joined on what the windows already partition by; probes take nothing from it.
+    parts = ends.join(between, ["host", "k"], "left").selectExpr(
+        "host", "ts_us", "n", "mean", "m2", "if(probe, 0L, coalesce(bn, 0L)) AS bn",
+        "coalesce(bmean, mean) - mean AS gap", "coalesce(bm2, 0D) AS bm2",
+    ).selectExpr(
+        "host", "ts_us", "n + bn AS n", "mean + gap * bn / (n + bn) AS mean",
+        "if(bn = 0, m2, m2 + bm2 + gap * gap * n * bn / (n + bn)) AS m2",
     )
     return merge_two(parts, ["host", "ts_us"])
 

@@ -89,23 +89,22 @@ def top_n(events: DataFrame, step: str | int, n: int) -> DataFrame:
 
 def latest_per(df: DataFrame, keys: list[str], order: str = "ts_us") -> DataFrame:
     """The newest row of each key; keys missing from recent frames keep their old row."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*")
+    # One max_by per column keeps the hash aggregate and lets unused columns be pruned.
+    rest = [c for c in df.columns if c not in (*keys, order)]
+    return df.groupBy(*keys).agg(F.max(order).alias(order), *[F.max_by(c, order).alias(c) for c in rest])
 
 
 def edges(events: DataFrame, at: int) -> DataFrame:
     """Per host: first, last and the row at position ``at`` (0-based), in arrival order."""
-    row = F.struct("seq", "ts_us", "cpu")
-    ends = events.groupBy("host").agg(F.min_by(row, "seq").alias("f"), F.max_by(row, "seq").alias("l"))
+    ends = events.groupBy("host").agg(*[F.expr(e) for e in (
+        "min(seq) AS first_seq", "min_by(cpu, seq) AS first_cpu", "max(seq) AS last_seq", "max_by(cpu, seq) AS last_cpu",
+    )])
     in_order = Window.partitionBy("host").orderBy("seq")
     nth = (
         events.withColumn("rn", F.row_number().over(in_order)).filter(F.col("rn") <= at + 1)
         .filter(F.col("rn") == at + 1).select("host", F.col("seq").alias("at_seq"), F.col("cpu").alias("at_cpu"))
     )
-    return ends.join(nth, "host", "left").select(
-        "host", F.col("f.seq").alias("first_seq"), F.col("f.cpu").alias("first_cpu"),
-        F.col("l.seq").alias("last_seq"), F.col("l.cpu").alias("last_cpu"), "at_seq", "at_cpu",
-    )
+    return ends.join(nth, "host", "left")
 
 
 def newest(df: DataFrame, n: int, *order: Column) -> DataFrame:

@@ -28,7 +28,7 @@ def running(
     ``measures`` maps an output name to ('sum' | 'max' | 'min', SQL expression).
     ``chunk`` is an expression that does not decrease along ``order``.
     ``exclusive`` leaves the row's own value out; a sum then starts at 0, a max or
-    min at null.
+    min at null. Keys and order are required columns, checked at the source.
     """
     way = "DESC" if descending else "ASC"
     end = "1 PRECEDING" if exclusive else "CURRENT ROW"
@@ -42,16 +42,15 @@ def running(
         *[F.expr(f"{fn}(_v_{n}) AS _t_{n}") for n, (fn, _) in measures.items()]
     )
     carry = totals.selectExpr(
-        *[f"{k} AS _k_{k}" for k in keys], "_chunk AS _k_chunk",
-        *[f"{fn}(_t_{n}) OVER {before} AS _c_{n}" for n, (fn, _) in measures.items()],
+        *keys, "_chunk", *[f"{fn}(_t_{n}) OVER {before} AS _c_{n}" for n, (fn, _) in measures.items()],
     )
     local = rows.selectExpr("*", *[f"{fn}(_v_{n}) OVER {within} AS _l_{n}" for n, (fn, _) in measures.items()])
-    match = " AND ".join([f"{k} <=> _k_{k}" for k in keys] + ["_chunk <=> _k_chunk"])
     merged = {
         "sum": "coalesce(_l_{n}, 0) + coalesce(_c_{n}, 0)", "max": "greatest(_l_{n}, _c_{n})",
         "min": "least(_l_{n}, _c_{n})",
     }
-    return local.join(carry, F.expr(match), "inner").selectExpr(
+    # The scanned rows already lie by (key, chunk), so only the carry table moves.
+    return local.join(carry, [*keys, "_chunk"]).selectExpr(
         *df.columns, *[f"{merged[fn].format(n=n)} AS {n}" for n, (fn, _) in measures.items()]
     )
 

@@ -85,17 +85,12 @@ def tick_gaps(ticks: DataFrame, tick: str | int, chunk_ticks: int = 100_000) ->
 
 def counter_deltas(scrapes: DataFrame, keys: list[str], at: str, counters: list[str], gauges: list[str]) -> DataFrame:
     """Achieved rate of each counter between the first and last scrape, and the peak of each gauge."""
-    row = f"struct({', '.join([at, *counters])})"
     ends = scrapes.groupBy(*keys).agg(*[F.expr(e) for e in (
-        f"min_by({row}, {at}) AS f", f"max_by({row}, {at}) AS l", *[f"max({g}) AS {g}_peak" for g in gauges],
+        f"max({at}) - min({at}) AS span",
+        *[f"max_by({c}, {at}) - min_by({c}, {at}) AS {c}_delta" for c in counters],
+        *[f"max({g}) AS {g}_peak" for g in gauges],
     )])
-    span = f"(l.{at} - f.{at})"
-    return ends.selectExpr(
-        *keys, f"{span} AS span",
-        *[f"l.{c} - f.{c} AS {c}_delta" for c in counters],
-        *[f"if({span} > 0, (l.{c} - f.{c}) / {span}, NULL) AS {c}_rate" for c in counters],
-        *[f"{g}_peak" for g in gauges],
-    )
+    return ends.selectExpr("*", *[f"if(span > 0, {c}_delta / span, NULL) AS {c}_rate" for c in counters])
 
 
 def frame_fanin(ticks: DataFrame, chunk_us: int) -> DataFrame:

@@ -35,13 +35,13 @@ def stream_baseline(events: DataFrame, tick: str | int, base: str | int, center:
     rolled = buckets.groupBy(
         F.window(F.window_time("w"), _text(base), _text(tick)).alias("bw"), "host",
     ).agg(*[F.expr(e) for e in (
-        "sum(n) AS cpu_n", "sum(s1) AS s1", "sum(s2) AS s2", "max_by(struct(w.end AS end, n), w.end) AS newest",
+        "sum(n) AS cpu_n", "sum(s1) AS s1", "sum(s2) AS s2", "max(w.end) AS newest", "max_by(n, w.end) AS newest_n",
     )])
     return rolled.filter("cpu_n > 0").select(
         F.window_time("bw").alias("at"), "host", "cpu_n",
         F.expr(f"{center!r}D + s1 / cpu_n AS cpu_avg"),
         F.expr("sqrt(greatest(0D, s2 / cpu_n - (s1 / cpu_n) * (s1 / cpu_n))) AS cpu_sd"),
-        F.expr("if(newest.end = bw.end, newest.n, 0L) AS n_current"),
+        F.expr("if(newest = bw.end, newest_n, 0L) AS n_current"),
     )
 
 
