@@ -185,9 +185,8 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def late_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some events arrive up to seven places late; those behind the newest accepted one are dropped."""
-    shifted = read_events(spark, sf_dir).withColumn(
-        "arrival", F.col("seq") * 2 + F.when(F.pmod("seq", F.lit(5)) == 0, 15).otherwise(0))
+    """High readings arrive up to seven places late; those behind the newest accepted one are dropped."""
+    shifted = read_events(spark, sf_dir).selectExpr("*", f"seq * 2 + if(cpu > {S.HIGH}, 15, 0) AS arrival")
     return ordering.late_filter(shifted, "arrival").selectExpr("seq", ms(), "host")
 
 

@@ -264,7 +264,7 @@ FROM ev WHERE ts_us >= {END} - {5 * _D}"""),
 SELECT host, count(*) FILTER (ts_us > {END} - {duration_us(S.KEEP)}) AS kept,
   count(*) FILTER (ts_us <= {END} - {duration_us(S.KEEP)}) AS evicted FROM ev GROUP BY host"""),
         "late_filter": _q(EV + """,
-a AS (SELECT *, seq * 2 + CASE WHEN seq % 5 = 0 THEN 15 ELSE 0 END AS arrival FROM ev),
+a AS (SELECT *, seq * 2 + CASE WHEN cpu > """ + str(S.HIGH) + """ THEN 15 ELSE 0 END AS arrival FROM ev),
 m AS (SELECT *, max(ts_us) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM a)""", """
 SELECT seq, ts_us // 1000 AS ts_ms, host FROM m WHERE seen IS NULL OR ts_us >= seen"""),
         "snapshot_append_merge": _q(EV, "SELECT seq, ts_us // 1000 AS ts_ms, host, cpu FROM ev"),

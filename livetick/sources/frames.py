@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from livetick.functions.timecols import grid, to_ms
 from livetick.schema import DEFAULT_THRESHOLDS, HOST_TICK, WIRE_EVENT
@@ -78,6 +78,12 @@ def aggregate_snapshot(history: DataFrame, thresholds: tuple[float, ...] = DEFAU
     )
 
 
+def empty_aggregate_snapshot(spark: SparkSession, thresholds: tuple[float, ...] = DEFAULT_THRESHOLDS) -> DataFrame:
+    """The first frame of an aggregate subscriber without history: the thresholds and no rows."""
+    at = F.array(*[F.lit(t) for t in thresholds])
+    return spark.range(1).select(frame_text("aggregate-snapshot", F.array(), at).alias("frame"))
+
+
 def _frame_schema(row: T.StructType) -> T.StructType:
     return T.StructType([
         T.StructField("type", T.StringType()),

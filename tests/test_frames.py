@@ -5,7 +5,9 @@ from pyspark.sql import functions as F, types as T
 from livetick import schema as S
 from livetick.operators import bands, hosts, rollups, telemetry
 from livetick.sources import frames
-from livetick.sources.tables import host_dimension
+from livetick.sources.tables import (
+    bind, from_points, host_dimension, read_table, read_ticks, static_series, to_points, write_ticks, Binding,
+)
 
 TICK = "ts_us bigint, host string, cpu_avg double, cpu_sd double, cpu_n bigint, n_current bigint, " \
        "anomalies_above array<bigint>, anomalies_below array<bigint>"
@@ -108,3 +110,36 @@ def test_bars_touching_the_axis_are_kept(make_events):
     bars = rollups.bucket_counts(make_events([(0, 1, 1, "a"), (16_000, 1, 1, "a"), (31_000, 1, 1, "a")]), "15s")
     kept = rollups.clip_bars(bars, F.lit(15_000_000), F.lit(29_000_000)).orderBy("begin_us").collect()
     assert [(r.begin_us, r.mid_us, r.n) for r in kept] == [(0, 7_500_000, 1), (15_000_000, 22_500_000, 1)]
+
+
+def test_subscriber_without_history(spark):
+    frame = json.loads(frames.empty_aggregate_snapshot(spark).first().frame)
+    assert frame == {"type": "aggregate-snapshot", "thresholds": [1, 1.5, 2, 2.5, 3], "rows": []}
+    assert frames.decode_ticks(frames.empty_aggregate_snapshot(spark)).count() == 0
+
+
+def test_tables_in_other_formats(spark, make_events, tmp_path):
+    rows = make_events([(1_500, 0.5, 3, "a"), (2_500, 0.25, 4, "b")]).selectExpr("ts AS time", "cpu", "requests", "host")
+    for fmt in ("json", "csv", "parquet"):
+        rows.write.format(fmt).save(str(tmp_path / fmt))
+        back = read_table(spark, str(tmp_path / fmt), S.EVENT, fmt)
+        bound = bind(back, Binding(ts="time", host="host", cpu="cpu", requests="requests")).orderBy("ts")
+        assert [(r.ts_us, r.cpu, r.requests, r.host) for r in bound.collect()] == [
+            (1_500_000, 0.5, 3, "a"), (2_500_000, 0.25, 4, "b")]
+
+
+def test_tick_table_by_day(spark, tmp_path):
+    day = 86_400_000_000
+    ticks = spark.createDataFrame([(d * day + i, "a", 0.5, 0.1, 9, 1, NONE, NONE) for d in range(3) for i in (1, 2)], TICK)
+    write_ticks(ticks, str(tmp_path / "t"))
+    assert sorted(map(tuple, read_ticks(spark, str(tmp_path / "t")).collect())) == sorted(map(tuple, ticks.collect()))
+    some = read_ticks(spark, str(tmp_path / "t"), "1970-01-02", "1970-01-02")
+    assert [r.ts_us for r in some.orderBy("ts_us").collect()] == [day + 1, day + 2]
+    assert "PartitionFilters: [isnotnull(day" in some._jdf.queryExecution().toString()
+
+
+def test_points_and_static_series(spark):
+    line = static_series(spark, [(2, 0.7), (1, 0.7)])
+    typed = from_points(line, T.StructType([T.StructField("ts_ms", T.LongType()), T.StructField("value", T.FloatType())]))
+    assert [(f.name, f.dataType.simpleString()) for f in typed.schema] == [("ts_ms", "bigint"), ("value", "float")]
+    assert [r.ts_ms for r in to_points(line, "ts_ms", "value").collect()] == [1, 2]
