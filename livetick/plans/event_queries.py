@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from livetick.functions.timecols import grid as grid_of
-from livetick.operators import baseline, custom, grid, hosts, ordering, rollups, smoothing, telemetry
+from livetick.operators import baseline, custom, grid, hosts, ordering, rolling, rollups, smoothing, telemetry
 from livetick.plans import inputs, settings as S
 from livetick.plans.shape import flat, ms, num
 from livetick.schema import contract_report
@@ -154,6 +154,17 @@ def event_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline.outliers(rows).selectExpr("seq", ms(), "host", "cpu", num("upper"), num("lower"))
 
 
+def event_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Built-in and custom reducers over the trailing window of each event."""
+    folds = {
+        "n": ("sum", "1L"), "s": ("sum", "requests"), "lo": ("min", "cpu"), "hi": ("max", "cpu"), "l": ("sum", "ln(1 + cpu)"),
+    }
+    rows = rolling.rolling(read_events(spark, sf_dir), S.BASE, folds, {
+        "window_n": "n", "requests_sum": "s", "cpu_min": "lo", "cpu_max": "hi", "log_mean": "exp(l / n) - 1",
+    })
+    return rows.selectExpr("seq", ms(), "host", "window_n", "requests_sum", "cpu_min", "cpu_max", num("log_mean"))
+
+
 def _smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_events(spark, sf_dir)
     rate = rollups.event_rate(events, S.TAIL).select("events_per_sec").scalar()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from livetick.operators.baseline import event_baseline
+from livetick.operators.rolling import rolling
 from livetick.operators.rollups import weighted_rollup
 from livetick.operators.sliding import moments_by, sliding_moments
 from livetick.operators.ticks import host_ticks, slice_samples, tick_slices
@@ -154,3 +155,17 @@ def test_event_baseline_brute_force(make_events, window, buckets, seed):
         sd = math.sqrt(sum((x - mean) ** 2 for x in values) / len(values))
         assert got[i].avg == pytest.approx(mean) and got[i].sd == pytest.approx(sd, abs=1e-6)
         assert got[i].upper == pytest.approx(mean + 2 * sd) and got[i].lower == pytest.approx(mean - 2 * sd)
+
+
+@pytest.mark.parametrize("window, buckets, seed", [(1_000, 10, 5), (600, 2, 7), (400, 8, 11)])
+def test_rolling_brute_force(make_events, window, buckets, seed):
+    rows = random_events(400, seed, 5_000)
+    folds = {"n": ("sum", "1L"), "s": ("sum", "requests"), "lo": ("min", "cpu"), "hi": ("max", "cpu")}
+    outputs = {"n": "n", "mean_requests": "s / n", "spread": "hi - lo"}
+    got = {r.seq: r for r in rolling(make_events(rows), f"{window}ms", folds, outputs, buckets).collect()}
+    assert len(got) == len(rows)
+    for i, (t, _, _, host) in enumerate(rows):
+        part = [r for r in rows if r[3] == host and t - window < r[0] <= t]
+        assert got[i].n == len(part)
+        assert got[i].mean_requests == pytest.approx(sum(r[2] for r in part) / len(part))
+        assert got[i].spread == pytest.approx(max(r[1] for r in part) - min(r[1] for r in part))
