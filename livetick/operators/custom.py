@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from livetick.functions.timecols import grid
 
 
+_HELD_KEYS = 100_000
+
+
 def custom_reduce(
     df: DataFrame,
     key: str,
@@ -31,12 +34,18 @@ def custom_reduce(
     key_type = df.schema[key].dataType.simpleString()
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def frame(states: dict) -> pd.DataFrame:
+            return pd.DataFrame({key: list(states), "_state": [list(map(float, s)) for s in states.values()]})
+
         states: dict = {}
         for pdf in batches:
             for k, values in pdf.dropna(subset=[value]).groupby(key, dropna=False)[value]:
                 state = partial(values)
                 states[k] = combine(states[k], state) if k in states else state
-        yield pd.DataFrame({key: list(states), "_state": [list(map(float, s)) for s in states.values()]})
+            if len(states) > _HELD_KEYS:  # many keys: pass them on instead of holding them
+                yield frame(states)
+                states = {}
+        yield frame(states)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         states = iter(pdf["_state"])

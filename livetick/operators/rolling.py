@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from livetick.functions.timecols import duration_us, grid, grid_start
+from livetick.operators.baseline import bucket_step
 
 Folds = dict[str, tuple[str, str]]
 
@@ -61,12 +62,10 @@ def sliding_folds(buckets: DataFrame, keys: list[str], width: int, folds: dict[s
     ).filter(f"p <= _last AND ({some})").selectExpr(*keys, "explode(sequence(p, _last)) AS k", *folds)
 
 
-def trailing_folds(events: DataFrame, window: str | int, folds: Folds, buckets: int = 24) -> DataFrame:
+def trailing_folds(events: DataFrame, window: str | int, folds: Folds, buckets: int | None = None) -> DataFrame:
     """Folds of (t - window, t] for every distinct (host, ts_us)."""
     w = duration_us(window)
-    if w % buckets or buckets < 2:
-        raise ValueError("the window must divide into two buckets or more")
-    step = w // buckets
+    buckets, step = bucket_step(events, w, buckets)
     kinds = {m: fn for m, (fn, _) in folds.items()}
     aggregates = [F.expr(f"{fn}({e}) AS {m}") for m, (fn, e) in folds.items()]
     instants = events.groupBy("host", "ts_us").agg(*aggregates)
@@ -83,6 +82,8 @@ def trailing_folds(events: DataFrame, window: str | int, folds: Folds, buckets:
         "host", "k", "probe", f"if(probe, ts_us + {w}L, ts_us) AS ts_us",
         *[f"if(probe, _a{m}, _u{m}) AS {m}" for m in folds],
     )
+    if buckets == 1:
+        return ends.groupBy("host", "ts_us").agg(*[F.expr(f"{fn}({m}) AS {m}") for m, fn in kinds.items()])
     totals = events.groupBy("host", F.expr(f"{grid('ts_us', step)} AS k")).agg(*aggregates)
     between = sliding_folds(totals, ["host"], buckets - 1, kinds).selectExpr(
         "host", "k + 1 AS k", *[f"{m} AS _w{m}" for m in folds],
@@ -93,7 +94,8 @@ def trailing_folds(events: DataFrame, window: str | int, folds: Folds, buckets:
     return parts.groupBy("host", "ts_us").agg(*[F.expr(f"{fn}({m}) AS {m}") for m, fn in kinds.items()])
 
 
-def rolling(events: DataFrame, window: str | int, folds: Folds, outputs: dict[str, str], buckets: int = 24) -> DataFrame:
+def rolling(events: DataFrame, window: str | int, folds: Folds, outputs: dict[str, str],
+            buckets: int | None = None) -> DataFrame:
     """Append reducers of (t - window, t] of the event's host to every event."""
     events = events.filter("host IS NOT NULL AND ts IS NOT NULL")
     named = {f"_r_{m}": fold for m, fold in folds.items()}
