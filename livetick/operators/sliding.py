@@ -26,7 +26,7 @@ def moments_by(df: DataFrame, keys: list[str], value: str, *extra: str) -> DataF
 def merge_two(rows: DataFrame, keys: list[str], *extra: str) -> DataFrame:
     """Merge up to two (n, mean, m2) parts per key; exact for one part."""
     gap = "(max(mean) - min(mean))"
-    pairs = "((sum(n) * sum(n) - sum(n * n)) / 2)"  # n1 * n2, or 0 for one part
+    pairs = "if(count(1) = 2, double(max(n)) * min(n), 0D)"
     return rows.groupBy(*keys).agg(*[F.expr(e) for e in (
         "sum(n) AS n",
         f"if({gap} = 0, min(mean), sum(n * mean) / sum(n)) AS mean",

@@ -23,7 +23,7 @@ class Binding:
 # The provided event stream: the type plays the host, the id is the arrival order.
 EVENTS = Binding(
     ts="ts", host="event_type", cpu="value",
-    requests="cast(get_json_object(props, '$.k') as bigint)", seq="event_id",
+    requests="try_cast(get_json_object(props, '$.k') as bigint)", seq="event_id",
 )
 # Line items shipped per day; no unique arrival id, so order-free operators only.
 LINEITEM = Binding(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from livetick.operators.baseline import choose_buckets, event_baseline
 from livetick.operators.rolling import rolling
 from livetick.operators.rollups import weighted_rollup
-from livetick.operators.sliding import moments_by, sliding_moments
+from livetick.operators.sliding import merge_two, moments_by, sliding_moments
 from livetick.operators.ticks import host_ticks, slice_samples, tick_slices
 
 
@@ -179,3 +179,14 @@ def test_denser_windows_get_finer_buckets(make_events):
     dense = make_events([(i, 1, 1, "hot") for i in range(2_500)])
     assert choose_buckets(dense, "1m", group_rows=100) == 50
     assert choose_buckets(dense, 7, group_rows=100) == 7
+
+
+def test_counts_beyond_32_bits_squared(spark):
+    """Windows of many billions of samples stay within range."""
+    n = 50_000_000_000
+    buckets = spark.createDataFrame([("a", 0, n, 1.0, 0.0), ("a", 1, n, 3.0, 0.0), ("a", 2, n, 3.0, 0.0)],
+                                    "host string, k bigint, n bigint, mean double, m2 double")
+    rows = {r.k: (r.n, r.mean, r.m2 / r.n) for r in sliding_moments(buckets, ["host"], 2).collect()}
+    assert rows[1] == (2 * n, 2.0, 1.0) and rows[2] == (2 * n, 3.0, 0.0)
+    both = merge_two(buckets.filter("k < 2"), ["host"]).first()
+    assert (both.n, both.mean, both.m2 / both.n) == (2 * n, 2.0, 1.0)
