@@ -4,31 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from livetick.sources.frames import append_frames, event_batches, write_frames
 from livetick.streaming.sources import configure_state
 
 
-def _trigger(writer, every: str | None):
-    """At most one micro-batch per interval; None takes all that is there and stops."""
-    return writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
+_PARTITIONS = "spark.sql.shuffle.partitions"
+
+
+def _start(spark: SparkSession, writer, checkpoint: str, every: str | None) -> StreamingQuery:
+    """Start with at most one micro-batch per interval; None takes all that is there and stops.
+
+    State partitions are fixed at the first start and are never merged at run time,
+    so there are no more of them than the cluster has cores.
+    """
+    configure_state(spark)
+    writer = writer.option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
+    configured = spark.conf.get(_PARTITIONS)
+    spark.conf.set(_PARTITIONS, str(min(int(configured), spark.sparkContext.defaultParallelism)))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(_PARTITIONS, configured)
 
 
 def to_files(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Append results as parquet; a restart with the same checkpoint neither loses nor repeats a row."""
-    configure_state(stream.sparkSession)
     writer = stream.writeStream.outputMode("append").format("parquet").option("path", path)
-    return _trigger(writer.option("checkpointLocation", checkpoint), every).start()
+    return _start(stream.sparkSession, writer, checkpoint, every)
 
 
 def observe(stream: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str,
             every: str | None = None) -> StreamingQuery:
     """Call an observer with each micro-batch."""
-    configure_state(stream.sparkSession)
     writer = stream.writeStream.outputMode("append").foreachBatch(callback)
-    return _trigger(writer.option("checkpointLocation", checkpoint), every).start()
+    return _start(stream.sparkSession, writer, checkpoint, every)
 
 
 def to_append_frames(stream: DataFrame, path: str, checkpoint: str, batch_rows: int = 1_000,
