@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from livetick.llm import quality_qda, toxic_kn
+from livetick.llm import bpe_stream, dac, quality_qda, toxic_kn
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [quality_qda.op6_quality_qda, toxic_kn.op9_toxic_kneser_ney]
+    found = [dac.op3_dac_token_file, bpe_stream.op4_bpe_stream, quality_qda.op6_quality_qda, toxic_kn.op9_toxic_kneser_ney]
     return {f.__name__: f for f in found}
 
 
