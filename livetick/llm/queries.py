@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from livetick.llm import bpe_stream, dac, quality_qda, toxic_kn
+from livetick.llm import block_knn, bpe_stream, dac, hilbert_shards, kn_lm, quality_qda, toxic_kn
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    found = [dac.op3_dac_token_file, bpe_stream.op4_bpe_stream, quality_qda.op6_quality_qda, toxic_kn.op9_toxic_kneser_ney]
+    found = [
+        hilbert_shards.op1_hilbert_shards, dac.op3_dac_token_file, bpe_stream.op4_bpe_stream, block_knn.op5_block_knn,
+        quality_qda.op6_quality_qda, toxic_kn.op9_toxic_kneser_ney, kn_lm.op10_kneser_ney_lm,
+    ]
     return {f.__name__: f for f in found}
 
 
