@@ -5,9 +5,10 @@ Each stage takes what the one before kept, reread from Parquet. All but the last
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from livetick.llm import quality_qda, toxic_kn
+from livetick.llm import bpe_stream, chosen_path, decontaminate, quality_qda, toxic_kn
 from livetick.llm.common import stored, table
 
 
@@ -21,7 +22,24 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxic_kn.keep_civil(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality", quality), ("toxicity", toxicity)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
+    return chosen_path.keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with digests of the ids and of the text decoded from them."""
+    return bpe_stream.encoded(docs, public_tokenizers.path(bpe_stream.MODEL), with_ids=True)
+
+
+STAGES = [
+    ("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("tokens", tokens),
+]
 
 #: Fitted models, set similarity and token ids are outside the SQL engine; tests compare by brute force.
 ORACLE_SQL = None

@@ -18,30 +18,37 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
-import regex
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from livetick.llm.bpe_stream import BYTE_LEVEL_SPLIT, split_pattern
-from livetick.llm.common import batches, table, work_path
+from livetick.llm.bpe_stream import byte_alphabet
+from livetick.llm.common import table, work_path
 
 MODEL, END = "byte_bpe_50k.json", 0
 CHUNK, BLOCK = 8, 512
-SEGMENT_TOKENS = 1 << 20
-BATCH = 256
-REMEMBERED = 300_000
+SEGMENT_TOKENS = 1 << 18
+BATCH = 128
+#: Words a worker remembers before it starts afresh, and words encoded in one text.
+REMEMBERED, NEW_WORDS = 400_000, 2000
 _HEAD = struct.Struct("<4sHHQQ")  # magic, levels, flags (0), documents, tokens
 _MAGIC = b"DAC1"
+_SEGMENTS = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("nulls", pa.int32()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
 
 
 class CachedEncoder:
-    """Ids of the tokenizers library; each distinct piece of the byte level's split is encoded by it once per worker."""
+    """Ids of the tokenizers library, remembered by word.
+
+    The byte level's split never joins what stands before a blank with what follows, and a blank goes with the word
+    behind it, as long as no two blanks meet. Texts without double blanks and special tokens are therefore taken
+    word by word; new words are encoded many at a time, in one text, and told apart by the blank that heads each.
+    Other texts go to the library whole.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
@@ -49,29 +56,38 @@ class CachedEncoder:
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = {t["content"]: [t["id"]] for t in spec["added_tokens"]}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.split = split_pattern(BYTE_LEVEL_SPLIT)
-        self.known: dict[str, list[int]] = {}
-
-    def pieces(self, text: str | None) -> list[str]:
-        text = text or ""
-        if not any(s in text for s in self.special):
-            return self.split.findall(text)
-        return list(chain.from_iterable([p] if p in self.special else self.split.findall(p) for p in self.cut.split(text)))
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        level = spec["pre_tokenizer"]
+        self.by_word = level["type"] == "ByteLevel" and not level["add_prefix_space"] and spec["normalizer"] is None
+        names = self.tokenizer.get_vocab()
+        blank = byte_alphabet()[ord(" ")]
+        self.heads = np.zeros(max(names.values()) + 1, bool)
+        for name, i in names.items():
+            self.heads[i] = name.startswith(blank)
+        self.known: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), NEW_WORDS):
+            part = words[at : at + NEW_WORDS]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            borders = [*(np.flatnonzero(self.heads[ids]) * 4).tolist(), 4 * len(ids)]
+            data = ids.tobytes()
+            self.known.update(zip(part, [data[a:b] for a, b in zip(borders, borders[1:])], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [self.pieces(t) for t in texts]
+        texts = [t or "" for t in texts]
+        plain = [self.by_word and "  " not in t and not any(s in t for s in self.special) for t in texts]
+        split = [t.split(" ") if p else [t] for t, p in zip(texts, plain, strict=True)]
+        heads = self.whole([w[0] for w in split])
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
-        if not known:
-            known.update(self.special)
-        new = list({p for pieces in split for p in pieces if p not in known})
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        known.update((p, e.ids) for p, e in zip(new, encoded, strict=True))
+        self.learn(list({w for words in split for w in words[1:] if w not in known}))
         get = known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, pieces)), np.uint32) for pieces in split]
+        return [np.frombuffer(head + b"".join(map(get, words[1:])), "<u4") for head, words in zip(heads, split, strict=True)]
 
 
 def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -144,28 +160,26 @@ class Segment:
 def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, segment_tokens: int = SEGMENT_TOKENS) -> None:
     """Encode all documents and write their segments, ascending by doc_id over parts and segments."""
 
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = CachedEncoder(tokenizer)
         held, tokens, seq, part = [], 0, 0, 0
 
-        def segment() -> pd.DataFrame:
-            data = pack(np.array([h[0] for h in held], np.int64), np.array([len(h[2]) for h in held]),
-                        np.concatenate([h[2] for h in held]))
-            nulls = sum(h[1] for h in held)
-            return pd.DataFrame({"part": [part], "seq": [seq], "nulls": [nulls], "n_tokens": [tokens], "payload": [data]})
-
-        for pdf in batches(frames, BATCH):
-            if not len(pdf):
-                continue
-            part = int(pdf["part"].iloc[0])
-            missing = pdf["id"].isna().to_numpy()
-            numbers = pdf["id"].fillna(0).astype("int64").to_numpy()
-            for number, null, ids in zip(numbers, missing, encoder.encode(pdf["text"].tolist()), strict=True):
-                if held and tokens + len(ids) + 1 > segment_tokens:
-                    yield segment()
-                    held, tokens, seq = [], 0, seq + 1
-                held.append((number, bool(null), np.append(ids, np.uint32(end))))
-                tokens += len(ids) + 1
+        def segment() -> pa.RecordBatch:
+            data = pack(np.array([h[0] or 0 for h in held], np.int64), np.array([len(h[1]) for h in held]),
+                        np.concatenate([h[1] for h in held]))
+            nulls = sum(h[0] is None for h in held)
+            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "nulls": nulls, "n_tokens": tokens, "payload": data}], _SEGMENTS)
+
+        for frame in frames:
+            # Small pieces, so that the texts of a whole frame are not held twice.
+            for piece in (frame.slice(at, BATCH) for at in range(0, frame.num_rows, BATCH)):
+                part = piece.column(0)[0].as_py()
+                for number, ids in zip(piece.column(1).to_pylist(), encoder.encode(piece.column(2).to_pylist()), strict=True):
+                    if held and tokens + len(ids) + 1 > segment_tokens:
+                        yield segment()
+                        held, tokens, seq = [], 0, seq + 1
+                    held.append((number, np.append(ids, np.uint32(end))))
+                    tokens += len(ids) + 1
         if held:
             yield segment()
 
@@ -174,7 +188,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, segment_to
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(parts, "id", F.xxhash64("text")).sortWithinPartitions("id", "text")
     ordered = ordered.select(F.spark_partition_id().alias("part"), "id", "text")
-    ordered.mapInPandas(of, "part int, seq int, nulls int, n_tokens long, payload binary").write.parquet(path)
+    ordered.mapInArrow(of, "part int, seq int, nulls int, n_tokens long, payload binary").write.parquet(path)
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:

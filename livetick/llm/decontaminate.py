@@ -16,6 +16,7 @@ by `matches` and kept by `keep_clean`. Texts are searched whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -173,36 +174,38 @@ def parts_of(benchmark: DataFrame, letters_each: int = ITEM_CHARS) -> Iterator[I
         yield Items([(r["item_id"], r["text"]) for r in own.collect()])
 
 
+def _matches_of(rows: DataFrame, items: Items) -> DataFrame:
+    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches(frames, BATCH):
+            hits = items.search(pdf["text"].tolist())
+            ids = pdf["doc_id"].astype("Int64").array
+            yield pd.DataFrame({"doc_id": ids[[h[0] for h in hits]], "item_id": pd.array([h[1] for h in hits], "Int64"),
+                                "passage_end": pd.array([h[2] for h in hits], "Int64"), "edits": pd.array([h[3] for h in hits], "Int64")})
+
+    return rows.mapInPandas(of, "doc_id long, item_id long, passage_end long, edits long")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, passage_end, edits) for every document and item found in it."""
-    rows, found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
-    for items in parts_of(benchmark):
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return reduce(DataFrame.union, [_matches_of(rows, items) for items in parts_of(benchmark)])
 
-        def of(frames: Iterator[pd.DataFrame], items: Items = items) -> Iterator[pd.DataFrame]:
-            for pdf in batches(frames, BATCH):
-                hits = items.search(pdf["text"].tolist())
-                ids = pdf["doc_id"].astype("Int64").array
-                yield pd.DataFrame({"doc_id": ids[[h[0] for h in hits]], "item_id": pd.array([h[1] for h in hits], "Int64"),
-                                    "passage_end": pd.array([h[2] for h in hits], "Int64"), "edits": pd.array([h[3] for h in hits], "Int64")})
 
-        part = rows.mapInPandas(of, "doc_id long, item_id long, passage_end long, edits long")
-        found = part if found is None else found.union(part)
-    return found
+def _holds(items: Items):
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        held = np.zeros(len(texts), bool)
+        for at in range(0, len(texts), BATCH):
+            held[[at + h[0] for h in items.search(texts.iloc[at : at + BATCH].tolist())]] = True
+        return pd.Series(held)
+
+    return holds("text")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the rows that hold a benchmark item. Only texts pass through Python and nothing is shuffled."""
     for items in parts_of(benchmark):
-
-        @F.pandas_udf("boolean")
-        def hit(texts: pd.Series, items: Items = items) -> pd.Series:
-            found = [items.search(texts.iloc[at : at + BATCH].tolist()) for at in range(0, len(texts), BATCH)]
-            held = np.zeros(len(texts), bool)
-            for k, hits in enumerate(found):
-                held[[k * BATCH + h[0] for h in hits]] = True
-            return pd.Series(held)
-
-        docs = docs.where(~hit("text"))
+        docs = docs.where(~_holds(items))
     return docs
 
 

@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from livetick.llm import block_knn, bpe_stream, dac, hilbert_shards, kn_lm, quality_qda, toxic_kn
+from livetick.llm import (
+    block_knn, bpe_stream, chosen_path, dac, decontaminate, hilbert_shards, html_trees, kn_lm, quality_qda, toxic_kn,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     found = [
-        hilbert_shards.op1_hilbert_shards, dac.op3_dac_token_file, bpe_stream.op4_bpe_stream, block_knn.op5_block_knn,
-        quality_qda.op6_quality_qda, toxic_kn.op9_toxic_kneser_ney, kn_lm.op10_kneser_ney_lm,
+        hilbert_shards.op1_hilbert_shards, chosen_path.op2_chosen_path_join, dac.op3_dac_token_file, bpe_stream.op4_bpe_stream,
+        block_knn.op5_block_knn, quality_qda.op6_quality_qda, html_trees.op7_html_trees, decontaminate.op8_qgram_decontamination,
+        toxic_kn.op9_toxic_kneser_ney, kn_lm.op10_kneser_ney_lm,
     ]
     return {f.__name__: f for f in found}
 
