@@ -12,16 +12,17 @@ from livetick.session import shared_dir
 from livetick.sources import frames
 from livetick.sources.tables import EVENTS
 from livetick.streaming import sinks
-from livetick.streaming.sources import bind_stream, file_stream
+from livetick.streaming.sources import bind_stream, table_stream
 from livetick.streaming.ticks import stream_host_ticks as stream_ticks
 
 DELAY = "10 minutes"
+#: Files a micro-batch takes. Files must be in time order: what is older than the watermark of earlier ones is late.
+FILES_PER_TRIGGER = 64
 
 
 def _events(spark: SparkSession, sf_dir: str, delay: str = DELAY) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = file_stream(spark, sf_dir, schema, pathGlobFilter="events.parquet")
-    return bind_stream(raw, EVENTS, delay)
+    return bind_stream(table_stream(spark, f"{sf_dir}/events.parquet", schema, FILES_PER_TRIGGER), EVENTS, delay)
 
 
 def _folder(spark: SparkSession, name: str) -> str:

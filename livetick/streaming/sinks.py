@@ -14,27 +14,31 @@ from livetick.streaming.sources import configure_state
 _PARTITIONS = "spark.sql.shuffle.partitions"
 
 
-def _start(spark: SparkSession, writer, checkpoint: str, every: str | None) -> StreamingQuery:
+def _start(spark: SparkSession, writer, checkpoint: str, every: str | None,
+           state_partitions: int | None = None) -> StreamingQuery:
     """Start with at most one micro-batch per interval; None takes all that is there and stops.
 
-    State partitions are fixed at the first start and are never merged at run time,
-    so there are no more of them than the cluster has cores.
+    State partitions are fixed in the checkpoint at the first start. ``state_partitions`` sets
+    them for this stream alone; None leaves them to ``spark.sql.shuffle.partitions``.
     """
     configure_state(spark)
     writer = writer.option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
+    if state_partitions is None:
+        return writer.start()
     configured = spark.conf.get(_PARTITIONS)
-    spark.conf.set(_PARTITIONS, str(min(int(configured), spark.sparkContext.defaultParallelism)))
+    spark.conf.set(_PARTITIONS, str(state_partitions))
     try:
         return writer.start()
     finally:
         spark.conf.set(_PARTITIONS, configured)
 
 
-def to_files(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+def to_files(stream: DataFrame, path: str, checkpoint: str, every: str | None = None,
+             state_partitions: int | None = None) -> StreamingQuery:
     """Append results as parquet; a restart with the same checkpoint neither loses nor repeats a row."""
     writer = stream.writeStream.outputMode("append").format("parquet").option("path", path)
-    return _start(stream.sparkSession, writer, checkpoint, every)
+    return _start(stream.sparkSession, writer, checkpoint, every, state_partitions)
 
 
 def observe(stream: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str,

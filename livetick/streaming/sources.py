@@ -39,6 +39,16 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return reader.load(path)
 
 
+def table_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
+    """The files of a table stored as one file or as a folder of part files, in order of their time stamps."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.getFileStatus(place).isDirectory():
+        return file_stream(spark, path, schema, files_per_trigger=files_per_trigger)
+    return file_stream(spark, str(place.getParent()), schema, files_per_trigger=files_per_trigger, pathGlobFilter=place.getName())
+
+
 def kafka_batches(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     """JSON event batches from a Kafka topic, one row per event (needs the Kafka connector on the class path)."""
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()

@@ -22,26 +22,27 @@ def _text(duration: str | int) -> str:
     return f"{duration_us(duration)} microseconds"
 
 
-def stream_baseline(events: DataFrame, tick: str | int, base: str | int, center: float = 0.0) -> DataFrame:
+def stream_baseline(events: DataFrame, tick: str | int, base: str | int) -> DataFrame:
     """Per host and closed tick: avg, deviation and count of the trailing window, and the slice's count.
 
-    ``at`` is the tick's event time. ``center`` is a typical value of the measure;
-    sums are taken around it to keep digits when means are large.
+    ``at`` is the tick's event time. A bucket carries count, mean and variance; the buckets of
+    a window, as many as it has ticks, are merged around its mean, so large means keep their digits.
     """
-    x = f"(cpu - {center!r}D)"
     buckets = events.groupBy(F.window("ts", _text(tick)).alias("w"), "host").agg(*[F.expr(e) for e in (
-        "count(cpu) AS n", f"sum({x}) AS s1", f"sum({x} * {x}) AS s2",
+        "count(cpu) AS n", "avg(cpu) AS m", "var_pop(cpu) AS v",
     )])
     rolled = buckets.groupBy(
         F.window(F.window_time("w"), _text(base), _text(tick)).alias("bw"), "host",
     ).agg(*[F.expr(e) for e in (
-        "sum(n) AS cpu_n", "sum(s1) AS s1", "sum(s2) AS s2", "max(w.end) AS newest", "max_by(n, w.end) AS newest_n",
+        "sum(n) AS cpu_n", "collect_list(if(n > 0, struct(n, m, v), NULL)) AS parts", "max(w.end) AS newest",
+        "max_by(n, w.end) AS newest_n",
     )])
-    return rolled.filter("cpu_n > 0").select(
-        F.window_time("bw").alias("at"), "host", "cpu_n",
-        F.expr(f"{center!r}D + s1 / cpu_n AS cpu_avg"),
-        F.expr("sqrt(greatest(0D, s2 / cpu_n - (s1 / cpu_n) * (s1 / cpu_n))) AS cpu_sd"),
-        F.expr("if(newest = bw.end, newest_n, 0L) AS n_current"),
+    # The mean is taken around the first bucket's, which keeps its last digits as well.
+    mean = "parts[0].m + aggregate(parts, 0D, (a, p) -> a + p.n * (p.m - parts[0].m)) / cpu_n"
+    spread = "aggregate(parts, 0D, (a, p) -> a + p.n * (p.v + (p.m - cpu_avg) * (p.m - cpu_avg)))"
+    return rolled.filter("cpu_n > 0").withColumn("cpu_avg", F.expr(mean)).select(
+        F.window_time("bw").alias("at"), "host", "cpu_n", "cpu_avg",
+        F.expr(f"sqrt({spread} / cpu_n) AS cpu_sd"), F.expr("if(newest = bw.end, newest_n, 0L) AS n_current"),
     )
 
 
@@ -50,7 +51,6 @@ def stream_host_ticks(
     tick: str | int,
     base: str | int,
     thresholds: tuple[float, ...] = DEFAULT_THRESHOLDS,
-    center: float = 0.0,
     salts: int = 1,
 ) -> DataFrame:
     """Host ticks of a watermarked stream, in append mode.
@@ -59,7 +59,7 @@ def stream_host_ticks(
     of one host and tick are spread over that many join tasks.
     """
     levels = list(enumerate(thresholds))
-    baseline = stream_baseline(source(), tick, base, center).selectExpr(
+    baseline = stream_baseline(source(), tick, base).selectExpr(
         "*", f"explode(sequence(0, {salts - 1})) AS salt",
     )
     samples = source().select(
