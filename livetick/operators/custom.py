@@ -9,12 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
-
-from livetick.functions.timecols import grid
-
-
-_HELD_KEYS = 100_000
+from pyspark.sql import DataFrame, types as T
 
 
 def custom_reduce(
@@ -29,40 +24,58 @@ def custom_reduce(
     """Reduce ``value`` per ``key`` with a user's mergeable function.
 
     ``partial`` folds a batch of values to a state, ``combine`` merges two states,
-    ``finish`` turns the last one into the result. A task emits one state per key.
+    ``finish`` turns the last one into the result. A task emits one state per key and
+    Arrow batch; ``combine`` must be associative. Null values are left out; a key with
+    no other values has the result null.
     """
     key_type = df.schema[key].dataType.simpleString()
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def frame(states: dict) -> pd.DataFrame:
-            return pd.DataFrame({key: list(states), "_state": [list(map(float, s)) for s in states.values()]})
+        for pdf in batches:
+            keys, states = [], []
+            for k, values in pdf.groupby(key, dropna=False)[value]:
+                known = values.dropna()
+                keys.append(None if pd.isna(k) else k)
+                states.append(list(map(float, partial(known))) if len(known) else None)
+            if keys:
+                yield pd.DataFrame({key: pd.Series(keys, dtype=object), "_state": pd.Series(states, dtype=object)})
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Fold the states of sorted keys, one batch after the other."""
+        held, state, started = None, None, False
+
+        def row() -> pd.DataFrame:
+            result = None if state is None else float(finish(state))
+            return pd.DataFrame({key: pd.Series([held], dtype=object), out: pd.Series([result], dtype="Float64")})
 
-        states: dict = {}
         for pdf in batches:
-            for k, values in pdf.dropna(subset=[value]).groupby(key, dropna=False)[value]:
-                state = partial(values)
-                states[k] = combine(states[k], state) if k in states else state
-            if len(states) > _HELD_KEYS:  # many keys: pass them on instead of holding them
-                yield frame(states)
-                states = {}
-        yield frame(states)
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        states = iter(pdf["_state"])
-        state = list(next(states))
-        for other in states:
-            state = combine(state, list(other))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], out: [float(finish(state))]})
+            done = []
+            for k, more in zip(pdf[key], pdf["_state"], strict=True):
+                k = None if pd.isna(k) else k
+                if not started or k != held:
+                    if started:
+                        done.append(row())
+                    held, state, started = k, None, True
+                if more is not None:
+                    state = list(more) if state is None else combine(state, list(more))
+            if done:
+                yield pd.concat(done)
+        if started:
+            yield row()
 
     folded = df.select(key, value).mapInPandas(fold, f"`{key}` {key_type}, _state array<double>")
-    return folded.groupBy(key).applyInPandas(merge, f"`{key}` {key_type}, `{out}` double")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return folded.repartition(parts, key).sortWithinPartitions(key).mapInPandas(merge, f"`{key}` {key_type}, `{out}` double")
 
 
 def partition_apply(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataFrame],
-                    schema: T.StructType | str, chunk_rows: int = 1_000_000) -> DataFrame:
-    """Call ``fn`` on each host's rows in arrival order, at most ``chunk_rows`` at a time."""
+                    schema: T.StructType | str) -> DataFrame:
+    """Call ``fn`` once on all rows of each host, in arrival order.
+
+    A function of a whole sub-series needs it in one task; where it can be merged from parts,
+    use `custom_reduce`, which never gathers a host.
+    """
     def call(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fn(pdf.sort_values("seq").drop(columns="_chunk").reset_index(drop=True))
+        return fn(pdf.sort_values("seq").reset_index(drop=True))
 
-    chunked = df.withColumn("_chunk", F.expr(grid("seq", chunk_rows)))
-    return chunked.groupBy(key, "_chunk").applyInPandas(call, schema)
+    return df.groupBy(key).applyInPandas(call, schema)

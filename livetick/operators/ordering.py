@@ -35,7 +35,7 @@ def resume_merge(held: DataFrame, incoming: DataFrame, id_col: str = "seq") -> D
     told apart by id, so the anti join only meets rows of that one instant.
     """
     newest_held = latest(held)
-    fresh = incoming.filter(F.col("ts") >= newest_held)
+    fresh = incoming.filter(newest_held.isNull() | (F.col("ts") >= newest_held))
     at_edge = held.filter(F.col("ts") == latest(held)).select(id_col)
     return held.unionByName(fresh.join(at_edge, id_col, "left_anti"))
 

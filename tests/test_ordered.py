@@ -180,5 +180,36 @@ def test_custom_reducer_and_partition_apply(spark, numbers):
         values = [r[2] for r in rows if r[1] == host]
         assert got[host] == max(values) - min(values)
     calls = custom.partition_apply(
-        df, "host", lambda pdf: pd.DataFrame({"host": [pdf.host[0]], "n": [len(pdf)]}), "host string, n bigint", chunk_rows=50)
-    assert calls.agg({"n": "sum"}).first()[0] == 500 and calls.count() > 4
+        df, "host", lambda pdf: pd.DataFrame({"host": [pdf.host[0]], "mid": [pdf.v.median()]}), "host string, mid double")
+    want = pd.DataFrame(rows).groupby(1)[2].median().to_dict()
+    assert {r.host: r.mid for r in calls.collect()} == pytest.approx(want)
+
+
+def test_custom_reducer_without_values(spark):
+    rows = [("a", 1.0), ("a", 3.0), ("b", None), (None, 2.0), ("a", None)]
+    df = spark.createDataFrame(rows, "host string, v double").repartition(8)
+
+    def total(frame):
+        got = custom.custom_reduce(frame, "host", "v", lambda s: [float(s.sum())], lambda a, b: [a[0] + b[0]], lambda s: s[0])
+        return {r.host: r.reduced for r in got.collect()}
+
+    assert total(df) == {"a": 4.0, "b": None, None: 2.0}
+    assert total(df.filter("host = 'a'")) == {"a": 4.0}
+    assert total(df.limit(0)) == {}
+
+
+def test_resume_into_an_empty_series(make_events):
+    incoming = make_events([(10, 0.1, 1, "a"), (20, 0.2, 1, "a")])
+    assert ordering.resume_merge(incoming.limit(0), incoming).count() == 2
+
+
+def test_grid_fill_over_a_long_gap(spark):
+    events = spark.createDataFrame([(0, "a", 1.0), (2_000_000_000_000, "a", 5.0)], "ts_us bigint, host string, cpu double")
+    filled = gridding.grid_fill(events, "1s").agg({"*": "count", "filled": "sum"}).first()
+    assert filled["count(1)"] == 2_000_001 and filled["sum(filled)"] == 2_000_005.0
+
+
+def test_newest_row_is_one_row_on_a_tie(spark):
+    df = spark.createDataFrame([("a", 1, "x", None), ("a", 1, None, "y")], "host string, ts_us bigint, p string, q string")
+    row = rollups.latest_per(df, ["host"]).first()
+    assert (row.p, row.q) in {("x", None), (None, "y")}
