@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from livetick.schema import DEFAULT_THRESHOLDS
 
-# A sample on the cutoff is not counted. Sums in a distributed job depend on the
-# order of their parts, so "on the cutoff" is taken up to this relative distance.
-CUTOFF_TOLERANCE = 1e-9
+# A sample on the cutoff is not counted. The mean of a distributed job depends on the
+# order of its parts in the last bits, so "on the cutoff" reaches a few of them, 8 units
+# in the last place of the mean.
+CUTOFF_ULPS = 8 * 2.0**-52
 
 
 def threshold_array(thresholds: tuple[float, ...] | None = None) -> str:
@@ -15,10 +16,10 @@ def threshold_array(thresholds: tuple[float, ...] | None = None) -> str:
 
 
 def beyond(value: str, avg: str, sd: str, threshold: float, side: str,
-           tolerance: float = CUTOFF_TOLERANCE) -> str:
+           ulps: float = CUTOFF_ULPS) -> str:
     """Whether a sample lies strictly more than threshold * sd above (or below) the mean; false without one."""
     diff = f"{value} - {avg}" if side == "above" else f"{avg} - {value}"
-    slack = f"{tolerance!r}D * (abs({avg}) + {sd})"
+    slack = f"{ulps!r}D * abs({avg})"
     return f"coalesce({diff} > {float(threshold)!r}D * {sd} + {slack}, false)"
 
 

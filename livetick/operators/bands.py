@@ -68,8 +68,9 @@ def anomaly_feed(ticks: DataFrame, sigma: float, n: int = 20) -> DataFrame:
 
 
 def wide_by_time(rows: DataFrame, hosts: list[str], columns: list[str]) -> DataFrame:
-    """One row per time with a column per host and value, for a chart."""
-    return rows.groupBy("ts_us").pivot("host", hosts).agg(*[F.first(c).alias(c) for c in columns])
+    """One row per time with a column per host and value, for a chart; a host outside the list is refused."""
+    listed = F.when(F.col("host").isin(hosts), F.col("host")).otherwise(F.raise_error(F.concat(F.lit("host without a column: "), F.col("host"))))
+    return rows.withColumn("host", listed).groupBy("ts_us").pivot("host", hosts).agg(*[F.first(c).alias(c) for c in columns])
 
 
 def axis_domain(rows: DataFrame, columns: list[str], y_min: float | None = None,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from livetick.functions.timecols import duration_us, grid, grid_start
+from livetick.operators.grid import steps
 from livetick.operators.sliding import sliding_moments
 from livetick.sources.tables import latest
 
@@ -63,6 +64,17 @@ def bucket_counts(df: DataFrame, step: str | int, keys: list[str] | None = None)
     )
 
 
+def dense_bars(df: DataFrame, step: str | int, axis: DataFrame) -> DataFrame:
+    """Every bar that touches the axis, with 0 where nothing fell; ``axis`` is one row (first_us, last_us)."""
+    width = duration_us(step)
+    # A bar that ends where the axis begins touches it.
+    spans = axis.selectExpr(f"{grid('first_us - 1', width)} AS _low", f"{grid('last_us', width)} AS _high")
+    spine = steps(spans, "_low", "_high", "_k").selectExpr(f"_k * {width}L AS begin_us")
+    counts = bucket_counts(df, step).select("begin_us", "n")
+    return spine.join(counts, "begin_us", "left").selectExpr(
+        "begin_us", f"begin_us + {width}L AS end_us", f"begin_us + {width // 2}L AS mid_us", "coalesce(n, 0L) AS n")
+
+
 def clip_bars(bars: DataFrame, first_us: Column, last_us: Column) -> DataFrame:
     """Bars that touch the visible axis [first, last]."""
     return bars.filter((F.col("end_us") >= first_us) & (F.col("begin_us") <= last_us))
@@ -89,9 +101,10 @@ def top_n(events: DataFrame, step: str | int, n: int) -> DataFrame:
 
 def latest_per(df: DataFrame, keys: list[str], order: str = "ts_us") -> DataFrame:
     """The newest row of each key; keys missing from recent frames keep their old row."""
-    # One max_by per column keeps the hash aggregate and lets unused columns be pruned.
+    # One struct, so that a tie of `order` never mixes two rows.
     rest = [c for c in df.columns if c not in (*keys, order)]
-    return df.groupBy(*keys).agg(F.max(order).alias(order), *[F.max_by(c, order).alias(c) for c in rest])
+    newest = df.groupBy(*keys).agg(F.max_by(F.struct(order, *rest), order).alias("_row"))
+    return newest.select(*keys, *[F.col("_row")[c].alias(c) for c in (order, *rest)])
 
 
 def edges(events: DataFrame, at: int) -> DataFrame:

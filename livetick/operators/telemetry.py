@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from livetick.functions.timecols import duration_us, grid
-from livetick.operators.grid import previous_in_key
+from livetick.operators.grid import previous_in_key, steps
 from livetick.operators.running import ranked, running
 
 
@@ -103,7 +103,8 @@ def frame_fanin(ticks: DataFrame, chunk_us: int) -> DataFrame:
 
 
 def global_ticks(events: DataFrame, tick: str | int, max_age: str | int, chunk_ticks: int = 100_000) -> DataFrame:
-    """Per closed tick: events ingested so far, the tick's rate, and events older than ``max_age`` by then."""
+    """Every closed tick from the first event on, quiet ones too: events ingested so far, the tick's rate, and
+    events older than ``max_age`` by then."""
     step, age = duration_us(tick), duration_us(max_age)
     if age % step:
         raise ValueError("the retention must be a whole number of ticks")
@@ -112,7 +113,10 @@ def global_ticks(events: DataFrame, tick: str | int, max_age: str | int, chunk_t
     # A slice is ingested at its own boundary and gone once its age has passed.
     moves = counts.selectExpr(
         f"inline(array(struct(k, c AS n, 0L AS gone), struct(k + {age // step}L AS k, 0L AS n, c AS gone)))",
-    ).groupBy("k").agg(F.sum("n").alias("n"), F.sum("gone").alias("gone")).filter(F.col("k") <= last)
+    )
+    first = events.agg(F.expr(f"min({grid('ts_us', step)}) AS _low"), F.expr(f"{grid('max(ts_us)', step)} - 1 AS _high"))
+    quiet = steps(first, "_low", "_high", "k").selectExpr("k", "0L AS n", "0L AS gone")
+    moves = moves.unionByName(quiet).groupBy("k").agg(F.sum("n").alias("n"), F.sum("gone").alias("gone")).filter(F.col("k") <= last)
     run = running(moves, [], "k", grid("k", chunk_ticks), {
         "events_ingested_total": ("sum", "n"), "evicted_total": ("sum", "gone"),
     })

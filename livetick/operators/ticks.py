@@ -117,16 +117,16 @@ def _fill_silent(ticks: DataFrame, step: int, n_thresholds: int) -> DataFrame:
     return ticks.unionByName(gaps)
 
 
-def slice_samples(events: DataFrame, tick: str | int, part_rows: int = 10_000) -> DataFrame:
-    """The full sample list of each host and tick, in parts of about ``part_rows`` samples.
+def slice_samples(events: DataFrame, tick: str | int, parts: int = 1) -> DataFrame:
+    """The full sample list of each host and tick, dealt by id to ``parts`` arrays.
 
-    The number of parts follows the slice's count, so a slice of any size is kept
-    whole without building one array of it. Part 0 is the only one of a small slice.
+    Every slice has the same parts whatever its size; raise ``parts`` where one array of a
+    slice's samples would be too much for a row.
     """
     step = duration_us(tick)
     rows = events.filter("host IS NOT NULL AND ts IS NOT NULL").selectExpr("*", f"{grid('ts_us', step)} AS k")
     counts = rows.groupBy("host", "k").agg(F.count("cpu").alias("n_current"))
     return rows.join(counts, ["host", "k"]).selectExpr(
         "host", f"(k + 1) * {step}L AS ts_us", "n_current", "cpu",
-        f"pmod(xxhash64(seq), greatest(1L, ceil(n_current / {part_rows}))) AS part",
+        f"pmod(xxhash64(seq), {parts}L) AS part",
     ).groupBy("host", "ts_us", "n_current", "part").agg(F.sort_array(F.collect_list("cpu")).alias("samples"))

@@ -12,7 +12,7 @@ from livetick.session import configure
 Query = Callable[[SparkSession, str], DataFrame]
 
 TICK = [
-    "host_ticks", "host_ticks_dense", "host_ticks_lineitem", "host_ticks_silent", "slice_samples",
+    "host_ticks", "host_ticks_offset", "host_ticks_dense", "host_ticks_lineitem", "host_ticks_silent", "slice_samples",
     "tick_extremes", "tick_requests", "agg_frames", "tick_backfill", "last_ticks", "weighted_rollup",
     "frame_fanin", "global_ticks", "cumulative_rate", "tick_gaps", "conservation", "counter_deltas",
 ]
@@ -21,7 +21,7 @@ EVENT = [
     "enabled_hosts", "host_discovery", "high_cpu_alerts", "host_rollup", "host_tail_avg", "rolling_tail_avg",
     "event_rate", "alert_bars", "keep_topn", "first_last", "last_events", "page_summary", "custom_reducer",
     "host_apply", "event_baseline", "event_outliers", "event_rolling", "ema_requests", "ema_trend", "total_req_rate",
-    "back_window", "retention", "late_filter", "snapshot_append_merge", "grid_fill", "fifo_latency",
+    "back_window", "retention", "late_filter", "snapshot_append_merge", "snapshot_from_empty", "timed_points", "grid_fill", "fifo_latency",
     "fifo_residual", "latency_percentiles", "pause_rollup", "batch_stats", "egress_bytes", "phase_breakdown",
 ]
 CHART = [

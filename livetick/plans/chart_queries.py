@@ -30,7 +30,7 @@ def anomaly_bars_15s(spark: SparkSession, sf_dir: str) -> DataFrame:
     dots = B.anomaly_dots(_enabled_ticks(spark, sf_dir), S.SIGMA, S.MIN_SAMPLES)
     points = from_points(dots, T.StructType([
         T.StructField("ts_us", T.LongType()), T.StructField("value", T.DoubleType())]))
-    bars = rollups.bucket_counts(points, S.BUCKET)
+    bars = rollups.dense_bars(points, S.BUCKET, inputs.axis(read_events(spark, sf_dir)))
     return bars.selectExpr(ms("begin_us", "begin_ms"), ms("end_us", "end_ms"), ms("mid_us", "mid_ms"), "n")
 
 

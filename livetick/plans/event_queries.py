@@ -13,7 +13,7 @@ from livetick.plans import inputs, settings as S
 from livetick.plans.shape import flat, ms, num
 from livetick.schema import contract_report
 from livetick.sources import frames
-from livetick.sources.tables import read_events
+from livetick.sources.tables import read_events, to_points
 from livetick.sources.validate import split_required
 
 
@@ -96,9 +96,8 @@ def event_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alert_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_events(spark, sf_dir)
-    axis = events.agg(F.max("ts_us")).scalar()
     alerts = hosts.high_value(events, S.HIGH, inputs.disabled(spark))
-    bars = rollups.clip_bars(rollups.bucket_counts(alerts, S.BUCKET), axis - 5 * 86_400_000_000, axis)
+    bars = rollups.dense_bars(alerts, S.BUCKET, inputs.axis(events))
     return bars.selectExpr(ms("begin_us", "begin_ms"), ms("end_us", "end_ms"), ms("mid_us", "mid_ms"), "n")
 
 
@@ -132,14 +131,14 @@ def custom_reducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def host_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A function per host sub-series; its per-call rows are combined afterwards."""
-    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "lo": [pdf["cpu"].min()], "hi": [pdf["cpu"].max()], "rows": [len(pdf)]})
+    """A function of each host's whole sub-series that cannot be merged from parts."""
+    def middle(pdf: pd.DataFrame) -> pd.DataFrame:
+        cpu = pdf["cpu"]
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "mid": [cpu.median()], "wide": [cpu.max() - cpu.min()], "n": [len(pdf)]})
 
     rows = read_events(spark, sf_dir).select("seq", "host", "cpu")
-    calls = custom.partition_apply(rows, "host", spread, "host string, lo double, hi double, rows bigint")
-    return calls.groupBy("host").agg(
-        (F.max("hi") - F.min("lo")).alias("_s"), F.sum("rows").alias("n")).selectExpr("host", num("_s", "spread"), "n")
+    calls = custom.partition_apply(rows, "host", middle, "host string, mid double, wide double, n bigint")
+    return calls.selectExpr("host", num("mid", "median"), num("wide", "spread"), "n")
 
 
 # -- rolling and ordered ------------------------------------------------------------
@@ -182,7 +181,7 @@ def ema_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def total_req_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = rollups.latest_per(_smoothed(spark, sf_dir), ["host"], "seq")
+    last = hosts.enabled(rollups.latest_per(_smoothed(spark, sf_dir), ["host"], "seq"), inputs.disabled(spark))
     return last.agg(F.expr(num("sum(req_per_sec)", "total_req_per_sec")))
 
 
@@ -210,6 +209,18 @@ def snapshot_append_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.resume_merge(held, incoming).selectExpr("seq", ms(), "host", "cpu")
 
 
+def snapshot_from_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A client that holds nothing yet resumes; it gets the whole re-delivery."""
+    events = read_events(spark, sf_dir)
+    return ordering.resume_merge(events.filter(F.lit(False)), events).selectExpr("seq", ms(), "host", "cpu")
+
+
+def timed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of the enabled hosts in order of time."""
+    rows = hosts.enabled(read_events(spark, sf_dir), inputs.disabled(spark)).withColumn("ts_ms", F.expr("ts_us div 1000L"))
+    return to_points(rows, "ts_ms", "host", "cpu")
+
+
 def grid_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = grid.grid_fill(read_events(spark, sf_dir), "10m", chunk_steps=1_000)
     return rows.selectExpr(ms(), "host", num("value"), num("filled"))

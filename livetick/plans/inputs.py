@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from livetick.functions.timecols import grid
+from livetick.functions.timecols import duration_us, grid
 from livetick.operators.ticks import host_ticks
 from livetick.plans import settings as S
 from livetick.sources.tables import host_dimension, read_events
@@ -14,6 +14,12 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_ticks(read_events(spark, sf_dir), S.TICK, S.BASE)
 
 
+def axis(events: DataFrame) -> DataFrame:
+    """The visible axis: one row with its ends."""
+    width = duration_us(S.VIEW)
+    return events.agg((F.max("ts_us") - width).alias("first_us"), F.max("ts_us").alias("last_us"))
+
+
 def hosts(spark: SparkSession) -> DataFrame:
     return host_dimension(spark, S.HOSTS)
 

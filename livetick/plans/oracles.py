@@ -36,21 +36,24 @@ _LEVELS = [1.0, 1.5, 2.0, 2.5, 3.0]
 def _ticks(tick: str, base: str, source: str = EV) -> str:
     """CTEs ``ev`` and ``ticks``: for each boundary T the window [T - base, T) and the slice [T - tick, T)."""
     s, w = duration_us(tick), duration_us(base)
-    above = ", ".join(
-        f"count(*) FILTER (e.cpu - b.cpu_avg > {t} * b.cpu_sd + 1e-9 * (abs(b.cpu_avg) + b.cpu_sd))" for t in _LEVELS)
-    below = ", ".join(
-        f"count(*) FILTER (b.cpu_avg - e.cpu > {t} * b.cpu_sd + 1e-9 * (abs(b.cpu_avg) + b.cpu_sd))" for t in _LEVELS)
+    hundredths = "CAST(round(cpu * 100) AS HUGEINT)"
+    # Values have two decimals, so hundredths compare n * x - sum with t * sqrt(n * squares - sum^2) exactly.
+    above, below = (", ".join(
+        f"count(*) FILTER ({sign} * (b.n * e.v - b.s) > 0 AND 4 * (b.n * e.v - b.s) * (b.n * e.v - b.s) > {int(2 * t) ** 2} * (b.n * b.q - b.s * b.s))"
+        for t in _LEVELS) for sign in (1, -1))
     return f"""{source},
 grid AS (
   SELECT unnest(generate_series((SELECT min(ts_us) // {s} + 1 FROM ev), (SELECT max(ts_us) // {s} FROM ev))) * {s} AS t),
 base AS (
-  SELECT t AS ts_us, host, avg(cpu) AS cpu_avg, stddev_pop(cpu) AS cpu_sd, count(*) AS cpu_n
+  SELECT t AS ts_us, host, avg(cpu) AS cpu_avg, stddev_pop(cpu) AS cpu_sd, count(*) AS cpu_n,
+    CAST(count(*) AS HUGEINT) AS n, sum({hundredths}) AS s, sum({hundredths} * {hundredths}) AS q
   FROM grid JOIN ev ON ev.ts_us >= t - {w} AND ev.ts_us < t GROUP BY ALL),
-slice AS (SELECT (ts_us // {s} + 1) * {s} AS t, host, cpu FROM ev),
+slice AS (SELECT (ts_us // {s} + 1) * {s} AS t, host, cpu, {hundredths} AS v FROM ev),
 ticks AS (
   SELECT b.ts_us, b.host, b.cpu_avg, b.cpu_sd, b.cpu_n, count(e.cpu) AS n_current,
          [{above}] AS aa, [{below}] AS ab
-  FROM base b LEFT JOIN slice e ON e.host = b.host AND e.t = b.ts_us GROUP BY ALL)"""
+  FROM base b LEFT JOIN slice e ON e.host = b.host AND e.t = b.ts_us
+  GROUP BY b.ts_us, b.host, b.cpu_avg, b.cpu_sd, b.cpu_n, b.n, b.s, b.q)"""
 
 
 TICKS = _ticks(S.TICK, S.BASE)
@@ -132,6 +135,13 @@ def _q(ctes: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+# Every day that touches the last five days, with 0 where nothing fell.
+_BARS = f"""
+SELECT d.b // 1000 AS begin_ms, (d.b + {_D}) // 1000 AS end_ms, (d.b + {_D // 2}) // 1000 AS mid_ms, coalesce(n, 0) AS n
+FROM (SELECT unnest(generate_series(({END} - 5 * {_D} - 1) // {_D}, {END} // {_D})) * {_D} AS b) d LEFT JOIN b ON b.b = d.b
+WHERE d.b + {_D} >= {END} - {5 * _D} AND d.b <= {END}"""
+
+
 def _silent() -> str:
     s = duration_us(S.TICK)
     return _q(_ticks(S.TICK, S.TICK) + f""",
@@ -177,12 +187,12 @@ SELECT ts_us // 1000 AS ts_ms, CAST(e AS BIGINT) AS frame_events, count(*) OVER
 FROM fr WINDOW w AS (ORDER BY ts_us)"""),
         "global_ticks": _q(slices + f""",
 c AS (SELECT t, count(*) AS n FROM sl GROUP BY t),
-stop AS (SELECT t FROM c UNION SELECT t + {duration_us(S.KEEP)} FROM c)""", f"""
-SELECT s.t // 1000 AS ts_ms,
-  CAST((SELECT coalesce(sum(n), 0) FROM c WHERE c.t <= s.t) AS BIGINT) AS events_ingested_total,
+g AS (SELECT unnest(generate_series((SELECT min(t) // {_H} FROM c), {END} // {_H})) * {_H} AS t)""", f"""
+SELECT g.t // 1000 AS ts_ms,
+  CAST((SELECT coalesce(sum(n), 0) FROM c WHERE c.t <= g.t) AS BIGINT) AS events_ingested_total,
   {_num('coalesce(c0.n, 0) / 3600.0', 'events_per_sec')},
-  CAST((SELECT coalesce(sum(n), 0) FROM c WHERE c.t <= s.t - {duration_us(S.KEEP)}) AS BIGINT) AS evicted_total
-FROM stop s LEFT JOIN c c0 ON c0.t = s.t WHERE s.t <= {END}"""),
+  CAST((SELECT coalesce(sum(n), 0) FROM c WHERE c.t <= g.t - {duration_us(S.KEEP)}) AS BIGINT) AS evicted_total
+FROM g LEFT JOIN c c0 ON c0.t = g.t"""),
         "cumulative_rate": _q(slices + ", c AS (SELECT t, host, sum(requests) AS s FROM sl GROUP BY t, host)", f"""
 SELECT t // 1000 AS ts_ms, host, CAST(sum(s) OVER w AS BIGINT) AS cumulative,
   {_num('s / ((t - lag(t) OVER w) / 1000000.0)', 'rate')}
@@ -231,9 +241,7 @@ SELECT host, {_num('avg(cpu)', 'cpu_avg')}, {_num('stddev_pop(cpu)', 'cpu_sd')},
 SELECT host, {_num('avg(requests)', 'requests_avg')}, count(*) AS n FROM ev WHERE ts_us > {END} - {_D} GROUP BY host"""),
         "rolling_tail_avg": _q(EV, f"SELECT {_num('avg(cpu)', 'rolling_cpu')} FROM ev WHERE ts_us > {END} - {_D}"),
         "event_rate": _q(EV, f"SELECT count(*) AS n_events, {_num('count(*) / 86400.0', 'events_per_sec')} FROM ev WHERE ts_us > {END} - {_D}"),
-        "alert_bars": _q(EV + f", b AS (SELECT ts_us // {_D} * {_D} AS b, count(*) AS n FROM ev WHERE {ENABLED} AND cpu > {S.HIGH} GROUP BY 1)", f"""
-SELECT b // 1000 AS begin_ms, (b + {_D}) // 1000 AS end_ms, (b + {_D // 2}) // 1000 AS mid_ms, n
-FROM b WHERE b + {_D} >= {END} - {5 * _D} AND b <= {END}"""),
+        "alert_bars": _q(EV + f", b AS (SELECT ts_us // {_D} * {_D} AS b, count(*) AS n FROM ev WHERE {ENABLED} AND cpu > {S.HIGH} GROUP BY 1)", _BARS),
         "keep_topn": _q(slices, f"""
 SELECT (t - {_H}) // 1000 AS ts_ms, host, CASE WHEN min(cpu) = max(cpu) THEN min(cpu) END AS cpu_keep, count(*) AS n,
   array_to_string(list_sort(list(cpu), 'DESC')[1:3], ',') AS top FROM sl GROUP BY t, host"""),
@@ -247,7 +255,7 @@ SELECT count(*) FILTER (ts_us > {END} - {duration_us(S.KEEP)}) AS retained,
   {_num(f'count(*) FILTER (ts_us > {END} - {_D}) / 86400.0', 'events_per_sec')},
   count(*) FILTER (ts_us <= {END} - {duration_us(S.KEEP)}) AS evicted FROM ev"""),
         "custom_reducer": _q(EV, f"SELECT host, {_num('sqrt(avg(cpu * cpu))', 'cpu_rms')} FROM ev GROUP BY host"),
-        "host_apply": _q(EV, f"SELECT host, {_num('max(cpu) - min(cpu)', 'spread')}, count(*) AS n FROM ev GROUP BY host"),
+        "host_apply": _q(EV, f"SELECT host, {_num('quantile_cont(cpu, 0.5)', 'median')}, {_num('max(cpu) - min(cpu)', 'spread')}, count(*) AS n FROM ev GROUP BY host"),
         "event_baseline": _q(BASELINE, f"""
 SELECT seq, ts_us // 1000 AS ts_ms, host, cpu, window_n, {_num('avg')}, {_num('sd')}, {_num('upper')}, {_num('lower')} FROM bl"""),
         "event_outliers": _q(BASELINE, f"""
@@ -261,7 +269,7 @@ GROUP BY a.seq, a.ts_us, a.host"""),
         "ema_trend": _q(EV + ", num AS (SELECT cpu, row_number() OVER (ORDER BY seq) AS pos, count(*) OVER () AS n FROM ev)", f"""
 SELECT {_num(f'sum(cpu * pow({1 - S.ALPHA_TREND}, n - pos) * CASE WHEN pos = 1 THEN 1.0 ELSE {S.ALPHA_TREND} END)', 'trend')} FROM num"""),
         "total_req_rate": _q(EMA, f"""
-SELECT {_num('sum(r)', 'total_req_per_sec')} FROM (SELECT host, arg_max(req_per_sec, seq) AS r FROM req GROUP BY host)"""),
+SELECT {_num('sum(r)', 'total_req_per_sec')} FROM (SELECT host, arg_max(req_per_sec, seq) AS r FROM req WHERE {ENABLED} GROUP BY host)"""),
         "back_window": _q(EV, f"""
 SELECT seq, ts_us // 1000 AS ts_ms, host, cpu, ({END} - {5 * _D}) // 1000 AS t_start_ms, {END} // 1000 AS t_end_ms
 FROM ev WHERE ts_us >= {END} - {5 * _D}"""),
@@ -273,6 +281,11 @@ a AS (SELECT *, seq * 2 + CASE WHEN cpu > """ + str(S.HIGH) + """ THEN 15 ELSE 0
 m AS (SELECT *, max(ts_us) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM a)""", """
 SELECT seq, ts_us // 1000 AS ts_ms, host FROM m WHERE seen IS NULL OR ts_us >= seen"""),
         "snapshot_append_merge": _q(EV, "SELECT seq, ts_us // 1000 AS ts_ms, host, cpu FROM ev"),
+        "snapshot_from_empty": _q(EV, "SELECT seq, ts_us // 1000 AS ts_ms, host, cpu FROM ev"),
+        "timed_points": _q(EV, f"SELECT ts_us // 1000 AS ts_ms, host, cpu FROM ev WHERE {ENABLED}"),
+        "host_ticks_offset": _q(_ticks(S.TICK, S.BASE, EV.replace("value AS cpu", "value + 1000000000.0 AS cpu")), """
+SELECT ts_us // 1000 AS ts_ms, host, cpu_n, n_current, array_to_string(aa, ',') AS anomalies_above,
+  array_to_string(ab, ',') AS anomalies_below FROM ticks"""),
         "grid_fill": _q(EV + f""",
 b AS (SELECT host, ts_us // {_H // 6} AS k, avg(cpu) AS m FROM ev GROUP BY ALL),
 r AS (SELECT host, unnest(generate_series(min(k), max(k))) AS k FROM b GROUP BY host),
@@ -302,8 +315,7 @@ SELECT l_returnflag, n, {_num('p50')}, {_num('p95')}, {_num('p99')} FROM pc""",
 SELECT ts_us // 1000 AS ts_ms, host, side, {_num('value')}, {_num('c', 'n_at_sigma')},
   {_num('least(greatest(1.5 + 1.5 * log10(c + 1), 1.5), 8)', 'radius')}, {_num('least(0.4 + 0.15 * log10(c + 1), 0.95)', 'opacity')}
 FROM dots"""),
-        "anomaly_bars_15s": _q(BANDS + f", b AS (SELECT ts_us // {_D} * {_D} AS b, count(*) AS n FROM dots GROUP BY 1)", f"""
-SELECT b // 1000 AS begin_ms, (b + {_D}) // 1000 AS end_ms, (b + {_D // 2}) // 1000 AS mid_ms, n FROM b"""),
+        "anomaly_bars_15s": _q(BANDS + f", b AS (SELECT ts_us // {_D} * {_D} AS b, count(*) AS n FROM dots GROUP BY 1)", _BARS),
         "anomaly_density": _q(TICKS + f", c AS (SELECT ts_us // {_D} * {_D} AS b, host, {_at('aa', str(S.SIGMA))} + {_at('ab', str(S.SIGMA))} AS a, n_current FROM ticks)", f"""
 SELECT b // 1000 AS bucket_ms, host, {_num('sum(a)', 'anomalies')}, CAST(sum(n_current) AS BIGINT) AS samples,
   {_num('CASE WHEN sum(n_current) > 0 THEN sum(a) / sum(n_current) END', 'fraction')} FROM c GROUP BY b, host"""),

@@ -26,6 +26,13 @@ def host_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tick_rows(inputs.ticks(spark, sf_dir))
 
 
+def host_ticks_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same readings a billion higher: every count stays as it is."""
+    shifted = read_events(spark, sf_dir).withColumn("cpu", F.expr("cpu + 1000000000D"))
+    return build_ticks(shifted, S.TICK, S.BASE).selectExpr(
+        ms(), "host", "cpu_n", "n_current", flat("anomalies_above"), flat("anomalies_below"))
+
+
 def host_ticks_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tick_rows(build_ticks(read_events(spark, sf_dir), S.DENSE_TICK, S.DENSE_BASE))
 
