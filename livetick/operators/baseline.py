@@ -9,46 +9,29 @@ events at one instant gather in a task.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, functions as F
 
 from livetick.functions.timecols import duration_us, grid
 from livetick.operators.sliding import deviation, merge_two, moments_by, sliding_moments
 
 
-# Rows a task may hold of one host's window before its buckets are made finer.
-GROUP_ROWS = 1_000_000
-FEWEST_BUCKETS = 24
-
-
-def choose_buckets(events: DataFrame, window: str | int, group_rows: int = GROUP_ROWS) -> int:
-    """Into how many buckets to cut a window, from the densest host and window in the data.
-
-    Groups of the passes below hold the instants of one bucket, or the buckets of
-    one window. If the densest window holds T events, sqrt(T) buckets keep both near
-    sqrt(T). One aggregate over two columns answers it.
-    """
-    w = duration_us(window)
-    densest = events.groupBy("host", F.expr(f"{grid('ts_us', w)} AS k")).agg(F.count(F.lit(1)).alias("n")).agg(
-        F.max("n")).first()[0] or 0
-    wanted = FEWEST_BUCKETS if densest <= group_rows else max(FEWEST_BUCKETS, math.isqrt(densest))
-    return next((b for b in range(wanted, min(w, 4 * wanted) + 1) if w % b == 0), w if w < wanted else 1)
+#: Buckets a window is cut into. A task holds the distinct instants of one host and bucket, and the
+#: buckets of one window; about the square root of a window's instants keeps both small.
+BUCKETS = 20
 
 
-def bucket_step(events: DataFrame, window: str | int, buckets: int | None) -> tuple[int, int]:
-    """Checked or chosen bucket count, and the bucket width in microseconds."""
+def bucket_step(window: str | int, buckets: int) -> int:
+    """The bucket width in microseconds; a window that does not divide is refused."""
     w = duration_us(window)
-    count = choose_buckets(events, w) if buckets is None else buckets
-    if w % count:
+    if buckets < 1 or w % buckets:
         raise ValueError("the window must divide into the buckets")
-    return count, w // count
+    return w // buckets
 
 
-def trailing_moments(events: DataFrame, window: str | int, buckets: int | None = None) -> DataFrame:
+def trailing_moments(events: DataFrame, window: str | int, buckets: int = BUCKETS) -> DataFrame:
     """n, mean, m2 of (t - window, t] for every distinct (host, ts_us)."""
     w = duration_us(window)
-    buckets, step = bucket_step(events, w, buckets)
+    step = bucket_step(w, buckets)
     instants = moments_by(events, ["host", "ts_us"], "cpu")
     # Each instant adds its values to its own bucket and asks the bucket one window back
     # for what came after t - w there; a probe carries no values.
@@ -101,7 +84,7 @@ def trailing_moments(events: DataFrame, window: str | int, buckets: int | None =
 
 
 def event_baseline(events: DataFrame, window: str | int, sigma: float, min_samples: int = 0,
-                   buckets: int | None = None, ddof: int = 0) -> DataFrame:
+                   buckets: int = BUCKETS, ddof: int = 0) -> DataFrame:
     """Append avg, sd, upper, lower (and the window count) to every event; null below ``min_samples``."""
     events = events.filter("host IS NOT NULL AND ts IS NOT NULL")
     stats = trailing_moments(events, window, buckets).selectExpr(

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from livetick.functions.timecols import duration_us, grid, grid_start
-from livetick.operators.baseline import bucket_step
+from livetick.operators.baseline import BUCKETS, bucket_step
 
 Folds = dict[str, tuple[str, str]]
 
@@ -62,10 +62,10 @@ def sliding_folds(buckets: DataFrame, keys: list[str], width: int, folds: dict[s
     ).filter(f"p <= _last AND ({some})").selectExpr(*keys, "explode(sequence(p, _last)) AS k", *folds)
 
 
-def trailing_folds(events: DataFrame, window: str | int, folds: Folds, buckets: int | None = None) -> DataFrame:
+def trailing_folds(events: DataFrame, window: str | int, folds: Folds, buckets: int = BUCKETS) -> DataFrame:
     """Folds of (t - window, t] for every distinct (host, ts_us)."""
     w = duration_us(window)
-    buckets, step = bucket_step(events, w, buckets)
+    step = bucket_step(w, buckets)
     kinds = {m: fn for m, (fn, _) in folds.items()}
     aggregates = [F.expr(f"{fn}({e}) AS {m}") for m, (fn, e) in folds.items()]
     instants = events.groupBy("host", "ts_us").agg(*aggregates)
@@ -95,7 +95,7 @@ def trailing_folds(events: DataFrame, window: str | int, folds: Folds, buckets:
 
 
 def rolling(events: DataFrame, window: str | int, folds: Folds, outputs: dict[str, str],
-            buckets: int | None = None) -> DataFrame:
+            buckets: int = BUCKETS) -> DataFrame:
     """Append reducers of (t - window, t] of the event's host to every event."""
     events = events.filter("host IS NOT NULL AND ts IS NOT NULL")
     named = {f"_r_{m}": fold for m, fold in folds.items()}

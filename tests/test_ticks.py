@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from livetick.operators.baseline import choose_buckets, event_baseline
+from livetick.operators.baseline import event_baseline
 from livetick.operators.rolling import rolling
 from livetick.operators.rollups import weighted_rollup
 from livetick.operators.sliding import merge_two, moments_by, sliding_moments
@@ -157,7 +157,7 @@ def test_event_baseline_brute_force(make_events, window, buckets, seed):
         assert got[i].upper == pytest.approx(mean + 2 * sd) and got[i].lower == pytest.approx(mean - 2 * sd)
 
 
-@pytest.mark.parametrize("window, buckets, seed", [(1_000, 10, 5), (600, 2, 7), (400, 8, 11), (400, 1, 12), (500, None, 13)])
+@pytest.mark.parametrize("window, buckets, seed", [(1_000, 10, 5), (600, 2, 7), (400, 8, 11), (400, 1, 12), (500, 20, 13)])
 def test_rolling_brute_force(make_events, window, buckets, seed):
     rows = random_events(400, seed, 5_000)
     folds = {"n": ("sum", "1L"), "s": ("sum", "requests"), "lo": ("min", "cpu"), "hi": ("max", "cpu")}
@@ -171,14 +171,18 @@ def test_rolling_brute_force(make_events, window, buckets, seed):
         assert got[i].spread == pytest.approx(max(r[1] for r in part) - min(r[1] for r in part))
 
 
-def test_denser_windows_get_finer_buckets(make_events):
-    events = make_events(random_events(400, 5, 5_000))
-    assert choose_buckets(events, "1s") == 25
-    few = choose_buckets(events, "24h", group_rows=10)
-    assert few >= 24 and 86_400_000_000 % few == 0
-    dense = make_events([(i, 1, 1, "hot") for i in range(2_500)])
-    assert choose_buckets(dense, "1m", group_rows=100) == 50
-    assert choose_buckets(dense, 7, group_rows=100) == 7
+def test_windows_that_do_not_divide_are_refused(make_events):
+    events = make_events([(1, 1, 1, "a")])
+    for buckets in (7, 0):
+        with pytest.raises(ValueError, match="must divide"):
+            event_baseline(events, "1s", 2.0, buckets=buckets)
+
+
+def test_results_do_not_depend_on_the_buckets(make_events):
+    burst = make_events([(1_000 + i // 50, (i * 7) % 13, 1, "hot") for i in range(500)] + [(i * 37, 1 + i % 3, 2, "calm") for i in range(100)])
+    several = [sorted((r.seq, r.window_n, round(r.avg, 9), round(r.sd, 9)) for r in event_baseline(burst, "1s", 2.0, buckets=b).collect())
+               for b in (1, 4, 20, 1000)]
+    assert all(x == several[0] for x in several)
 
 
 def test_counts_beyond_32_bits_squared(spark):
