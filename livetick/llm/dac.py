@@ -18,6 +18,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,8 +35,8 @@ MODEL, END = "byte_bpe_50k.json", 0
 CHUNK, BLOCK = 8, 512
 SEGMENT_TOKENS = 1 << 18
 BATCH = 128
-#: Words a worker remembers before it starts afresh, and words encoded in one text.
-REMEMBERED, NEW_WORDS = 400_000, 2000
+#: Words a worker remembers before it starts afresh (it then still knows as many older ones), and words encoded in one text.
+REMEMBERED, NEW_WORDS = 300_000, 2000
 _HEAD = struct.Struct("<4sHHQQ")  # magic, levels, flags (0), documents, tokens
 _MAGIC = b"DAC1"
 _SEGMENTS = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("nulls", pa.int32()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
@@ -64,7 +65,9 @@ class CachedEncoder:
         self.heads = np.zeros(max(names.values()) + 1, bool)
         for name, i in names.items():
             self.heads[i] = name.startswith(blank)
+        #: The ids of words, and of those that were known before the last fresh start.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -83,13 +86,22 @@ class CachedEncoder:
         split = [t.split(" ") if p else [t] for t, p in zip(texts, plain, strict=True)]
         heads = self.whole([w[0] for w in split])
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        self.learn(list({w for words in split for w in words[1:] if w not in known}))
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = {w for words in split for w in words[1:] if w not in known}
+        again = new & older.keys()  # words in use outlive those seen once
+        known.update((w, older[w]) for w in again)
+        self.learn(list(new - again))
         get = known.__getitem__
         return [np.frombuffer(head + b"".join(map(get, words[1:])), "<u4") for head, words in zip(heads, split, strict=True)]
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> CachedEncoder:
+    """One encoder for all tasks of a worker process, so that a task starts with the words of those before it."""
+    return CachedEncoder(path)
+
+
 def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """One segment: documents, how many tokens each has, and the tokens."""
     levels, rest = [], ids.astype(np.uint32)
@@ -161,7 +173,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, segment_to
     """Encode all documents and write their segments, ascending by doc_id over parts and segments."""
 
     def of(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = CachedEncoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         held, tokens, seq, part = [], 0, 0, 0
 
         def segment() -> pa.RecordBatch:
