@@ -28,11 +28,11 @@ from livetick.llm.common import batches, mix, table
 Q, RATE = 8, 0.1
 ITEM_CHARS = 4_000_000
 BATCH = 256
-#: Letters of texts that are searched at a time.
-SLICE = 1 << 20
+#: Letters of texts that are searched at a time; arrays of that size stay in a core's cache.
+SLICE = 1 << 16
 _FILTER_BITS = 22
 
-_STEPS = mix(np.arange(1, Q + 1, dtype=np.uint64)) | np.uint64(1)
+_STEPS = mix(np.arange(1, 5, dtype=np.uint64)) | np.uint64(1)
 
 
 def plain(text: str | None) -> str:
@@ -44,11 +44,13 @@ def letters(text: str) -> np.ndarray:
 
 
 def grams(codes: np.ndarray) -> np.ndarray:
-    n = max(0, len(codes) - Q + 1)
-    out, wide = np.zeros(n, np.uint64), codes.astype(np.uint64)
-    for j in range(Q):
-        out += wide[j : j + n] * _STEPS[j]
-    return mix(out)
+    """Hash of the q = 8 letters from each place on: pairs of letters, pairs of pairs, and pairs of those."""
+    if len(codes) < Q:
+        return np.zeros(0, np.uint64)
+    out = codes.astype(np.uint64)
+    for reach, step in zip((1, 2, 4), _STEPS[:3], strict=True):
+        out = out[:-reach] + out[reach:] * step
+    return out * _STEPS[3]
 
 
 def budget(length: int, rate: float = RATE) -> int:
@@ -133,6 +135,14 @@ class Items:
             out += [(t, i, at + len(s), 0) for i, s in self.short if (at := text.find(s)) >= 0]
         return out
 
+    def _exact(self, i: int, region: np.ndarray) -> int:
+        """End of the item as it stands in the region, 0 if it does not; only then is there something to align."""
+        data, item = region.tobytes(), self.codes[i].tobytes()
+        at = data.find(item)
+        while at >= 0 and at % 4:
+            at = data.find(item, at + 1)
+        return at // 4 + len(self.codes[i]) if at >= 0 else 0
+
     @property
     def overlap(self) -> int:
         return int(max(len(c) for c in self.codes) * 2 + 4 * self.step.max()) if self.codes else 0
@@ -158,7 +168,8 @@ class Items:
                 first = b * step - len(codes)
                 region = codes[starts[t] : ends[t] - Q]
                 cut = max(0, first - most)
-                found = align(self.codes[i], region[cut : first + 2 * step + len(self.codes[i]) + most], first - cut, 2 * step - 1, most)
+                at_once = self._exact(i, region[cut : first + 2 * step + len(self.codes[i]) + most])
+                found = (0, at_once) if at_once else align(self.codes[i], region[cut : first + 2 * step + len(self.codes[i]) + most], first - cut, 2 * step - 1, most)
                 if found is not None:
                     found = (found[0], found[1] + cut)
                     best[t, i] = min(best.get((t, i), found), found)
