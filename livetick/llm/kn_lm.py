@@ -335,7 +335,10 @@ class Reader:
 
     def by_id(self, arrays: Arrays, ids: np.ndarray) -> np.ndarray:
         """Values of sorted ids."""
-        out, to = np.zeros(len(ids)), self.model.layout.home(ids)
+        out = np.zeros(len(ids))
+        if not len(ids):
+            return out
+        to = self.model.layout.home(ids)
         kinds, first = np.unique(to, return_index=True)
         for bucket, a, b in zip(kinds, first, [*first[1:], len(ids)], strict=True):
             values = arrays[int(bucket)]

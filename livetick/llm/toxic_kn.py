@@ -280,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     picked = learn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     apart = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(CURVE)) == 0
     # At most `sample` small rows, so that the texts stay where they are.
-    known = docs.join(F.broadcast(picked), "doc_id").select("text", "label", apart.alias("apart"))
+    known = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "label", apart.alias("apart"))
     counted = gram_counts(word_counts(known.where(~F.col("apart"))))
     kept = counted.orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "gram").limit(grams).toArrow()
     counts = np.stack([kept.column("toxic").to_numpy(), kept.column("ordinary").to_numpy()], 1)
