@@ -1,6 +1,7 @@
 """Shards as runs of a Hilbert curve over document metadata, in DataFrame functions alone.
 
-Source, language, size and id are each cut at equally filled quantiles into `2^BITS` classes; a document's place on the
+Source, language, size and id are each cut at equally filled quantiles into `2^BITS - 1` classes, nulls being one
+more; a document's place on the
 Hilbert curve through those classes, then its id and text hash, orders all rows. The order is cut into runs of equal
 row counts (law `rows`), so that every shard covers a small box in several dimensions at once and files can be
 skipped by any of them. Ranks come from a range-partitioned, checkpointed order: rows are numbered within parts, and
@@ -69,12 +70,13 @@ def sharded(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, dimensions:
                        (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     kinds = dict(zip(rows.columns, [f.dataType for f in rows.schema.fields], strict=True))
     numbers = {d: sortable(d, kinds[d]) for d in dimensions}
-    shares = [i / (1 << bits) for i in range(1, 1 << bits)]
+    last = (1 << bits) - 1
+    shares = [i / last for i in range(1, last)]
     borders = rows.agg(*[F.array_distinct(F.percentile_approx(v, shares)).alias(d) for d, v in numbers.items()]).first()
     classes = rows
     for d, v in numbers.items():
-        over = [F.coalesce((v > b).cast("int"), F.lit(0)) for b in borders[d] or []]
-        classes = classes.withColumn(f"_class_{d}", sum(over, F.lit(0)))
+        over = [(v > b).cast("int") for b in borders[d] or []]
+        classes = classes.withColumn(f"_class_{d}", F.when(v.isNull(), 0).otherwise(sum(over, F.lit(1))))
     keyed = hilbert_index(classes, [f"_class_{d}" for d in dimensions], bits, "curve")
     keyed = keyed.select("doc_id", "size", "text_crc32", "curve", F.monotonically_increasing_id().alias("_tie"))
     order = ["curve", "doc_id", "text_crc32", "size", "_tie"]
