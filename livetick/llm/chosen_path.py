@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from livetick.llm.common import Powers, batches, cut, mix, stored, table, word_hashes
+from livetick.llm.common import Powers, batches, cut, mix, narrow, stored, table, word_hashes
 from livetick.llm.components import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -118,30 +118,34 @@ def _sizes(rows: DataFrame) -> DataFrame:
                                     F.bit_xor(F.xxhash64("uid")).alias("s1"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("s2"))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    return cut(narrow(df))
+
+
 def leaves(classes: DataFrame, runs: int) -> DataFrame:
     """(node, uid, n, blocks): the nodes whose members are compared with each other; `classes` has (uid, n, sampled)."""
     big = (F.col("members") > MEMBERS) | (F.col("tokens") > TOKENS)
     start = classes.select(F.lit(0).cast("long").alias("node"), F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "uid", "n", "sampled")
-    rows = cut(_children(start, 0, runs).drop("parent"))
+    rows = _cut(_children(start, 0, runs).drop("parent"))
     done, level = [], 1
     while True:
-        sizes = cut(_sizes(rows).where("members > 1"))
+        sizes = _cut(_sizes(rows).where("members > 1"))
         large = sizes.where(big)
         if level >= LEVELS or large.isEmpty():
             done.append(rows.join(sizes, "node"))
             break
         inside = rows.join(large.select("node"), "node", "left_semi")
-        below = cut(_children(inside.join(classes.select("uid", "sampled"), "uid"), level, runs))
+        below = _cut(_children(inside.join(classes.select("uid", "sampled"), "uid"), level, runs))
         shares = below.groupBy("parent", "node").agg(F.count("*").alias("c")).groupBy("parent").agg(F.max("c").alias("c"))
         parted = large.join(shares, large["node"] == shares["parent"]).where(F.col("c") <= PARTED * F.col("members")).select("parent")
-        parted = cut(parted)
+        parted = _cut(parted)
         done.append(rows.join(sizes.join(parted, sizes["node"] == parted["parent"], "left_anti"), "node"))
         rows = below.join(parted, "parent", "left_semi").drop("parent")
         level += 1
     found = done[0]
     for more in done[1:]:
         found = found.union(more)
-    found = cut(found.select("node", "uid", "n", "members", "tokens", "s1", "s2"))
+    found = _cut(found.select("node", "uid", "n", "members", "tokens", "s1", "s2"))
     # Nodes with the same members say the same; one of them is enough.
     once = found.select("node", "members", "s1", "s2").distinct().groupBy("members", "s1", "s2").agg(F.min("node").alias("node")).select("node")
     blocks = F.greatest(F.ceil(F.col("tokens") / TOKENS), F.ceil(F.col("members") / MEMBERS)).cast("int")
@@ -266,8 +270,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     """(doc_id, class_id, n_links) of every row: the smallest id of its group, and how many other rows are as similar."""
     known = stored(sketches(docs), "sketches")
     grouped = known.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "uid", "sampled")).alias("_first"), F.count("*").alias("weight"))
-    classes = cut(grouped.select("_first.uid", "_first.doc_id", "_first.sampled", "d1", "d2", "n", "weight"))
-    where = cut(leaves(classes, runs_for(threshold, recall)))
+    classes = _cut(grouped.select("_first.uid", "_first.doc_id", "_first.sampled", "d1", "d2", "n", "weight"))
+    where = _cut(leaves(classes, runs_for(threshold, recall)))
     links = stored(compare(docs, classes, where, threshold), "links")
     roots = components(links.select(F.col("uid").alias("a"), F.col("root").alias("b")))
     named = roots.join(classes.select(F.col("uid").alias("v"), "doc_id"), "v").groupBy("root").agg(F.min("doc_id").alias("class_id"))

@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables of ids and numbers are far smaller than those of texts; they are kept in a fourth of the partitions,
+#: which saves files in every checkpoint and shuffle that follows.
+NARROW = 4
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    return df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // NARROW))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage with a reliable checkpoint in the cluster's shared folder."""
     context = df.sparkSession.sparkContext
