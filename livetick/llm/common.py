@@ -33,6 +33,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sampled(df: DataFrame, size: int, *by: str) -> DataFrame:
+    """At most `size` rows, those first by a hash of the columns `by`.
+
+    The count of all rows sets a share that about twice as many rows pass, so that no task sends more than its part
+    of those to the driver, whatever the number of tasks.
+    """
+    at, rows = F.xxhash64(*by), max(1, df.count())
+    early = df.withColumn("_first", F.pmod(at, F.lit(rows))).where(F.col("_first") < 2 * size)
+    return early.orderBy("_first", *by).limit(size).drop("_first")
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder; a table written there is kept until the folder is cleared."""
     return f"{shared_dir(spark).rstrip('/')}/livetick-llm/{name}-{uuid.uuid4().hex}"

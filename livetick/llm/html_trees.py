@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from livetick.llm.boosting import Trees
-from livetick.llm.common import batches, table
+from livetick.llm.common import batches, sampled, table
 
 SAMPLE, SAMPLE_CHARS, COPIES = 400, 60_000, 3
 BATCH = 64
@@ -356,7 +356,7 @@ def fit(sources: list[str], copies: int = COPIES) -> Extractor:
 
 def learned(pages: DataFrame) -> Extractor:
     known = pages.where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS))
-    rows = known.select("html", F.xxhash64("page_id", "html").alias("_at")).orderBy("_at", "html").limit(SAMPLE).collect()
+    rows = sampled(known.select("page_id", "html"), SAMPLE, "page_id", "html").collect()
     return fit([r["html"] for r in rows])
 
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from livetick.llm.common import agreed_labels, batches, fold, mix, table
+from livetick.llm.common import agreed_labels, batches, fold, mix, sampled, table
 
 FOLDS, HELD_OUT, CUTOFF = 3, 1, 0.7
 ORDER, SHARED = 5, 1
@@ -277,7 +277,7 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, grams: int = GRAMS) -> Scorer:
     """Count both models in Spark over the sampled labelled documents and fit the curve on those set apart."""
     learn = agreed_labels(labels.where(fold("doc_id", FOLDS) != HELD_OUT), label)
-    picked = learn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    picked = sampled(learn, sample, "doc_id")
     apart = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(CURVE)) == 0
     # At most `sample` small rows, so that the texts stay where they are.
     known = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "label", apart.alias("apart"))
