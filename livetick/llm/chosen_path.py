@@ -1,12 +1,13 @@
 """Near duplicates by a chosen-path set similarity join.
 
 A document is the set of its runs of `WORDS` words (lower case, parted at blanks). Documents with equal sets form one
-class and are joined once. Each class samples `COORDINATES` tokens of its set by min-wise hashes; a token that two
+class and are joined once. Each class samples `coordinates(runs)` tokens of its set by min-wise hashes; a token that two
 sets sampled by the same hash is shared. In each of `runs` repetitions a class goes down two sampled tokens; classes
 that met at a node small enough to compare are compared there, larger nodes are split again on two further tokens as
-long as that parts them, and nodes that stay together (many near copies) are compared in pairs of blocks. A pair is
-compared where it first meets, by its whole sets, so links are exact; `runs` is set so that a pair at the threshold
-is missed with a probability below 1 - `recall`.
+long as that parts them, and nodes that stay together (many near copies) are compared in pairs of blocks. Every run and
+level has tokens of its own, so that runs fail independently. A pair is compared where it first meets, by its whole
+sets, so links are exact; `runs` is set so that a pair at the threshold is missed with a probability below 1 - `recall`,
+however often its nodes are split.
 
 Results for odd rows: a text of fewer words than a run is the set of its one shorter run; a null text, or one without
 words, is like no other and stays alone; a null id is alone with class null and no links; repeated rows are documents
@@ -27,29 +28,33 @@ from livetick.llm.common import Powers, batches, cut, mix, narrow, stored, table
 from livetick.llm.components import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
-COORDINATES, BRANCHES, LEVELS = 16, 2, 4
+BRANCHES, LEVELS = 2, 4
 #: A node or block with more members, or more tokens, is split or cut into blocks.
 MEMBERS, TOKENS = 1024, 1 << 20
 #: A split is worth while if no child has more than this share of a node.
 PARTED = 0.5
 BATCH = 256
 
-_SEEDS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _STEPS = mix(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
-def missed(threshold: float, branches: int = BRANCHES) -> float:
-    """Probability that a pair at the threshold parts on all paths of one run, however deep they go."""
-    q = 0.0
-    for _ in range(200):
-        q = ((1 - threshold) + threshold * q) ** branches
-    return q
+def missed(threshold: float, branches: int = BRANCHES, levels: int = LEVELS) -> float:
+    """Probability that a pair at the threshold parts in one run whose nodes are split at all levels.
+
+    All nodes of a level are split on the same tokens, so the pair is lost if it shares none of those at any level.
+    """
+    return 1 - (1 - (1 - threshold) ** branches) ** levels
 
 
 def runs_for(threshold: float, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(missed(threshold))))
 
 
+def coordinates(runs: int) -> int:
+    """Sampled tokens of a set: no two levels or runs have one in common."""
+    return runs * LEVELS * BRANCHES
+
+
 def sets_of(texts: list[str | None], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     """Distinct run hashes of each text, ascending, one text after the other, and how many each has."""
     raw = [(t or "").lower().encode("utf-8", "replace") for t in texts]
@@ -81,8 +86,9 @@ def digests(values: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.stack([np.add.reduceat(mix(values ^ np.uint64(s)), start).view(np.int64) for s in (0x55, 0xAA)])
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, runs: int) -> DataFrame:
     """(uid, doc_id, n, d1, d2, sampled): size, digests and sampled tokens of every document with words and an id."""
+    seeds = mix(np.arange(1, coordinates(runs) + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         powers = Powers()
@@ -93,7 +99,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 continue
             start = np.concatenate(([0], np.cumsum(sizes)))[some]
             sums = digests(values, start)
-            sampled = np.stack([np.minimum.reduceat(mix(values ^ s), start) for s in _SEEDS], 1)
+            sampled = np.stack([np.minimum.reduceat(mix(values ^ s), start) for s in seeds], 1)
             yield pd.DataFrame({"uid": pdf["uid"].to_numpy()[some], "doc_id": pdf["doc_id"].to_numpy()[some], "n": sizes[some],
                                 "d1": sums[0], "d2": sums[1], "sampled": list(sampled.view(np.int64))})
 
@@ -101,14 +107,10 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInPandas(of, "uid long, doc_id long, n long, d1 long, d2 long, sampled array<long>")
 
 
-def _children(rows: DataFrame, level: int, runs: int) -> DataFrame:
+def _children(rows: DataFrame, level: int) -> DataFrame:
     """(node, parent, uid, n): where each class goes from its node; `rows` has (node, run, uid, n, sampled)."""
-    paths = [np.random.default_rng(7919 + r).permutation(COORDINATES).tolist() for r in range(runs)]
-    # The runs' first tokens are all different, which misses least.
-    plain = list(range(COORDINATES))
-    paths = [plain[BRANCHES * r :] + plain[: BRANCHES * r] if BRANCHES * r < COORDINATES else p for r, p in enumerate(paths)]
-    picks = F.array(*[F.array(*[F.lit(p[(BRANCHES * level + b) % COORDINATES]) for b in range(BRANCHES)]) for p in paths])
-    out = rows.withColumn("_at", F.explode(picks[F.col("run")]))
+    first = (F.col("run") * LEVELS + level) * BRANCHES
+    out = rows.withColumn("_at", F.explode(F.sequence(first, first + BRANCHES - 1)))
     node = F.xxhash64("node", "run", "_at", F.col("sampled")[F.col("_at")])
     return out.select(node.alias("node"), F.col("node").alias("parent"), "run", "uid", "n")
 
@@ -126,7 +128,7 @@ def leaves(classes: DataFrame, runs: int) -> DataFrame:
     """(node, uid, n, blocks): the nodes whose members are compared with each other; `classes` has (uid, n, sampled)."""
     big = (F.col("members") > MEMBERS) | (F.col("tokens") > TOKENS)
     start = classes.select(F.lit(0).cast("long").alias("node"), F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "uid", "n", "sampled")
-    rows = _cut(_children(start, 0, runs).drop("parent"))
+    rows = _cut(_children(start, 0).drop("parent"))
     done, level = [], 1
     while True:
         sizes = _cut(_sizes(rows).where("members > 1"))
@@ -135,7 +137,7 @@ def leaves(classes: DataFrame, runs: int) -> DataFrame:
             done.append(rows.join(sizes, "node"))
             break
         inside = rows.join(large.select("node"), "node", "left_semi")
-        below = _cut(_children(inside.join(classes.select("uid", "sampled"), "uid"), level, runs))
+        below = _cut(_children(inside.join(classes.select("uid", "sampled"), "uid"), level))
         shares = below.groupBy("parent", "node").agg(F.count("*").alias("c")).groupBy("parent").agg(F.max("c").alias("c"))
         parted = large.join(shares, large["node"] == shares["parent"]).where(F.col("c") <= PARTED * F.col("members")).select("parent")
         parted = _cut(parted)
@@ -268,10 +270,11 @@ def _repeats(docs: DataFrame) -> bool:
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, n_links) of every row: the smallest id of its group, and how many other rows are as similar."""
-    known = stored(sketches(docs), "sketches")
+    runs = runs_for(threshold, recall)
+    known = stored(sketches(docs, runs), "sketches")
     grouped = known.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "uid", "sampled")).alias("_first"), F.count("*").alias("weight"))
     classes = _cut(grouped.select("_first.uid", "_first.doc_id", "_first.sampled", "d1", "d2", "n", "weight"))
-    where = _cut(leaves(classes, runs_for(threshold, recall)))
+    where = _cut(leaves(classes, runs))
     links = stored(compare(docs, classes, where, threshold), "links")
     roots = components(links.select(F.col("uid").alias("a"), F.col("root").alias("b")))
     named = roots.join(classes.select(F.col("uid").alias("v"), "doc_id"), "v").groupBy("root").agg(F.min("doc_id").alias("class_id"))

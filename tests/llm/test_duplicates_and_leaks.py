@@ -151,3 +151,17 @@ def test_passages_over_several_parts(spark, documents, data_dir, monkeypatch):
     monkeypatch.setattr(decontaminate, "SLICE", 5000)
     assert len(parts) > 1 and want
     assert sorted(map(tuple, decontaminate.matches(documents, bench).collect())) == want
+
+
+def test_two_differing_coordinates_do_not_lose_a_pair(spark, monkeypatch):
+    """Pairs that share all sampled tokens but two, in nodes that part several times."""
+    monkeypatch.setattr(chosen_path, "MEMBERS", 4)
+    draw = random.Random(3)
+    rows = [(k, 9, [0 if draw.random() < 0.4 else draw.getrandbits(40) for _ in range(64)]) for k in range(100, 1300)]
+    for j in range(8):
+        rows += [(2 * j + k, 9, [0] * 2 * j + [1 + 2 * j + k] * 2 + [0] * (62 - 2 * j)) for k in (0, 1)]
+    classes = spark.createDataFrame(rows, "uid bigint, n bigint, sampled array<bigint>")
+    nodes = {}
+    for r in chosen_path.leaves(classes, chosen_path.runs_for(0.8, 0.999)).where("uid < 16").collect():
+        nodes.setdefault(r["uid"], set()).add(r["node"])
+    assert [j for j in range(8) if nodes.get(2 * j, set()).isdisjoint(nodes.get(2 * j + 1, set()))] == []
