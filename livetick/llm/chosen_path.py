@@ -176,8 +176,11 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def compared(node: int, rows: list[tuple], threshold: float) -> list[tuple[int, int, int]]:
-    """(uid, links, root) of the members of one pair of blocks; a row is (uid, block, weight, nodes, set)."""
+def compared(node: int, low: int, high: int, rows: list[tuple], threshold: float) -> list[tuple[int, int, int]]:
+    """(uid, links, root) of the members of blocks `low` and `high`; a row is (uid, block, weight, nodes, set)."""
+    blocks = np.array([r[1] for r in rows])
+    if low != high and blocks.min() == blocks.max():  # one of the two is empty; the other is compared as (low, low)
+        return []
     sets = [r[4] for r in rows]
     sizes = np.fromiter(map(len, sets), float, len(sets))
     if len(rows) == 2:
@@ -186,8 +189,7 @@ def compared(node: int, rows: list[tuple], threshold: float) -> list[tuple[int,
     else:
         both = shared_counts(sets)
         near = np.triu(both >= threshold * (sizes[:, None] + sizes - both) - 1e-9, 1)
-    blocks = np.array([r[1] for r in rows])
-    if blocks.min() != blocks.max():
+    if low != high:
         near &= blocks[:, None] != blocks
     left, right = np.nonzero(near)
     if not len(left):
@@ -232,7 +234,7 @@ def compare(docs: DataFrame, classes: DataFrame, where: DataFrame, threshold: fl
         key, held = None, []
 
         def done() -> pd.DataFrame:
-            rows = compared(key[0], held, threshold) if len(held) > 1 else []
+            rows = compared(*key, held, threshold) if len(held) > 1 else []
             return pd.DataFrame(rows, columns=["uid", "links", "root"])
 
         for pdf in frames:

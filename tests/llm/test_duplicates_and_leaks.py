@@ -165,3 +165,12 @@ def test_two_differing_coordinates_do_not_lose_a_pair(spark, monkeypatch):
     for r in chosen_path.leaves(classes, chosen_path.runs_for(0.8, 0.999)).where("uid < 16").collect():
         nodes.setdefault(r["uid"], set()).add(r["node"])
     assert [j for j in range(8) if nodes.get(2 * j, set()).isdisjoint(nodes.get(2 * j + 1, set()))] == []
+
+
+def test_links_are_counted_once_where_a_block_is_empty(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "TOKENS", 150)
+    rows = []
+    for g in range(8):
+        base = [f"g{g}w{k}" for k in range(120)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join([*base, "more"]))]
+    assert result(chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))) == brute(rows)
