@@ -34,6 +34,8 @@ MEMBERS, TOKENS = 1024, 1 << 20
 #: A split is worth while if no child has more than this share of a node.
 PARTED = 0.5
 BATCH = 256
+#: What `_key` gives.
+KEY = ["doc_id", "h1", "h2"]
 
 _STEPS = mix(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
@@ -87,7 +89,8 @@ def digests(values: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, runs: int) -> DataFrame:
-    """(uid, doc_id, n, d1, d2, sampled): size, digests and sampled tokens of every document with words and an id."""
+    """(uid, doc_id, h1, h2, n, d1, d2, sampled): the text's hashes, and its set's size, digests and sampled tokens, of
+    every document with words and an id."""
     seeds = mix(np.arange(1, coordinates(runs) + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,11 +103,16 @@ def sketches(docs: DataFrame, runs: int) -> DataFrame:
             start = np.concatenate(([0], np.cumsum(sizes)))[some]
             sums = digests(values, start)
             sampled = np.stack([np.minimum.reduceat(mix(values ^ s), start) for s in seeds], 1)
-            yield pd.DataFrame({"uid": pdf["uid"].to_numpy()[some], "doc_id": pdf["doc_id"].to_numpy()[some], "n": sizes[some],
-                                "d1": sums[0], "d2": sums[1], "sampled": list(sampled.view(np.int64))})
+            yield pd.DataFrame({"uid": pdf["uid"].to_numpy()[some], "doc_id": pdf["doc_id"].to_numpy()[some], "h1": pdf["h1"].to_numpy()[some],
+                                "h2": pdf["h2"].to_numpy()[some], "n": sizes[some], "d1": sums[0], "d2": sums[1], "sampled": list(sampled.view(np.int64))})
 
-    rows = docs.where("doc_id IS NOT NULL").select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
-    return rows.mapInPandas(of, "uid long, doc_id long, n long, d1 long, d2 long, sampled array<long>")
+    rows = docs.where("doc_id IS NOT NULL").select(F.monotonically_increasing_id().alias("uid"), *_key(), "text")
+    return rows.mapInPandas(of, "uid long, doc_id long, h1 long, h2 long, n long, d1 long, d2 long, sampled array<long>")
+
+
+def _key() -> list:
+    """What tells documents apart: the id and two hashes of the text."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
 
 
 def _children(rows: DataFrame, level: int) -> DataFrame:
@@ -226,7 +234,7 @@ def compare(docs: DataFrame, classes: DataFrame, where: DataFrame, threshold: fl
             rows = []
             for uid, d1, d2, end, size in zip(pdf["uid"], pdf["d1"], pdf["d2"], np.cumsum(sizes), sizes, strict=True):
                 own = values[end - size : end]
-                if size and digests(own, np.zeros(1, np.int64))[:, 0].tolist() == [d1, d2]:  # else another text under this id
+                if size and digests(own, np.zeros(1, np.int64))[:, 0].tolist() == [d1, d2]:
                     rows.append((uid, own.tobytes()))
             yield pd.DataFrame(rows, columns=["uid", "tokens"])
 
@@ -251,8 +259,8 @@ def compare(docs: DataFrame, classes: DataFrame, where: DataFrame, threshold: fl
             yield done()
 
     nodes = where.groupBy("uid").agg(F.collect_list("node").alias("nodes"))  # at most BRANCHES^LEVELS x runs of them
-    members = classes.select("uid", "doc_id", "weight", "d1", "d2").join(nodes, "uid")
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").join(members.select("uid", "doc_id", "d1", "d2"), "doc_id")
+    members = classes.select("uid", *KEY, "weight", "d1", "d2").join(nodes, "uid")
+    texts = docs.where("doc_id IS NOT NULL").select(*_key(), "text").join(members.select("uid", *KEY, "d1", "d2"), KEY)
     made = texts.select("uid", "d1", "d2", "text").mapInPandas(sets, "uid long, tokens binary")
     if _repeats(docs):
         made = made.dropDuplicates(["uid"])
@@ -270,22 +278,28 @@ def _repeats(docs: DataFrame) -> bool:
     return not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_links) of every row: the smallest id of its group, and how many other rows are as similar."""
+def grouped(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The sketches, and (d1, d2, n, first, n_links) of every set: the first document of its group, as `KEY`, and its links."""
     runs = runs_for(threshold, recall)
     known = stored(sketches(docs, runs), "sketches")
-    grouped = known.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "uid", "sampled")).alias("_first"), F.count("*").alias("weight"))
-    classes = _cut(grouped.select("_first.uid", "_first.doc_id", "_first.sampled", "d1", "d2", "n", "weight"))
+    sets = known.groupBy("d1", "d2", "n").agg(F.min(F.struct(*KEY, "uid", "sampled")).alias("_first"), F.count("*").alias("weight"))
+    classes = _cut(sets.select("_first.uid", *[f"_first.{c}" for c in KEY], "_first.sampled", "d1", "d2", "n", "weight"))
     where = _cut(leaves(classes, runs))
     links = stored(compare(docs, classes, where, threshold), "links")
     roots = components(links.select(F.col("uid").alias("a"), F.col("root").alias("b")))
-    named = roots.join(classes.select(F.col("uid").alias("v"), "doc_id"), "v").groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    named = roots.join(classes.select(F.col("uid").alias("v"), *KEY), "v").groupBy("root").agg(F.min(F.struct(*KEY)).alias("first"))
     linked = links.groupBy("uid").agg(F.sum("links").alias("links"))
-    groups = roots.join(named, "root").select(F.col("v").alias("uid"), "class_id")
+    groups = roots.join(named, "root").select(F.col("v").alias("uid"), "first")
     said = classes.join(groups, "uid", "left").join(linked, "uid", "left")
-    said = said.select("d1", "d2", "n", F.coalesce("class_id", "doc_id").alias("class_id"),
-                       (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = known.select("doc_id", "d1", "d2", "n").join(said, ["d1", "d2", "n"]).select("doc_id", "class_id", "n_links")
+    return known, said.select("d1", "d2", "n", F.coalesce("first", F.struct(*KEY)).alias("first"),
+                              (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, n_links) of every row: the smallest id of its group, and how many other rows are as similar."""
+    known, said = grouped(docs, threshold, recall)
+    out = known.select("doc_id", "d1", "d2", "n").join(said.select("d1", "d2", "n", F.col("first.doc_id").alias("class_id"), "n_links"), ["d1", "d2", "n"])
+    out = out.select("doc_id", "class_id", "n_links")
     alone = docs.select(F.col("doc_id").cast("long").alias("doc_id"), wordless("text").alias("_none"))
     alone = alone.where("_none OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.union(alone)
@@ -296,10 +310,16 @@ def wordless(text: str):
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each group, the one with the smallest id; rows without id or words stay."""
-    said = near_duplicates(docs)
-    lost = said.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+    """`docs` with one document of each group, one with the smallest id; rows without id or words stay.
+
+    Rows go by id and text, so that other texts under the id of a lost one stay. Of several texts of a group under its
+    smallest id the one with the smallest hash is kept, of equal rows one.
+    """
+    known, said = grouped(docs, THRESHOLD, RECALL)
+    lost = known.select(*KEY, "d1", "d2", "n").join(said.select("d1", "d2", "n", "first"), ["d1", "d2", "n"])
+    lost = lost.where(F.struct(*KEY) != F.col("first")).select(*[F.col(c).alias(f"_lost_{c}") for c in KEY]).distinct()
+    same = [k == F.col(f"_lost_{c}") for k, c in zip(_key(), KEY, strict=True)]
+    kept = docs.join(lost, same, "left_anti").select(*docs.columns)
     if _repeats(docs):
         numbered, rest = kept.where(F.col("doc_id").isNotNull() & ~wordless("text")), kept.where(F.col("doc_id").isNull() | wordless("text"))
         kept = numbered.dropDuplicates(["doc_id", "text"]).union(rest)

@@ -174,3 +174,12 @@ def test_links_are_counted_once_where_a_block_is_empty(spark, monkeypatch):
         base = [f"g{g}w{k}" for k in range(120)]
         rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join([*base, "more"]))]
     assert result(chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))) == brute(rows)
+
+
+def test_keep_first_goes_by_text(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(3, a), (7, a), (7, b), (7, b), (7, b + " end"), (8, b), (8, c), (9, a + " end"), (9, None), (9, "")]
+    kept = sorted(((r["doc_id"], r["text"] or "") for r in chosen_path.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()))
+    one = [k for k in kept if k[0] == 7]
+    assert one in ([(7, b)], [(7, b + " end")])
+    assert kept == sorted([(3, a), *one, (8, c), (9, ""), (9, "")])
