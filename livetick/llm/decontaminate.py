@@ -153,26 +153,29 @@ class Items:
             return
         at = at + low
         text = np.searchsorted(ends, at, "right")
-        diagonal = at - place - starts[text] + len(codes)  # above 0 in any case
-        band = diagonal // self.step[item]
-        for shift in (0, 1):
-            key = (text << 52) | (item << 36) | (band - shift) if len(self.codes) < 1 << 16 and len(codes) < 1 << 35 else None
-            if key is None:
-                raise ValueError("too many items in one part")
-            kinds, counts = np.unique(key, return_counts=True)
-            for k in kinds[counts >= self.least[(kinds >> 36) & 0xFFFF]].tolist():
-                t, i, b = k >> 52, (k >> 36) & 0xFFFF, k & ((1 << 36) - 1)
-                step, most = int(self.step[i]), int(self.budget[i])
-                if best.get((t, i), (1 << 30,))[0] == 0:
-                    continue
-                first = b * step - len(codes)
-                region = codes[starts[t] : ends[t] - Q]
-                cut = max(0, first - most)
-                at_once = self._exact(i, region[cut : first + 2 * step + len(self.codes[i]) + most])
-                found = (0, at_once) if at_once else align(self.codes[i], region[cut : first + 2 * step + len(self.codes[i]) + most], first - cut, 2 * step - 1, most)
-                if found is not None:
-                    found = (found[0], found[1] + cut)
-                    best[t, i] = min(best.get((t, i), found), found)
+        base = len(codes) + self.overlap  # so that bands are above 0, whatever the place in the item
+        band = (at - place - starts[text] + base) // self.step[item]
+        if len(self.codes) >= 1 << 16 or base >= 1 << 35:
+            raise ValueError("too many items in one part")
+        own, counts = np.unique((text << 52) | (item << 36) | band, return_counts=True)
+        # Key b stands for bands b and b + 1 together.
+        kinds = np.union1d(own, own - 1)
+        both = np.zeros(len(kinds), np.int64)
+        both[np.searchsorted(kinds, own)] += counts
+        both[np.searchsorted(kinds, own - 1)] += counts
+        for k in kinds[both >= self.least[(kinds >> 36) & 0xFFFF]].tolist():
+            t, i, b = k >> 52, (k >> 36) & 0xFFFF, k & ((1 << 36) - 1)
+            step, most = int(self.step[i]), int(self.budget[i])
+            if best.get((t, i), (1 << 30,))[0] == 0:
+                continue
+            first = b * step - base
+            region = codes[starts[t] : ends[t] - Q]
+            cut = max(0, first - most)
+            at_once = self._exact(i, region[cut : first + 2 * step + len(self.codes[i]) + most])
+            found = (0, at_once) if at_once else align(self.codes[i], region[cut : first + 2 * step + len(self.codes[i]) + most], first - cut, 2 * step - 1, most)
+            if found is not None:
+                found = (found[0], found[1] + cut)
+                best[t, i] = min(best.get((t, i), found), found)
 
 
 def parts_of(benchmark: DataFrame, letters_each: int = ITEM_CHARS) -> Iterator[Items]:

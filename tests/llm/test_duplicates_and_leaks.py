@@ -183,3 +183,21 @@ def test_keep_first_goes_by_text(spark):
     one = [k for k in kept if k[0] == 7]
     assert one in ([(7, b)], [(7, b + " end")])
     assert kept == sorted([(3, a), *one, (8, c), (9, ""), (9, "")])
+
+
+@pytest.mark.parametrize("length", [120, 230, 350])
+def test_passages_with_all_edits_at_any_place(length):
+    """Evenly spaced deletions at the budget, over all places of a passage's diagonals within a band."""
+    draw = random.Random(length)
+    item = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(length))
+    edits = decontaminate.budget(length)
+    gone = {round((k + 0.5) * length / edits) for k in range(edits)}
+    passage = "".join(c for k, c in enumerate(item) if k not in gone)
+    items = decontaminate.Items([(1, item)])
+    for before in range(2 * edits + 1):
+        assert [h[:2] for h in items.search(["7" * before + passage + "8" * 50])] == [(0, 1)], before
+
+
+def test_end_of_an_item_alone_is_no_passage():
+    item = "".join(random.Random(1).choice("abcdefgh") for _ in range(300))
+    assert decontaminate.Items([(1, item)]).search([item[-60:]]) == []
