@@ -72,8 +72,9 @@ def partition_apply(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.Dat
                     schema: T.StructType | str) -> DataFrame:
     """Call ``fn`` once on all rows of each host, in arrival order.
 
-    A function of a whole sub-series needs it in one task; where it can be merged from parts,
-    use `custom_reduce`, which never gathers a host.
+    All rows of a host lie in one task as one pandas frame, so a host is bounded by a worker's
+    memory: a few million rows. Where the function can be merged from parts, use
+    `custom_reduce`, for medians `rollups.middles`; neither gathers a host.
     """
     def call(pdf: pd.DataFrame) -> pd.DataFrame:
         return fn(pdf.sort_values("seq").reset_index(drop=True))

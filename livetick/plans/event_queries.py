@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from livetick.functions.timecols import grid as grid_of
@@ -131,14 +130,9 @@ def custom_reducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def host_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A function of each host's whole sub-series that cannot be merged from parts."""
-    def middle(pdf: pd.DataFrame) -> pd.DataFrame:
-        cpu = pdf["cpu"]
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "mid": [cpu.median()], "wide": [cpu.max() - cpu.min()], "n": [len(pdf)]})
-
-    rows = read_events(spark, sf_dir).select("seq", "host", "cpu")
-    calls = custom.partition_apply(rows, "host", middle, "host string, mid double, wide double, n bigint")
-    return calls.selectExpr("host", num("mid", "median"), num("wide", "spread"), "n")
+    """A statistic of each host's whole sub-series that cannot be merged from parts, without gathering a host."""
+    calls = rollups.middles(read_events(spark, sf_dir).select("host", "cpu"), "host", "cpu")
+    return calls.selectExpr("host", num("mid", "median"), num("high - low", "spread"), "n")
 
 
 # -- rolling and ordered ------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Order-sensitive operators with chunks far smaller than the data."""
 
 import random
+import statistics
 
 import pandas as pd
 import pytest
@@ -8,6 +9,7 @@ import pytest
 from livetick.functions.timecols import grid
 from livetick.operators import custom, grid as gridding, ordering, rollups, smoothing, telemetry
 from livetick.operators.running import ranked, running
+from livetick.plans import event_queries
 from livetick.sources.validate import accept, split_required
 
 
@@ -185,6 +187,23 @@ def test_custom_reducer_and_partition_apply(spark, numbers):
     assert {r.host: r.mid for r in calls.collect()} == pytest.approx(want)
 
 
+def test_host_apply_gathers_no_host(spark, data_dir):
+    plan = event_queries.host_apply(spark, data_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan
+
+
+def test_middles(spark):
+    draw = random.Random(4)
+    rows = [(h, draw.choice([1.5, draw.gauss(0, 9)])) for h, n in (("a", 3001), ("b", 500), (None, 7), ("c", 1)) for _ in range(n)]
+    rows += [("a", None), ("d", None), ("e", 2.0), ("e", 2.0)]
+    frame = spark.createDataFrame(rows, "host string, v double").repartition(4)
+    for df, want in ((frame, rows), (frame.limit(0), [])):
+        got = {r.host: (r.mid, r.low, r.high, r.n) for r in rollups.middles(df, "host", "v", 20).collect()}
+        lists = {h: sorted(v for x, v in want if x == h and v is not None) for h, _ in want}
+        assert got == {h: (statistics.median(v) if v else None, v[0] if v else None, v[-1] if v else None,
+                           sum(x == h for x, _ in want)) for h, v in lists.items()}
+
+
 def test_custom_reducer_without_values(spark):
     rows = [("a", 1.0), ("a", 3.0), ("b", None), (None, 2.0), ("a", None)]
     df = spark.createDataFrame(rows, "host string, v double").repartition(8)
