@@ -154,20 +154,26 @@ class Items:
         at = at + low
         text = np.searchsorted(ends, at, "right")
         base = len(codes) + self.overlap  # so that bands are above 0, whatever the place in the item
-        band = (at - place - starts[text] + base) // self.step[item]
+        diagonal = at - place - starts[text] + base
+        band = diagonal // self.step[item]
         if len(self.codes) >= 1 << 16 or base >= 1 << 35:
             raise ValueError("too many items in one part")
-        own, counts = np.unique((text << 52) | (item << 36) | band, return_counts=True)
-        # Key b stands for bands b and b + 1 together.
-        kinds = np.union1d(own, own - 1)
-        both = np.zeros(len(kinds), np.int64)
-        both[np.searchsorted(kinds, own)] += counts
-        both[np.searchsorted(kinds, own - 1)] += counts
-        for k in kinds[both >= self.least[(kinds >> 36) & 0xFFFF]].tolist():
+        key = (text << 52) | (item << 36) | band
+        own, counts = np.unique(key, return_counts=True)
+        # Key b stands for bands b and b + 1 together; the key below a band counts it alone if that band has no hits.
+        least, follows = self.least[(own >> 36) & 0xFFFF], own[1:] == own[:-1] + 1
+        both, alone = counts.copy(), counts >= least
+        both[:-1] += np.where(follows, counts[1:], 0)
+        alone[1:] &= ~follows
+        for k in sorted([*own[both >= least].tolist(), *(own[alone] - 1).tolist()]):
             t, i, b = k >> 52, (k >> 36) & 0xFFFF, k & ((1 << 36) - 1)
             step, most = int(self.step[i]), int(self.budget[i])
             if best.get((t, i), (1 << 30,))[0] == 0:
                 continue
+            # A passage has its q-grams on diagonals within the edits of each other.
+            near, need = np.sort(diagonal[(key == k) | (key == k + 1)]), int(self.least[i])
+            if (near[need - 1 :] - near[: len(near) - need + 1]).min() > most:
+                continue
             first = b * step - base
             region = codes[starts[t] : ends[t] - Q]
             cut = max(0, first - most)
