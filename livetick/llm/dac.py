@@ -14,7 +14,6 @@ repeated rows are kept, next to each other, equal ids in order of their texts; a
 
 from __future__ import annotations
 
-import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,74 +25,27 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from livetick.llm.bpe_stream import byte_alphabet
 from livetick.llm.common import table, work_path
+from livetick.llm.words import byte_level_cache, pieces
 
 MODEL, END = "byte_bpe_50k.json", 0
 CHUNK, BLOCK = 8, 512
 SEGMENT_TOKENS = 1 << 18
-BATCH = 128
-#: Words a worker remembers before it starts afresh (it then still knows as many older ones), and words encoded in one text.
-REMEMBERED, NEW_WORDS = 300_000, 2000
 _HEAD = struct.Struct("<4sHHQQ")  # magic, levels, flags (0), documents, tokens
 _MAGIC = b"DAC1"
 _SEGMENTS = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("nulls", pa.int32()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
 
 
 class CachedEncoder:
-    """Ids of the tokenizers library, remembered by word.
-
-    The byte level's split never joins what stands before a blank with what follows, and a blank goes with the word
-    behind it, as long as no two blanks meet. Texts without double blanks and special tokens are therefore taken
-    word by word; new words are encoded many at a time, in one text, and told apart by the blank that heads each.
-    Other texts go to the library whole.
-    """
+    """Ids of the tokenizers library, remembered by word."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.special = [t["content"] for t in spec["added_tokens"]]
-        level = spec["pre_tokenizer"]
-        self.by_word = level["type"] == "ByteLevel" and not level["add_prefix_space"] and spec["normalizer"] is None
-        names = self.tokenizer.get_vocab()
-        blank = byte_alphabet()[ord(" ")]
-        self.heads = np.zeros(max(names.values()) + 1, bool)
-        for name, i in names.items():
-            self.heads[i] = name.startswith(blank)
-        #: The ids of words, and of those that were known before the last fresh start.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), NEW_WORDS):
-            part = words[at : at + NEW_WORDS]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            borders = [*(np.flatnonzero(self.heads[ids]) * 4).tolist(), 4 * len(ids)]
-            data = ids.tobytes()
-            self.known.update(zip(part, [data[a:b] for a, b in zip(borders, borders[1:])], strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        texts = [t or "" for t in texts]
-        plain = [self.by_word and "  " not in t and not any(s in t for s in self.special) for t in texts]
-        split = [t.split(" ") if p else [t] for t, p in zip(texts, plain, strict=True)]
-        heads = self.whole([w[0] for w in split])
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = {w for words in split for w in words[1:] if w not in known}
-        again = new & older.keys()  # words in use outlive those seen once
-        known.update((w, older[w]) for w in again)
-        self.learn(list(new - again))
-        get = known.__getitem__
-        return [np.frombuffer(head + b"".join(map(get, words[1:])), "<u4") for head, words in zip(heads, split, strict=True)]
+        self.cache = byte_level_cache(path, open_start=True)
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        found = self.cache.encode(texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string()))
+        return np.split(found.ids, np.cumsum(found.lengths)[:-1])
 
 
 @lru_cache(maxsize=1)
@@ -184,9 +136,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, segment_to
 
         for frame in frames:
             # Small pieces, so that the texts of a whole frame are not held twice.
-            for piece in (frame.slice(at, BATCH) for at in range(0, frame.num_rows, BATCH)):
+            for piece in pieces(frame, 2):
                 part = piece.column(0)[0].as_py()
-                for number, ids in zip(piece.column(1).to_pylist(), encoder.encode(piece.column(2).to_pylist()), strict=True):
+                for number, ids in zip(piece.column(1).to_pylist(), encoder.encode(piece.column(2)), strict=True):
                     if held and tokens + len(ids) + 1 > segment_tokens:
                         yield segment()
                         held, tokens, seq = [], 0, seq + 1

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from livetick.llm import bpe_stream, dac
+from livetick.llm import bpe_stream, dac, words
 
 RANDOM = random.Random(5)
 STRANGE = [
@@ -42,6 +42,38 @@ def test_cached_encoder(texts):
             assert got.tolist() == want.ids
 
 
+#: Every Unicode white space, characters Python alone takes for one, and what may stand beside them.
+WHITE = [*" \n\t\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\x1c\x1d\x1e\x1f\u200b\u180e\ufeff"]
+BESIDE = [" ", " ", " ", "a", "b", "1", "!", "'s", "é", "<|endoftext|>", "数", "👍"]
+
+
+def white_space_texts(count, seed):
+    pick = random.Random(seed)
+    return ["".join(pick.choice(pick.choice((WHITE, BESIDE, BESIDE))) for _ in range(pick.randrange(0, 30))) for _ in range(count)]
+
+
+def test_runs_of_white_space_in_any_batch():
+    """Ids never depend on what else is in the batch, nor on the words known before."""
+    path = public_tokenizers.path(dac.MODEL)
+    library, own = Tokenizer.from_file(path), dac.CachedEncoder(path)
+    texts = white_space_texts(10_000, 1) + ["a \xa0 \xa0 b", "a111\xa0 \xa0\xa0!a", "!! b! \xa0 a "]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for size, order in ((7, range(len(texts))), (5000, reversed(range(len(texts))))):
+        order = list(order)
+        for at in range(0, len(order), size):
+            part = order[at : at + size]
+            for i, got in zip(part, own.encode([texts[i] for i in part]), strict=True):
+                assert got.tolist() == want[i], texts[i]
+
+
+def test_cache_starts_afresh(monkeypatch):
+    monkeypatch.setattr(words, "REMEMBERED", 5)
+    path = public_tokenizers.path(dac.MODEL)
+    library, own = Tokenizer.from_file(path), dac.CachedEncoder(path)
+    for text in white_space_texts(300, 2):
+        assert own.encode([text, None])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("segment_tokens", [50, 1 << 18])
 def test_token_files(spark, odd, none, documents, tmp_path, segment_tokens):
     library = Tokenizer.from_file(public_tokenizers.path(dac.MODEL))
