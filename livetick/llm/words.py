@@ -18,12 +18,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Parts and ids a worker remembers before it starts afresh; the bounds cost time only.
-REMEMBERED, REMEMBERED_IDS = 400_000, 1 << 23
+#: Parts and ids a worker remembers before it forgets those met in one piece only; the bounds cost time alone.
+REMEMBERED, REMEMBERED_IDS = 600_000, 1 << 23
 #: New words that are encoded in one text.
 NEW_WORDS = 2000
 #: Bytes of text that are encoded at a time (one text at least).
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 23
 
 
 class Encoded(NamedTuple):
@@ -82,12 +82,27 @@ class WordCache:
         self.start, self.length, self.store = (np.zeros(1 << 14, t) for t in (np.int32, np.int32, np.uint32))
         #: Whether a part begins and ends with a character that is no white space, and whether it passed the check.
         self.opens, self.ends, self.good = (np.zeros(1 << 14, bool) for _ in range(3))
+        #: Pieces a part was met in since it was last sorted out.
+        self.met = np.zeros(1 << 14, np.int32)
+
+    def _forget(self) -> None:
+        """Keep the parts met in several pieces, if they are few enough to make room."""
+        kept = np.flatnonzero(self.met[: self.n] > 1)
+        lengths = self.length[kept]
+        if len(kept) > REMEMBERED // 2 or lengths.sum() > REMEMBERED_IDS // 2:
+            kept = kept[:0]
+        keys, ids = list(self.slot), self.store[spread(self.start[kept], self.length[kept])]
+        keys, found = [keys[k] for k in kept.tolist()], (ids, self.length[kept])
+        flags = self.opens[kept], self.ends[kept], self.good[kept]
+        self._clear()
+        self._add(keys, found, *flags)
 
-    def _add(self, keys: list[str], found: Flat, opens: np.ndarray | bool, ends: np.ndarray | bool) -> None:
+    def _add(self, keys: list[str], found: Flat, opens: np.ndarray | bool, ends: np.ndarray | bool,
+             good: np.ndarray | bool | None = None) -> None:
         ids, lengths = found
         n, used = self.n + len(keys), self.used + len(ids)
         if n > len(self.start):
-            for name in ("start", "length", "opens", "ends", "good"):
+            for name in ("start", "length", "opens", "ends", "good", "met"):
                 setattr(self, name, _grown(getattr(self, name), n))
         if used > len(self.store):
             self.store = _grown(self.store, used)
@@ -96,7 +111,9 @@ class WordCache:
         self.length[own] = lengths
         self.start[own] = self.used + np.cumsum(lengths) - lengths
         self.opens[own], self.ends[own] = opens, ends
-        self.good[own] = True if self.check is None else self.check([" " + k for k in keys], ids, lengths)
+        if good is None:
+            good = True if self.check is None else self.check([" " + k for k in keys], ids, lengths)
+        self.good[own] = good
         self.slot.update(zip(keys, range(self.n, n), strict=True))
         self.n, self.used = n, used
 
@@ -125,13 +142,15 @@ class WordCache:
     def encode(self, texts: pa.Array) -> Encoded:
         """Ids of all texts; nulls count as empty."""
         if self.n > REMEMBERED or self.used > REMEMBERED_IDS:
-            self._clear()
+            self._forget()
         count = len(texts)
         split = pc.split_pattern(pc.fill_null(texts, ""), " ")
         sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False)
         coded = split.flatten().dictionary_encode()
         index, values = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        slots = self._slots(values)[index]
+        slots = self._slots(values)
+        self.met[slots] += 1
+        slots = slots[index]
         first = np.cumsum(sizes) - sizes
         # A part begins where the word and the one before it are firm, and at every text's start.
         begins = np.ones(len(slots), bool)
