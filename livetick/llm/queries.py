@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from livetick.llm import (
-    arc, bag_rank, block_knn, bpe_stream, chosen_path, dac, decontaminate, hilbert_shards, html_trees, kn_lm, quality_qda, toxic_kn,
+    arc, bag_rank, block_knn, bpe_stream, chosen_path, dac, decontaminate, hilbert_shards, html_trees, kn_lm, quality_qda, token_alignment,
+    toxic_kn,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,7 @@ def queries() -> dict[str, Query]:
         hilbert_shards.op1_hilbert_shards, chosen_path.op2_chosen_path_join, dac.op3_dac_token_file, bpe_stream.op4_bpe_stream,
         block_knn.op5_block_knn, quality_qda.op6_quality_qda, html_trees.op7_html_trees, decontaminate.op8_qgram_decontamination,
         toxic_kn.op9_toxic_kneser_ney, kn_lm.op10_kneser_ney_lm, arc.op11_arc_to_warc, bag_rank.op12_bag_ranking,
+        token_alignment.op13_token_alignment,
     ]
     return {f.__name__: f for f in found}
 
