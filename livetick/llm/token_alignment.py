@@ -42,6 +42,8 @@ MODEL_A, MODEL_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Ends of both lists that one piece of a merge takes.
 PIECE_ENDS = 1 << 16
 BLOCK_LINKS = 1 << 22
+#: Bytes of text that are encoded and aligned at a time (one text at least).
+BATCH_BYTES = 1 << 21
 #: B's ids lie above A's where both are in one array.
 _B = 1 << 20
 
@@ -234,7 +236,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, block_links: int = BLOCK_L
         tokenizer = worker_tokenizer(path_a, path_b)
         uid = number = TaskContext.get().partitionId() << 40
         for frame in frames:
-            for batch in pieces(frame, 1):
+            for batch in pieces(frame, 1, BATCH_BYTES):
                 ids_a, n_a, ids_b, n_b = tokenizer.encode(batch.column(1))
                 found = align(*(np.cumsum(tokenizer.sizes[ids], dtype=np.int64) for ids in (ids_a, ids_b)), piece_ends)
                 ids_b = ids_b - _B
