@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from livetick.functions.timecols import duration_us, grid, grid_start
 from livetick.operators.grid import steps
+from livetick.operators.ranks import middles
 from livetick.operators.sliding import sliding_moments
 from livetick.sources.tables import latest
 
@@ -154,33 +155,5 @@ def page_summary(events: DataFrame, retain: str | int, rate_window: str | int) -
 
 __all__ = [
     "tail", "reduce_by", "host_rollup", "event_rate", "bucket_counts", "clip_bars", "top_n", "latest_per",
-    "edges", "newest", "weighted_rollup", "page_summary", "interval",
+    "edges", "newest", "weighted_rollup", "page_summary", "interval", "middles",
 ]
-
-
-def middles(df: DataFrame, key: str, value: str, chunks: int = 200) -> DataFrame:
-    """(key, mid, low, high, n): exact median (mean of the two middle values), least and greatest value, rows per key.
-
-    Equal values are counted before anything is ordered. Distinct values are cut into ``chunks`` at approximate
-    quantiles of the whole table, totals tell which chunks hold a key's middle ranks, and only those are scanned.
-    A chunk holds at most about one in ``chunks`` of all rows, whatever the key's share; the borders decide
-    nothing but the size of chunks. Null values count as rows only.
-    """
-    known = df.filter(F.col(value).isNotNull())
-    borders = known.agg(F.percentile_approx(value, [i / chunks for i in range(1, chunks)])).scalar()
-    counts = known.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_borders", borders)
-    counts = counts.withColumn("_chunk", F.size(F.filter("_borders", lambda b: b < F.col(value)))).drop("_borders")
-    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = counts.groupBy(key, "_chunk").agg(F.sum("_n").alias("_t")).select(
-        key, "_chunk", "_t", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"),
-        F.sum("_t").over(Window.partitionBy(key)).alias("_all"))
-    # The middle ranks are (n + 1) / 2 and n / 2 + 1 in whole numbers.
-    wanted = totals.selectExpr(f"`{key}` AS _key", "_chunk AS _in", "_before", "_t", "(_all + 1) DIV 2 AS _lo", "_all DIV 2 + 1 AS _hi").filter(
-        "_before < _hi AND _before + _t >= _lo")
-    near = counts.join(wanted, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_chunk") == F.col("_in")))
-    upto = F.sum("_n").over(Window.partitionBy(key, "_chunk").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    mids = near.withColumn("_upto", F.col("_before") + upto).filter("_upto >= _lo AND _upto - _n < _hi").groupBy("_key").agg(
-        ((F.min(value) + F.max(value)) / 2).alias("mid"))
-    facts = df.groupBy(key).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("n"))
-    return facts.join(mids, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, "mid", "low", "high", "n")

@@ -1,71 +1,61 @@
 """Exponential moving averages as a distributed scan.
 
-One step is the map s -> (1 - a) s + a x. Over a run of rows the steps compose to
-s -> A s + B, so rows are folded in blocks that run in parallel.
+One step is the map s -> (1 - a) s + a x. Maps of that kind compose to maps of that kind, so rows are folded in blocks,
+the folds of blocks are scanned in the same way, and so on; no value is left out, however old.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from livetick.functions.timecols import grid
 from livetick.operators.running import ranked
 
-# A factor of 1e-100 leaves no trace of a metric value in a double.
-_VANISH = 100
+#: Rows of one block at most, and the smallest factor over a block, so that values scaled by their age stay finite.
+BLOCK_ROWS, _SMALLEST = 10_000, 1e-150
 
 
-def ema(df: DataFrame, keys: list[str], value: str, alpha: float, out: str = "ema",
-        chunk_rows: int = 1_000_000) -> DataFrame:
-    """EMA per key in ``seq`` order, seeded with the first value; also ``pos``, the 1-based position.
+def affine_scan(steps: DataFrame, keys: list[str], at: str, added: str, factor: float, out: str) -> DataFrame:
+    """State after each step of s -> factor * s + added, from 0 on; ``at`` numbers the steps of a key from 0 without gaps.
 
-    Positions are cut into blocks long enough for (1 - alpha) ** block to vanish in
-    a double. Inside a block the average is a running sum of values scaled up by
-    their age; from before the block only the state at its start counts, which is
-    the fold of the preceding block.
+    Inside a block the state is a running sum of the added values scaled up by their age. What came before a block is
+    the state at the end of the one before it, which is a scan over the blocks with the factor of a whole block. The
+    factor shrinks with every level until its square is no number but 0; then one step back is all there is.
     """
+    if factor * factor == 0.0:
+        before = steps.selectExpr(*[f"{k} AS _k{i}" for i, k in enumerate(keys)], f"{at} + 1 AS _at", f"{added} AS _before")
+        met = steps.join(before, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col(at) == F.col("_at")], "left")
+        return met.selectExpr(*steps.columns, f"{added} + {factor!r}D * coalesce(_before, 0D) AS {out}")
+    block = BLOCK_ROWS if factor == 1.0 else max(2, min(BLOCK_ROWS, int(math.log(_SMALLEST) / math.log(factor))))
+    group = ", ".join([*keys, "_block"])
+    local = steps.selectExpr("*", f"{at} div {block} AS _block", f"{at} % {block} AS _off").selectExpr(
+        "*", f"pow({factor!r}D, _off) * sum({added} * pow({factor!r}D, -_off)) OVER (PARTITION BY {group} ORDER BY {at} ROWS UNBOUNDED PRECEDING) AS _local")
+    # Only whole blocks have one after them.
+    folded = local.filter(f"_off = {block - 1}").selectExpr(*keys, "_block AS _step", "_local AS _fold")
+    states = affine_scan(folded, keys, "_step", "_fold", factor**block, "_state").selectExpr(
+        *[f"{k} AS _k{i}" for i, k in enumerate(keys)], "_step + 1 AS _next", "_state")
+    met = local.join(states, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_block") == F.col("_next")], "left")
+    return met.selectExpr(*steps.columns, f"_local + coalesce(pow({factor!r}D, _off + 1) * _state, 0D) AS {out}")
+
+
+def ema(df: DataFrame, keys: list[str], value: str, alpha: float, out: str = "ema",
+        chunk_rows: int = 1_000_000) -> DataFrame:
+    """EMA per key in ``seq`` order, seeded with the first value; also ``pos``, the 1-based position."""
     if not 0 < alpha < 1:
         raise ValueError("alpha must lie between 0 and 1")
-    keep = 1.0 - alpha
-    block = max(1, math.ceil(_VANISH / -math.log10(keep)))
-    group = ", ".join([*keys, "_block"])
-    ranks = ranked(df.filter(f"{value} IS NOT NULL"), keys, "seq", chunk_rows, name="pos")
-    placed = ranks.selectExpr("*", f"(pos - 1) div {block} AS _block", f"(pos - 1) % {block} AS _off")
-    seeded = f"if(pos = 1, double({value}), {alpha!r}D * {value})"
-    local = placed.selectExpr(
-        "*", f"pow({keep!r}D, _off) * sum({seeded} * pow({keep!r}D, -_off)) "
-        f"OVER (PARTITION BY {group} ORDER BY pos ROWS UNBOUNDED PRECEDING) AS _local",
-    )
-    states = local.filter(f"_off = {block - 1}").selectExpr(*keys, "_block + 1 AS _block", "_local AS _state")
-    return local.join(states, [*keys, "_block"], "left").selectExpr(
-        *df.columns, f"_local + coalesce(pow({keep!r}D, _off + 1) * _state, 0D) AS {out}", "pos",
-    )
+    placed = ranked(df.filter(f"{value} IS NOT NULL"), keys, "seq", chunk_rows, name="pos").selectExpr(
+        "*", "pos - 1 AS _at", f"if(pos = 1, double({value}), {alpha!r}D * {value}) AS _added")
+    return affine_scan(placed, keys, "_at", "_added", 1.0 - alpha, out).select(*df.columns, out, "pos")
 
 
 def ema_last(df: DataFrame, value: str, alpha: float, chunk_rows: int = 1_000_000) -> DataFrame:
-    """The final EMA over all hosts in arrival order: each chunk is folded, then the folds in turn.
-
-    The last step reads one row per chunk, a millionth of the events.
-    """
+    """The final EMA over all hosts in arrival order: every value weighted by its age, the first one not by alpha."""
     keep = f"{1.0 - alpha!r}D"
-    rows = df.filter(f"{value} IS NOT NULL").selectExpr(
-        "seq", f"double({value}) AS x", f"{grid('seq', chunk_rows)} AS chunk",
-    ).selectExpr("*", f"pow({keep}, row_number() OVER (PARTITION BY chunk ORDER BY seq DESC) - 1) AS w")
-    # s -> a s + b over the chunk; the very first value has weight one instead of alpha.
-    folds = rows.groupBy("chunk").agg(*[F.expr(e) for e in (
-        f"sum({alpha!r}D * x * w) AS b", f"min(w) * {keep} AS a", f"min_by(x, seq) * min(w) * {keep} AS seed",
-    )])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = None
-        for row in pdf.sort_values("chunk").itertuples():
-            state = row.b + (row.seed if state is None else row.a * state)
-        return pd.DataFrame({"trend": [state]})
-
-    return folds.groupBy().applyInPandas(fold, "trend double")
+    rows = df.filter(f"{value} IS NOT NULL").selectExpr("seq", f"double({value}) AS x")
+    aged = ranked(rows, [], "seq", chunk_rows, name="_age", descending=True).selectExpr("seq", "x", f"x * pow({keep}, _age - 1) AS _term")
+    # The first value keeps the share that all steps after it leave.
+    return aged.agg(F.expr(f"{alpha!r}D * sum(_term) + {keep} * min_by(_term, seq) AS trend"))
 
 
 def after_warm_up(smoothed: DataFrame, skip: int) -> DataFrame:

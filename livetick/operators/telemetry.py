@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from livetick.functions.timecols import duration_us, grid
 from livetick.operators.grid import previous_in_key, steps
+from livetick.operators.ranks import floor_percentiles
 from livetick.operators.running import ranked, running
 
 
@@ -31,22 +32,6 @@ def recent_ring(df: DataFrame, metric: str, order: list[Column], capacity: int =
     return df.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= capacity).drop("_rn")
 
 
-def floor_percentiles(df: DataFrame, keys: list[str], value: str, percents: list[int],
-                      chunk_width: int = 1_000_000) -> DataFrame:
-    """Exact order statistic sorted[min(n - 1, floor(n * p / 100))], no interpolation.
-
-    Equal values are counted before anything is ordered; the distinct values are
-    then scanned in chunks of ``chunk_width`` value units.
-    """
-    counts = df.filter(f"{value} IS NOT NULL").groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = running(counts, keys, value, f"floor({value} / {chunk_width})", {"_upto": ("sum", "_n")})
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("n"))
-    joined = upto.join(totals, keys) if keys else upto.withColumn("n", counts.agg(F.sum("_n")).scalar())
-    return joined.groupBy(*keys).agg(F.max("n").alias("n"), *[
-        F.expr(f"min({value}) FILTER (WHERE _upto > least(n - 1, n * {p} div 100)) AS p{p}") for p in percents
-    ])
-
-
 def pause_rollup(pauses: DataFrame, kind: str, duration: str) -> DataFrame:
     return pauses.groupBy(kind).agg(
         F.count(duration).alias("pauses"), F.sum(duration).alias("total_ms"), F.max(duration).alias("max_ms"),
@@ -149,3 +134,9 @@ def conservation(ticks: DataFrame, events: DataFrame, tick: str | int, limit_per
     ).selectExpr("*", "if(raw > 0, (folded - raw) * 100.0D / raw, NULL) AS drift_percent").selectExpr(
         "*", f"abs(drift_percent) >= {limit_percent!r}D AS flagged",
     )
+
+
+__all__ = [
+    "fifo_pairs", "fifo_residual", "recent_ring", "floor_percentiles", "pause_rollup", "batch_stats", "egress", "phase_residual", "tick_gaps",
+    "counter_deltas", "frame_fanin", "global_ticks", "cumulative_rate", "conservation",
+]

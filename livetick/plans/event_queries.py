@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from livetick.functions.timecols import grid as grid_of
-from livetick.operators import baseline, custom, grid, hosts, ordering, rolling, rollups, smoothing, telemetry
+from livetick.operators import baseline, custom, grid, hosts, ordering, rolling, rolling_ranks, rollups, smoothing, telemetry
 from livetick.plans import inputs, settings as S
 from livetick.plans.shape import flat, ms, num
 from livetick.schema import contract_report
@@ -158,6 +158,13 @@ def event_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("seq", ms(), "host", "window_n", "requests_sum", "cpu_min", "cpu_max", num("log_mean"))
 
 
+def event_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reducers of the trailing window that cannot be merged from parts: the median and a floor percentile."""
+    rows = rolling_ranks.rolling_quantiles(read_events(spark, sf_dir), S.BASE, {
+        "median": rolling_ranks.MEDIAN, "p90": rolling_ranks.floor_percentile(90)})
+    return rows.selectExpr("seq", ms(), "host", "window_n", num("median"), "p90")
+
+
 def _smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_events(spark, sf_dir)
     rate = rollups.event_rate(events, S.TAIL).select("events_per_sec").scalar()
@@ -238,7 +245,7 @@ def fifo_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring = telemetry.recent_ring(_pairs(spark, sf_dir), "host", [F.col("emitted_us").desc(), F.col("seq").desc()])
-    return telemetry.floor_percentiles(ring, ["host"], "latency_us", [50, 95, 99], chunk_width=3_600_000_000)
+    return telemetry.floor_percentiles(ring, ["host"], "latency_us", [50, 95, 99])
 
 
 def pause_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,5 +276,5 @@ def phase_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_extendedprice * l_tax AS serialize",
     )
     rest = telemetry.phase_residual(phases, "total", ["record", "serialize"])
-    ranks = telemetry.floor_percentiles(rest, ["l_returnflag"], "residual", [50, 95, 99], chunk_width=1_000)
+    ranks = telemetry.floor_percentiles(rest, ["l_returnflag"], "residual", [50, 95, 99])
     return ranks.selectExpr("l_returnflag", "n", num("p50"), num("p95"), num("p99"))

@@ -264,6 +264,11 @@ SELECT seq, ts_us // 1000 AS ts_ms, host, cpu, {_num('upper')}, {_num('lower')}
 SELECT a.seq, a.ts_us // 1000 AS ts_ms, a.host, count(*) AS window_n, CAST(sum(b.requests) AS BIGINT) AS requests_sum,
   min(b.cpu) AS cpu_min, max(b.cpu) AS cpu_max, {_num('exp(avg(ln(1 + b.cpu))) - 1', 'log_mean')}
 FROM ev a JOIN ev b ON a.host = b.host AND b.ts_us > a.ts_us - {duration_us(S.BASE)} AND b.ts_us <= a.ts_us
+GROUP BY a.seq, a.ts_us, a.host"""),
+        "event_rolling_median": _q(EV, f"""
+SELECT a.seq, a.ts_us // 1000 AS ts_ms, a.host, count(*) AS window_n, {_num('quantile_cont(b.cpu, 0.5)', 'median')},
+  list_sort(list(b.cpu))[least(count(*) - 1, count(*) * 90 // 100) + 1] AS p90
+FROM ev a JOIN ev b ON a.host = b.host AND b.ts_us > a.ts_us - {duration_us(S.BASE)} AND b.ts_us <= a.ts_us
 GROUP BY a.seq, a.ts_us, a.host"""),
         "ema_requests": _q(EMA, f"SELECT seq, ts_us // 1000 AS ts_ms, host, pos, {_num('ema')}, {_num('req_per_sec')} FROM req"),
         "ema_trend": _q(EV + ", num AS (SELECT cpu, row_number() OVER (ORDER BY seq) AS pos, count(*) OVER () AS n FROM ev)", f"""

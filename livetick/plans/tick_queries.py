@@ -110,7 +110,7 @@ def tick_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps between a host's slices: median, p99 and missed boundaries per host."""
     slices = tick_slices(read_events(spark, sf_dir), S.TICK)
     gaps = telemetry.tick_gaps(slices, S.TICK, chunk_ticks=200)
-    ranks = telemetry.floor_percentiles(gaps, ["host"], "gap_us", [50, 99], chunk_width=3_600_000_000)
+    ranks = telemetry.floor_percentiles(gaps, ["host"], "gap_us", [50, 99])
     missed = gaps.groupBy("host").agg(F.count_if("missed").alias("missed"))
     return ranks.join(missed, "host").selectExpr(
         "host", "n AS n_gaps", ms("p50", "p50_ms"), ms("p99", "p99_ms"), "missed",

@@ -133,10 +133,10 @@ def test_floor_percentiles(spark, n):
     rng = random.Random(n)
     values = [rng.randrange(-40, 40) for _ in range(n)]
     df = spark.createDataFrame([("m", v) for v in values], "metric string, v bigint")
-    row = telemetry.floor_percentiles(df, ["metric"], "v", [50, 95, 99], chunk_width=7).first()
+    row = telemetry.floor_percentiles(df, ["metric"], "v", [50, 95, 99], chunks=7).first()
     ordered = sorted(values)
     assert [row.p50, row.p95, row.p99] == [ordered[min(n - 1, n * p // 100)] for p in (50, 95, 99)]
-    whole = telemetry.floor_percentiles(df, [], "v", [50], chunk_width=7).first()
+    whole = telemetry.floor_percentiles(df, [], "v", [50], chunks=7).first()
     assert (whole.n, whole.p50) == (n, row.p50)
 
 
