@@ -10,21 +10,27 @@ from livetick.operators.running import running
 from livetick.sources.tables import latest
 
 
-def late_filter(df: DataFrame, arrival: str, policy: str = "drop", chunk_rows: int = 1_000_000) -> DataFrame:
-    """Reject events older than any that arrived before them; equal times are accepted.
+def late_tagged(df: DataFrame, arrival: str, newest: int | None = None, chunk_rows: int = 1_000_000) -> DataFrame:
+    """Add ``late``: whether an event is older than any that arrived before it, or than ``newest``.
 
-    ``arrival`` is a unique integer giving the order of arrival. A rejected event
-    never raises the maximum, so the maximum over all rows is the one over accepted rows.
+    ``arrival`` is a unique integer giving the order of arrival. A late event never raises the maximum, so the
+    maximum over all rows is the one over accepted rows.
     """
     seen = running(
         df, [], arrival, grid(arrival, chunk_rows), {"_seen": ("max", "ts_us")}, exclusive=True,
     )
-    on_time = F.expr("_seen IS NULL OR ts_us >= _seen")
+    before = "_seen" if newest is None else f"greatest(_seen, {newest}L)"
+    return seen.withColumn("late", F.expr(f"coalesce(ts_us < {before}, false)")).drop("_seen")
+
+
+def late_filter(df: DataFrame, arrival: str, policy: str = "drop", chunk_rows: int = 1_000_000) -> DataFrame:
+    """Reject events older than any that arrived before them; equal times are accepted."""
+    tagged = late_tagged(df, arrival, chunk_rows=chunk_rows)
     if policy == "drop":
-        return seen.filter(on_time).drop("_seen")
+        return tagged.filter("NOT late").drop("late")
     if policy == "fail":
         late = F.raise_error(F.lit("event older than the newest accepted one")).cast("boolean")
-        return seen.filter(F.when(on_time, F.lit(True)).otherwise(late)).drop("_seen")
+        return tagged.filter(F.when(~F.col("late"), F.lit(True)).otherwise(late)).drop("late")
     raise ValueError(f"unknown policy {policy!r}")
 
 

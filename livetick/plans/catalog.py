@@ -29,7 +29,10 @@ CHART = [
     "count_at_sigma_log", "wide_by_ts", "axis_domain", "threshold_line", "latest_tick_per_host",
 ]
 
-STREAM = ["stream_host_ticks", "stream_frames", "stream_resume", "stream_high_filter"]
+STREAM = [
+    "stream_host_ticks", "stream_frames", "stream_resume", "stream_high_filter", "stream_retention", "stream_late", "stream_fifo",
+    "stream_global_ticks", "stream_backfill", "stream_snapshot",
+]
 
 
 def _configured(fn: Query) -> Query:

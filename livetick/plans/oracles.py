@@ -346,6 +346,22 @@ FROM (SELECT *, ({END} - ts_us) // 1000 AS a FROM ticks) k JOIN l USING (host, t
     }
     sql["stream_host_ticks"] = _q(TICKS, f"""
 SELECT {TICK_ROW} FROM ticks WHERE ts_us <= {END} - 600000000""")  # what a 10-minute watermark has closed
+    sql["stream_retention"] = sql["retention"]
+    sql["stream_late"] = sql["late_filter"].replace(
+        "host FROM m WHERE seen IS NULL OR ts_us >= seen", "host, coalesce(ts_us < seen, false) AS rejected FROM m")
+    sql["stream_fifo"] = sql["fifo_latency"]
+    sql["stream_global_ticks"] = sql["global_ticks"]
+    sql["stream_backfill"] = _q(TICKS + f""",
+c AS (SELECT (ts_us // {_H} + 1) * {_H} AS t, count(*) AS n FROM ev GROUP BY 1),
+g AS (SELECT unnest(generate_series((SELECT min(t) // {_H} FROM c), {END} // {_H})) * {_H} AS t)""", f"""
+SELECT 'host' AS kind, ts_us // 1000 AS ts_ms, host, cpu_n, n_current, array_to_string(aa, ',') AS anomalies_above,
+  array_to_string(ab, ',') AS anomalies_below, CAST(NULL AS BIGINT) AS events_ingested_total
+FROM ticks WHERE ts_us <= {END} - 600000000
+UNION ALL
+SELECT 'global', t // 1000, NULL, NULL, NULL, NULL, NULL, CAST((SELECT sum(n) FROM c WHERE c.t <= g.t) AS BIGINT)
+FROM g WHERE t <= {END} - 600000000""")
+    sql["stream_snapshot"] = _q(EV + ", o AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts_us DESC, seq DESC) AS rn FROM ev)",
+                                "SELECT host, seq, ts_us // 1000 AS ts_ms, cpu, requests FROM o WHERE rn = 1")
     sql["stream_frames"] = sql["frame_roundtrip"]
     sql["stream_resume"] = sql["snapshot_append_merge"]
     sql["stream_high_filter"] = _q(EV, f"SELECT host, count(*) AS alerts FROM ev WHERE cpu > {S.HIGH} GROUP BY host")

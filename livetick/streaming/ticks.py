@@ -1,7 +1,6 @@
 """The tick pipeline on a stream: same rows as the batch form, each emitted once.
 
-Four stateful steps in append mode, all on event time: tick buckets, the sliding
-baseline over them, a join that lets each sample meet the baseline of its tick,
+Four stateful steps in append mode, all on event time: tick buckets, a ring of the window's buckets for each host, a join that lets each sample meet the baseline of its tick,
 and the counters per host and tick. Samples stay rows throughout.
 """
 
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from livetick.functions.sigma import beyond
 from livetick.functions.timecols import duration_us
 from livetick.schema import DEFAULT_THRESHOLDS
+from livetick.streaming.state import ring_baseline
 
 _SIDES = ("above", "below")
 
@@ -22,28 +22,21 @@ def _text(duration: str | int) -> str:
     return f"{duration_us(duration)} microseconds"
 
 
+def tick_buckets(events: DataFrame, tick: str | int) -> DataFrame:
+    """Count, mean and squared deviation of each host and closed tick, summed map-side."""
+    buckets = events.groupBy(F.window("ts", _text(tick)).alias("w"), "host").agg(*[F.expr(e) for e in (
+        "count(cpu) AS n", "avg(cpu) AS mean", "var_pop(cpu) * count(cpu) AS m2",
+    )]).filter("n > 0")
+    return buckets.select(F.window_time("w").alias("closed"), "host", F.expr(f"unix_micros(w.start) div {duration_us(tick)}L AS k"), "n", "mean", "m2")
+
+
 def stream_baseline(events: DataFrame, tick: str | int, base: str | int) -> DataFrame:
     """Per host and closed tick: avg, deviation and count of the trailing window, and the slice's count.
 
-    ``at`` is the tick's event time. A bucket carries count, mean and variance; the buckets of
-    a window, as many as it has ticks, are merged around its mean, so large means keep their digits.
+    ``at`` is the tick's event time. A host's state is a ring of the window's buckets, each a count, a mean and a
+    squared deviation; no bucket is copied per window.
     """
-    buckets = events.groupBy(F.window("ts", _text(tick)).alias("w"), "host").agg(*[F.expr(e) for e in (
-        "count(cpu) AS n", "avg(cpu) AS m", "var_pop(cpu) AS v",
-    )])
-    rolled = buckets.groupBy(
-        F.window(F.window_time("w"), _text(base), _text(tick)).alias("bw"), "host",
-    ).agg(*[F.expr(e) for e in (
-        "sum(n) AS cpu_n", "collect_list(if(n > 0, struct(n, m, v), NULL)) AS parts", "max(w.end) AS newest",
-        "max_by(n, w.end) AS newest_n",
-    )])
-    # The mean is taken around the first bucket's, which keeps its last digits as well.
-    mean = "parts[0].m + aggregate(parts, 0D, (a, p) -> a + p.n * (p.m - parts[0].m)) / cpu_n"
-    spread = "aggregate(parts, 0D, (a, p) -> a + p.n * (p.v + (p.m - cpu_avg) * (p.m - cpu_avg)))"
-    return rolled.filter("cpu_n > 0").withColumn("cpu_avg", F.expr(mean)).select(
-        F.window_time("bw").alias("at"), "host", "cpu_n", "cpu_avg",
-        F.expr(f"sqrt({spread} / cpu_n) AS cpu_sd"), F.expr("if(newest = bw.end, newest_n, 0L) AS n_current"),
-    )
+    return ring_baseline(tick_buckets(events, tick), tick, base)
 
 
 def stream_host_ticks(
@@ -77,7 +70,8 @@ def stream_host_ticks(
             for s in _SIDES for i, t in levels
         ],
     )
-    return counted.selectExpr(
+    # Always true; it keeps the join in the plan of a reader who drops the counts, so that every reader gets the same rows.
+    return counted.filter(f"_{_SIDES[0]}0 >= 0").selectExpr(
         "tw.end AS ts", "host", *stats,
         *[f"array({', '.join(f'_{s}{i}' for i, _ in levels)}) AS anomalies_{s}" for s in _SIDES],
     )

@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from livetick.operators import ranks, rolling_ranks, smoothing
+from livetick.operators import baseline, ranks, rolling_ranks, smoothing
 
 RANDOM = random.Random(11)
 
@@ -78,3 +78,20 @@ def test_ema_equals_the_recursion(spark, make_events, monkeypatch, alpha, block)
     last = smoothing.ema_last(events, "cpu", alpha, chunk_rows=17).first().trend
     assert last == pytest.approx(recursion(values, alpha)[-1], rel=1e-11)
     assert smoothing.ema_last(events.limit(0), "cpu", alpha).first().trend is None
+
+
+@pytest.mark.parametrize("chunks", [2, 9, 256])
+def test_baseline_of_a_burst_within_one_bucket(spark, make_events, chunks):
+    """All instants of a host lie in one bucket of its window; chunks cut them, equal instants stay together."""
+    rows = [(10_000 + i, RANDOM.gauss(1e6, 1), i, "burst") for i in range(300)] + [(10_100, 5.0, 0, "burst")] * 20
+    rows += [(RANDOM.randrange(0, 60_000), RANDOM.random(), 0, "b") for _ in range(200)]
+    got = {r.seq: (r.window_n, r.avg, r.sd) for r in baseline.event_baseline(make_events(rows), "20s", 2.0, chunks=chunks).collect()}
+    for i, (t, _, _, host) in enumerate(rows):
+        window = [v for u, v, _, h in rows if h == host and t - 20_000 < u <= t]
+        assert got[i] == (len(window), pytest.approx(statistics.fmean(window), rel=1e-12), pytest.approx(statistics.pstdev(window), rel=1e-6, abs=1e-7))
+
+
+def test_no_group_of_a_burst_outweighs_the_others(spark):
+    events = spark.range(5_000).selectExpr("id AS seq", "timestamp_micros(id) AS ts", "id AS ts_us", "'one' AS host", "double(id) AS cpu", "id AS requests")
+    rows = ranks.with_chunk(events, "ts_us", ranks.borders(events, "ts_us", 50))
+    assert max(r["count"] for r in rows.groupBy("host", "_chunk").count().collect()) <= 2 * 5_000 / 50
