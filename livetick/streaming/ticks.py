@@ -1,7 +1,7 @@
 """The tick pipeline on a stream: same rows as the batch form, each emitted once.
 
-Four stateful steps in append mode, all on event time: tick buckets, a ring of the window's buckets for each host, a join that lets each sample meet the baseline of its tick,
-and the counters per host and tick. Samples stay rows throughout.
+Four stateful steps in append mode, all on event time: tick buckets, a ring of the window's buckets for each host, a join that lets the samples meet the baseline of their tick,
+and the counters per host and tick. Samples of an open tick wait as one list for each salt.
 """
 
 from __future__ import annotations
@@ -49,19 +49,21 @@ def stream_host_ticks(
     """Host ticks of a watermarked stream, in append mode.
 
     ``source`` opens the stream; it is read twice. With ``salts`` > 1 the samples
-    of one host and tick are spread over that many join tasks.
+    of one host and tick are spread over that many tasks, and so are the lists in which they wait.
     """
     levels = list(enumerate(thresholds))
     baseline = stream_baseline(source(), tick, base).selectExpr(
         "*", f"explode(sequence(0, {salts - 1})) AS salt",
     )
-    samples = source().select(
-        F.window("ts", _text(tick)).alias("w"), F.col("host").alias("sample_host"), "cpu",
+    # One row for each host, tick and salt waits for its baseline, eight bytes a sample.
+    slices = source().groupBy(
+        F.window("ts", _text(tick)).alias("w"), F.col("host").alias("sample_host"),
         F.expr(f"int(pmod(xxhash64(ts, cpu, seq), {salts})) AS sample_salt"),
-    ).select(F.window_time("w").alias("sample_at"), "sample_host", "sample_salt", "cpu")
+    ).agg(F.collect_list("cpu").alias("samples"))
+    slices = slices.select(F.window_time("w").alias("sample_at"), "sample_host", "sample_salt", "samples")
     met = baseline.join(
-        samples, F.expr("at = sample_at AND host = sample_host AND salt = sample_salt"), "left_outer",
-    )
+        slices, F.expr("at = sample_at AND host = sample_host AND salt = sample_salt"), "left_outer",
+    ).select("at", "host", "cpu_avg", "cpu_sd", "cpu_n", "n_current", F.explode_outer("samples").alias("cpu"))
     stats = ("cpu_avg", "cpu_sd", "cpu_n", "n_current")
     counted = met.groupBy(F.window("at", _text(tick)).alias("tw"), "host").agg(
         *[F.expr(f"max({c}) AS {c}") for c in stats],
