@@ -3,7 +3,7 @@
 Texts are compared in lower case with white space as single blanks. An item of length L may differ from a passage by
 `budget` = 10 % of L edits. By the q-gram lemma such a passage shares at least L - q + 1 - q * budget character q-grams
 with the item, all on diagonals within `budget` of each other. Shared q-grams are counted per item in overlapping bands
-of diagonals, twice as wide as they are apart, so that one band holds them all; bands that reach the bound are aligned.
+of that many diagonals, one from each diagonal that has any; bands that reach the bound are aligned, near ones together.
 
 The items' q-grams are held by every task. Their size is measured first: items beyond `ITEM_CHARS` letters are dealt to
 several parts, and the documents are read once per part. An item shorter than q is looked for as it stands.
@@ -30,6 +30,8 @@ ITEM_CHARS = 4_000_000
 BATCH = 256
 #: Letters of texts that are searched at a time; arrays of that size stay in a core's cache.
 SLICE = 1 << 16
+#: Shared q-grams that are held at a time, and cells of a row of all regions that are aligned at a time.
+HITS, ALIGNED = 1 << 20, 1 << 18
 _FILTER_BITS = 22
 
 _STEPS = mix(np.arange(1, 5, dtype=np.uint64)) | np.uint64(1)
@@ -58,41 +60,47 @@ def budget(length: int, rate: float = RATE) -> int:
     return max(0, min(int(rate * length), (length - Q) // Q))
 
 
-def align(item: np.ndarray, region: np.ndarray, first: int, width: int, most: int) -> tuple[int, int] | None:
-    """(distance, end) of the best passage of `region` that matches all of `item` with at most `most` edits.
+def align_many(items: np.ndarray, regions: np.ndarray, sizes: np.ndarray, first: np.ndarray, width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, end) of the best passage of each region that matches all of its item with at most `most` edits.
 
-    The passage starts at a diagonal from `first` to `first + width`; cells outside the band of those diagonals,
-    widened by `most`, cannot be on such a path. Of equal distances the earliest end is taken.
+    Items of one length, a row each; regions padded with -1. A passage starts at a diagonal from `first` to `first +
+    width`; cells outside the band of those diagonals, widened by `most`, cannot be on such a path. Of equal distances
+    the earliest end is taken; a distance above `most` stands for none.
     """
-    low, size = first - most, width + 2 * most + 1
-    offset = np.arange(size)
-    far = np.int64(1 << 30)
+    offset, far = np.arange(width + 2 * most + 1), np.int64(1 << 30)
+    low, high = (first - most)[:, None] + offset, sizes[:, None]
+    padded = np.pad(regions.astype(np.int64), ((0, 0), (0, 1)), constant_values=-1)
+    edge = np.full((len(items), 1), far)
     # Row 0: a passage may start anywhere on the allowed diagonals.
-    row = np.where((offset >= most) & (offset <= most + width), 0, far).astype(np.int64)
-    row[(low + offset < 0) | (low + offset > len(region))] = far
-    padded = np.concatenate((region.astype(np.int64), [-1]))
-    for i, letter in enumerate(item.tolist(), 1):
-        at = low + offset + i  # place in the region after this row, by diagonal
-        match = row + (padded[np.clip(at - 1, -1, len(region))] != letter)
-        match[(at < 1) | (at > len(region))] = far
-        drop = np.append(row[1:], far) + 1
-        row = np.minimum(match, drop)
-        row[(at < 0) | (at > len(region))] = far
-        row = np.minimum.accumulate(row - offset) + offset  # letters of the region that the item lacks
-        row[(at < 0) | (at > len(region))] = far
+    row = np.where((offset >= most) & (offset <= most + width) & (low >= 0) & (low <= high), np.int64(0), far)
+    for i in range(1, items.shape[1] + 1):
+        at = low + i  # place in the region after this row, by diagonal
+        letter = np.take_along_axis(padded, np.clip(at - 1, -1, padded.shape[1] - 1), axis=1)
+        match = np.where((at < 1) | (at > high), far, row + (letter != items[:, i - 1 : i]))
+        row = np.minimum(match, np.concatenate([row[:, 1:], edge], axis=1) + 1)
+        outside = (at < 0) | (at > high)
+        row[outside] = far
+        row = np.minimum.accumulate(row - offset, axis=1) + offset  # letters of the region that the item lacks
+        row[outside] = far
         if row.min() > most:
-            return None
-    best = int(row.argmin())
-    return (int(row[best]), int(low + best + len(item))) if row[best] <= most else None
+            break
+    best = row.argmin(axis=1)
+    each = np.arange(len(items))
+    return row[each, best], low[each, best] + items.shape[1]
 
 
 class Items:
-    """The q-gram index of some items."""
+    """The q-gram index of some items; items of equal plain text are searched once and reported each."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], rate: float = RATE) -> None:
-        texts = [(i, plain(t)) for i, t in items]
-        self.texts = [(i, t) for i, t in texts if len(t) >= Q]
-        self.short = [(i, t) for i, t in texts if 0 < len(t) < Q]
+        named: dict[str, list[int | None]] = {}
+        for i, t in items:
+            named.setdefault(plain(t), []).append(i)
+        self.texts = [(ids, t) for t, ids in named.items() if len(t) >= Q]
+        self.short = [(ids, t) for t, ids in named.items() if 0 < len(t) < Q]
+        if len(self.texts) >= 1 << 16:
+            raise ValueError("too many items in one part")
+        self.rate = rate
         self.codes = [letters(t) for _, t in self.texts]
         lengths = np.array([len(c) for c in self.codes], np.int64)
         self.budget = np.array([budget(int(n), rate) for n in lengths], np.int64)
@@ -108,16 +116,19 @@ class Items:
         self.maybe = np.zeros(1 << _FILTER_BITS, bool)
         self.maybe[(self.keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the text, item, place in the item) of every shared q-gram."""
+    def hits(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in the text, item, place in the item) of every shared q-gram, about `HITS` at a time."""
         found = grams(codes)
         at = np.flatnonzero(self.maybe[(found >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
         slot = np.minimum(np.searchsorted(self.keys, found[at]), max(len(self.keys) - 1, 0))
         same = self.keys[slot] == found[at] if len(self.keys) else np.zeros(len(at), bool)
         at, slot = at[same], slot[same]
         count = self.count[slot]
-        entry = np.repeat(self.start[slot] - np.concatenate(([0], np.cumsum(count)))[:-1], count) + np.arange(count.sum())
-        return np.repeat(at, count), self.item[entry], self.place[entry]
+        part = np.cumsum(count) // HITS
+        for own in np.split(np.arange(len(at)), np.flatnonzero(np.diff(part)) + 1):
+            n = count[own]
+            entry = np.repeat(self.start[slot[own]] - np.concatenate(([0], np.cumsum(n)))[:-1], n) + np.arange(n.sum())
+            yield np.repeat(at[own], n), self.item[entry], self.place[entry]
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int | None, int, int]]:
         """(text, item id, end of the passage in the plain text, edits), the best passage of each text and item."""
@@ -130,9 +141,9 @@ class Items:
             for low in range(0, len(codes), SLICE):
                 # Slices overlap by as much as the longest region needs.
                 self._slice(codes, low, min(len(codes), low + SLICE + self.overlap), starts, ends, best)
-        out = [(t, self.texts[i][0], end, edits) for (t, i), (edits, end) in sorted(best.items())]
+        out = [(t, one, end, edits) for (t, i), (edits, end) in sorted(best.items()) for one in self.texts[i][0]]
         for t, text in enumerate(plains):
-            out += [(t, i, at + len(s), 0) for i, s in self.short if (at := text.find(s)) >= 0]
+            out += [(t, one, at + len(s), 0) for ids, s in self.short if (at := text.find(s)) >= 0 for one in ids]
         return out
 
     def _exact(self, i: int, region: np.ndarray) -> int:
@@ -147,51 +158,81 @@ class Items:
     def overlap(self) -> int:
         return int(max(len(c) for c in self.codes) * 2 + 4 * self.step.max()) if self.codes else 0
 
+    def _counts(self, codes, low, high, starts, ends, base) -> tuple[np.ndarray, np.ndarray]:
+        """Shared q-grams by text, item and diagonal, as ascending keys and their counts."""
+        key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for at, item, place in self.hits(codes[low:high]):
+            at = at + low
+            text = np.searchsorted(ends, at, "right")
+            own, n = np.unique((text << 52) | (item << 36) | (at - place - starts[text] + base), return_counts=True)
+            if not len(key):
+                key, count = own, n
+                continue
+            merged, where = np.unique(np.concatenate([key, own]), return_inverse=True)
+            key, count = merged, np.bincount(where, np.concatenate([count, n])).astype(np.int64)
+        return key, count
+
     def _slice(self, codes, low, high, starts, ends, best) -> None:
-        at, item, place = self.hits(codes[low:high])
-        if not len(at):
+        base = len(codes) + self.overlap  # so that diagonals are above 0, whatever the place in the item
+        if base >= 1 << 35:
+            raise ValueError("too long texts")
+        key, count = self._counts(codes, low, high, starts, ends, base)
+        if not len(key):
             return
-        at = at + low
-        text = np.searchsorted(ends, at, "right")
-        base = len(codes) + self.overlap  # so that bands are above 0, whatever the place in the item
-        diagonal = at - place - starts[text] + base
-        band = diagonal // self.step[item]
-        if len(self.codes) >= 1 << 16 or base >= 1 << 35:
-            raise ValueError("too many items in one part")
-        key = (text << 52) | (item << 36) | band
-        own, counts = np.unique(key, return_counts=True)
-        # Key b stands for bands b and b + 1 together; the key below a band counts it alone if that band has no hits.
-        least, follows = self.least[(own >> 36) & 0xFFFF], own[1:] == own[:-1] + 1
-        both, alone = counts.copy(), counts >= least
-        both[:-1] += np.where(follows, counts[1:], 0)
-        alone[1:] &= ~follows
-        for k in sorted([*own[both >= least].tolist(), *(own[alone] - 1).tolist()]):
-            t, i, b = k >> 52, (k >> 36) & 0xFFFF, k & ((1 << 36) - 1)
-            step, most = int(self.step[i]), int(self.budget[i])
+        # A passage has its q-grams on diagonals within the edits of each other: every band of that width that begins
+        # at a diagonal with hits is held against the bound.
+        item = (key >> 36) & 0xFFFF
+        upto = np.concatenate(([0], np.cumsum(count)))
+        enough = upto[np.searchsorted(key, key + self.budget[item], "right")] - upto[:-1] >= self.least[item]
+        key, item = key[enough], item[enough]
+        # Bands that begin near each other are aligned together.
+        near = np.unique(np.stack([key >> 52, item, (key & ((1 << 36) - 1)) // self.step[item]]), axis=1).T
+        waiting: dict[int, dict[tuple[int, bytes], list[tuple[int, int]]]] = {}
+        for t, i, b in near.tolist():
             if best.get((t, i), (1 << 30,))[0] == 0:
                 continue
-            # A passage has its q-grams on diagonals within the edits of each other.
-            near, need = np.sort(diagonal[(key == k) | (key == k + 1)]), int(self.least[i])
-            if (near[need - 1 :] - near[: len(near) - need + 1]).min() > most:
-                continue
-            first = b * step - base
+            step, most = int(self.step[i]), int(self.budget[i])
+            first = b * step - base - most
             region = codes[starts[t] : ends[t] - Q]
             cut = max(0, first - most)
-            at_once = self._exact(i, region[cut : first + 2 * step + len(self.codes[i]) + most])
-            found = (0, at_once) if at_once else align(self.codes[i], region[cut : first + 2 * step + len(self.codes[i]) + most], first - cut, 2 * step - 1, most)
-            if found is not None:
-                found = (found[0], found[1] + cut)
-                best[t, i] = min(best.get((t, i), found), found)
+            region = region[cut : first + step + 3 * most + len(self.codes[i])]
+            at_once = self._exact(i, region)
+            if at_once:
+                best[t, i] = (0, at_once + cut)
+            else:  # equal regions are aligned once
+                waiting.setdefault(len(self.codes[i]), {}).setdefault((i, first - cut, region.tobytes()), []).append((t, cut))
+        for length, regions in waiting.items():
+            open_ = [(r, [(t, cut) for t, cut in places if best.get((t, r[0]), (1 << 30,))[0] > 0]) for r, places in regions.items()]
+            self._align(length, [(r, places) for r, places in open_ if places], best)
+
+    def _align(self, length: int, regions: list, best: dict) -> None:
+        """Regions of items of one length, several at a time."""
+        most = budget(length, self.rate)
+        width = 4 * most  # bands of 2 most + 1 diagonals, a start up to `most` beside them
+        each = max(1, ALIGNED // (length + width + 4 * most + 1))
+        for at in range(0, len(regions), each):
+            part = regions[at : at + each]
+            found = [np.frombuffer(r[2], np.uint32) for r, _ in part]
+            padded = np.full((len(part), max(map(len, found))), -1, np.int64)
+            for row, f in zip(padded, found, strict=True):
+                row[: len(f)] = f
+            distance, end = align_many(
+                np.stack([self.codes[r[0]] for r, _ in part]).astype(np.int64), padded, np.array([len(f) for f in found]),
+                np.array([r[1] for r, _ in part]), width, most)
+            for (r, places), d, e in zip(part, distance.tolist(), end.tolist(), strict=True):
+                for t, cut in places if d <= most else ():
+                    best[t, r[0]] = min(best.get((t, r[0]), (d, e + cut)), (d, e + cut))
 
 
 def parts_of(benchmark: DataFrame, letters_each: int = ITEM_CHARS) -> Iterator[Items]:
     """The items in parts of about `letters_each` letters; one part for any usual benchmark."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
+    items = benchmark.select(F.struct(F.col("item_id").cast("long").alias("item_id")).alias("id"), "text").where("text IS NOT NULL")
+    items = items.groupBy("text").agg(F.collect_list("id").alias("ids"))
     total, rows = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
     parts = max(1, -(-total // letters_each), -(-rows // 50_000))
     for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        yield Items([(r["item_id"], r["text"]) for r in own.collect()])
+        own = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
+        yield Items([(i["item_id"], r["text"]) for r in own.collect() for i in r["ids"]])
 
 
 def _matches_of(rows: DataFrame, items: Items) -> DataFrame:

@@ -201,3 +201,33 @@ def test_passages_with_all_edits_at_any_place(length):
 def test_end_of_an_item_alone_is_no_passage():
     item = "".join(random.Random(1).choice("abcdefgh") for _ in range(300))
     assert decontaminate.Items([(1, item)]).search([item[-60:]]) == []
+
+
+def test_templated_items_runs_and_equal_items(monkeypatch):
+    """q-grams that all items share, q-grams that one item repeats, more equal items than a part has distinct ones."""
+    template = "please read the terms of use of this page with care before you go on to item number {}"
+    items = [(n, template.format(n)) for n in range(40)]
+    texts = [(template.format(7) + " and on. ") * 3, ("please read the terms of use of this page with care before going on. " * 8)[:560], "nothing"]
+    run = [(1, "a" * 300), (2, "ab" * 150)]
+    runs = ["a" * 2000, "ab" * 900 + "a" * 280 + "b" + "a" * 19, "b" * 500]
+    for own, found_in in ((items, texts), (run, runs)):
+        index = decontaminate.Items(own)
+        got = {(t, i): edits for t, i, _, edits in index.search(found_in)}
+        for t, text in enumerate(found_in):
+            for i, item in own:
+                plain, most = decontaminate.plain(text), decontaminate.budget(len(item))
+                edits = 0 if item in plain else distance(item, plain)
+                assert got.get((t, i), 99) == (edits if edits <= most else 99)
+        monkeypatch.setattr(decontaminate, "HITS", 1000)
+        monkeypatch.setattr(decontaminate, "ALIGNED", 500)
+        assert {(t, i): e for t, i, _, e in index.search(found_in)} == got
+        monkeypatch.undo()
+    equal = decontaminate.Items([(n, "seventy  thousand equal items of one Text") for n in range(70_000)])
+    assert {i for _, i, _, e in equal.search(["x seventy thousand equal items of one text y"])} == set(range(70_000))
+
+
+def test_parts_keep_equal_and_nameless_items(spark):
+    bench = spark.createDataFrame([(1, "an item of some length"), (2, "an item of some length"), (None, "an item of some length"), (3, "other items are longer")], "item_id int, text string")
+    for each in (10, 1 << 20):
+        found = [row for part in decontaminate.parts_of(bench, each) for row in part.search(["here is an item of some length."])]
+        assert sorted((r[1] is None, r[1]) for r in found) == [(False, 1), (False, 2), (True, None)]
