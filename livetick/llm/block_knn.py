@@ -39,9 +39,14 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(finite & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
 
 
+#: Squares below and above these lose digits or are no number.
+_SMALL, _LARGE = 1e-280, 1e300
+
+
 class Block:
     """Vectors of one length with their 8-bit form and error norms."""
 
+    @np.errstate(over="ignore", invalid="ignore")
     def __init__(self, ids: np.ndarray, data: np.ndarray) -> None:
         self.ids, self.x = ids, data
         peak = np.abs(data).max(1)
@@ -65,27 +70,47 @@ def bounds(q: Block, c: Block) -> tuple[np.ndarray, np.ndarray]:
     dot = (q.codes.astype(kind) @ c.codes.astype(kind).T).astype(float) * q.scale[:, None] * c.scale
     slack = q.lost[:, None] * c.near_norm + q.norm[:, None] * c.lost
     square = q.norm[:, None] ** 2 + c.norm**2
-    room = 2 * slack + 1e-9 * square
-    return square - 2 * dot - room, square - 2 * dot + room
-
-
-def tile(q: Block, c: Block, k: int, worst: np.ndarray) -> Iterator[tuple[int, float, int]]:
-    """(row of the query, squared distance, candidate id) of what may be among the k nearest; `worst` is known already."""
+    room = 2 * slack + 1e-9 * square + _SMALL
+    low, high = square - 2 * dot - room, square - 2 * dot + room
+    # Squares beyond a double bound nothing; such pairs are computed.
+    lost = ~(np.isfinite(low) & np.isfinite(high))
+    low[lost], high[lost] = -np.inf, np.inf
+    return low, high
+
+
+def distances(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(square, distance) of rows to a vector. Squares out of a double's range are 0 or infinite, distances are not."""
+    gap = x - q
+    square = (gap**2).sum(1)
+    far = np.sqrt(square)
+    odd = (square < _SMALL) | (square > _LARGE)
+    if odd.any():
+        square[odd] = np.where(square[odd] < 1, 0.0, np.inf)
+        peak = np.abs(gap[odd]).max(axis=1)
+        unit = np.where((peak > 0) & np.isfinite(peak), peak, 1.0)
+        far[odd] = np.where(np.isfinite(peak), unit * np.sqrt(((gap[odd] / unit[:, None]) ** 2).sum(1)), np.inf)
+    return square, far
+
+
+@np.errstate(over="ignore", invalid="ignore")
+def tile(q: Block, c: Block, k: int, worst: np.ndarray) -> Iterator[tuple[int, tuple[float, float], int]]:
+    """(row of the query, (square, distance), candidate id) of what may be among the k nearest; `worst` is known already."""
     low, high = bounds(q, c)
     own = q.ids[:, None] == c.ids
-    low[own] = high[own] = np.inf
+    high[own] = np.inf
     limit = worst if high.shape[1] < k else np.minimum(worst, np.partition(high, k - 1, axis=1)[:, k - 1])
     for i in range(len(q.ids)):
-        near = np.flatnonzero((low[i] <= limit[i]) & np.isfinite(low[i]))
-        exact = ((c.x[near] - q.x[i]) ** 2).sum(1)
+        near = np.flatnonzero((low[i] <= limit[i]) & ~own[i])
+        square, far = distances(c.x[near], q.x[i])
         if len(near) > k:  # ties at the border go to the smaller id
-            best = np.lexsort((c.ids[near], exact))[:k]
-            near, exact = near[best], exact[best]
-        yield from zip([i] * len(near), exact.tolist(), c.ids[near].tolist(), strict=True)
+            best = np.lexsort((c.ids[near], far, square))[:k]
+            near, square, far = near[best], square[best], far[best]
+        yield from zip([i] * len(near), zip(square.tolist(), far.tolist()), c.ids[near].tolist(), strict=True)
 
 
 def packed(rows: DataFrame, blocks: int, name: str) -> DataFrame:
-    """(dim, name, ids, data): the rows in so many blocks, dealt by a hash of the id; one row per block and length."""
+    """(dim, name, ids, data): the rows in so many blocks, dealt by place and id, so that repeated rows part; one row per
+    block and length."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         ordered = pdf.sort_values("vec_id")
@@ -93,7 +118,7 @@ def packed(rows: DataFrame, blocks: int, name: str) -> DataFrame:
         return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], name: [int(pdf[name].iloc[0])],
                              "ids": [ordered["vec_id"].to_numpy("<i8").tobytes()], "data": [data.tobytes()]})
 
-    keyed = rows.select("dim", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias(name), "vec_id", "v")
+    keyed = rows.select("dim", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias(name), "vec_id", "v")
     return keyed.groupBy("dim", name).applyInPandas(pack, f"dim int, {name} int, ids binary, data binary")
 
 
@@ -114,8 +139,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFra
         at, q, heaps = None, None, []
 
         def done() -> pd.DataFrame:
-            rows = [(int(q.ids[i]), -number, -square) for i, heap in enumerate(heaps) for square, number in heap]
-            return pd.DataFrame(rows, columns=["query_id", "vec_id", "square"])
+            rows = [(int(q.ids[i]), -number, -square, -far) for i, heap in enumerate(heaps) for square, far, number in heap]
+            return pd.DataFrame(rows, columns=["query_id", "vec_id", "square", "score"])
 
         for pdf in frames:
             for row in pdf.itertuples(index=False):
@@ -125,8 +150,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFra
                     at, q = (row.dim, row.q), Block.unpack(row.q_ids, row.q_data)
                     heaps = [[] for _ in q.ids]
                 worst = np.array([-h[0][0] if len(h) == k else np.inf for h in heaps])
-                for i, square, number in tile(q, Block.unpack(row.ids, row.data), k, worst * (1 + 1e-12)):
-                    entry = (-square, -number)
+                for i, (square, far), number in tile(q, Block.unpack(row.ids, row.data), k, worst * (1 + 1e-12)):
+                    entry = (-square, -far, -number)
                     if len(heaps[i]) < k:
                         heapq.heappush(heaps[i], entry)
                     elif entry > heaps[i][0]:
@@ -135,9 +160,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFra
             yield done()
 
     tiles = candidates.join(asked, ["dim", "q", "g"]).sortWithinPartitions("dim", "q", "g")
-    found = tiles.mapInPandas(search, "query_id long, vec_id long, square double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("square", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.sqrt("square").alias("score"))
+    found = tiles.mapInPandas(search, "query_id long, vec_id long, square double, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("square", "score", "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_block_knn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,36 @@ def test_neighbours(spark, data_dir, monkeypatch):
     rows = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in table.collect()]
     got = nearest(table, table.where(F.col("vec_id") % 10 == 0))
     assert sorted((r[0], r[1], r[2], round(r[3], 9)) for r in got.collect()) == brute(rows, {i for i, _ in rows if i % 10 == 0}, 10)
+
+
+def test_neighbours_of_huge_and_tiny_vectors(spark, monkeypatch):
+    """Components whose squares leave a double's range; no finite vector is lost and no distance is infinite or 0 for that."""
+    from livetick.llm import block_knn
+
+    monkeypatch.setattr(block_knn, "CANDIDATE_BLOCK", 5)
+    rows = [(i, [s * (1 + i), -s * i * 0.5]) for i, s in enumerate([1e160, 1e160, -1e160, 1e-170, 1e-170, 3e-170, 1.0, 2.0, 1e160, 1e150, 1e-150, 4.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = nearest(frame, frame.where("vec_id % 2 = 0"), 4).collect()
+    want = []
+    for q, x in rows[::2]:
+        near = sorted((math.hypot(x[0] - v[0], x[1] - v[1]), i) for i, v in rows if i != q)[:4]
+        want += [(q, r, i, d) for r, (d, i) in enumerate(near, 1)]
+    assert sorted((r[0], r[1], r[2]) for r in got) == sorted(w[:3] for w in want)
+    assert all(abs(g[3] - w[3]) <= 1e-12 * w[3] for g, w in zip(sorted(map(tuple, got)), sorted(want), strict=True))
+
+
+def test_repeated_vectors_do_not_share_a_block(spark):
+    from livetick.llm.block_knn import packed, usable
+
+    frame = spark.range(4000).selectExpr("7L AS vec_id", "array(1D, 2D) AS embedding")
+    sizes = [len(r["ids"]) // 8 for r in packed(usable(frame), 8, "c").collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 1000
+
+
+def test_text_classes_follow_whole_values(spark):
+    from livetick.llm.hilbert_shards import text_borders
+
+    rows = spark.range(1000).selectExpr("concat('https://example.org/', lpad(id % 100, 3, '0')) AS source").union(spark.sql("SELECT CAST(NULL AS string)"))
+    borders = text_borders(rows, "source", 4)
+    assert borders == [f"https://example.org/{n:03d}" for n in (24, 49, 74)]
+    assert text_borders(rows.limit(0), "source", 4) == [] == text_borders(spark.sql("SELECT 'one' AS source"), "source", 4)
