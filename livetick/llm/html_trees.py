@@ -79,24 +79,30 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("#page", 0)]
+        #: Places in the stack of the open elements of each name, and of all block elements.
+        places: dict[str, list[int]] = {}
+        blocks, seen = [0], {"#page"}
         links, hidden, at, end = 0, 0, 0, len(source)
 
         def close(depth: int) -> None:
             nonlocal links, hidden
             while len(stack) > depth:
                 tag, node = stack.pop()
+                places[tag].pop()
                 links -= tag == "a"
                 hidden -= tag in HEAD
                 if tag in BLOCK:
+                    blocks.pop()
                     self.pieces.append((stack[-1][1], None, False))
 
+        def last(tags: set[str]) -> int:
+            """Place of the innermost open element of these names, 0 if there is none."""
+            return max((own[-1] for t in tags if (own := places.get(t))), default=0)
+
         def ended(tags: set[str], scope: set[str]) -> None:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in tags:
-                    close(i)
-                    return ended(tags, scope)
-                if stack[i][0] in scope:
-                    return None
+            """Close open elements of these names, the innermost first, that no element of the scope lies above."""
+            while (i := last(tags)) and i >= last(scope):
+                close(i)
 
         while at < end:
             found = _TOKEN.search(source, at)
@@ -108,12 +114,9 @@ class Page:
             at = found.end()
             if found[1]:
                 tag = found[1].lower()
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        close(i)
-                        break
-                    if tag not in BLOCK and stack[i][0] in BLOCK:
-                        break  # the end of an inline element that a block has already ended
+                # The end of an inline element that a block has already ended closes nothing.
+                if (i := last({tag})) and (tag in BLOCK or i > blocks[-1]):
+                    close(i)
                 continue
             if not (found[2] or found[4]):
                 if found[0].startswith("<![CDATA[") and not hidden:
@@ -126,8 +129,8 @@ class Page:
                 continue
             if tag in RAW:
                 if not attributes.rstrip().endswith("/") or tag not in ("svg", "math"):
-                    last = re.compile(f"</{tag}[\\s/>]", re.I).search(source, at)
-                    at = source.find(">", last.start()) + 1 or end if last else end
+                    close_at = re.compile(f"</{tag}[\\s/>]", re.I).search(source, at)
+                    at = source.find(">", close_at.start()) + 1 or end if close_at else end
                 self.pieces.append((stack[-1][1], " ", False))
                 continue
             if tag in BLOCK:
@@ -138,16 +141,19 @@ class Page:
                     ended(*ENDS[tag])
                 elif tag[0] == "h" and tag[1:].isdigit() and stack[-1][0][0] == "h" and stack[-1][0][1:].isdigit():
                     close(len(stack) - 1)
-                if tag in ("html", "body") and tag in self.tags:
+                if tag in ("html", "body") and tag in seen:
                     continue
+                seen.add(tag)
                 self.parents.append(stack[-1][1])
                 self.tags.append(tag)
                 words = _PART.findall(" ".join(m[1].strip("\"'") for m in _ATTRIBUTE.findall(attributes))) if attributes else ()
                 self.tokens.append(frozenset(w.lower() for w in words))
+                blocks.append(len(stack))
                 stack.append((tag, len(self.tags) - 1))
                 self.pieces.append((stack[-1][1], None, False))
             else:
                 stack.append((tag, stack[-1][1]))
+            places.setdefault(tag, []).append(len(stack) - 1)
             links += tag == "a"
             hidden += tag in HEAD
         close(1)
@@ -170,14 +176,14 @@ class Page:
 # Order of the numbers of a node.
 _OWN = "depth letters words links_share stops own_letters tags_per_word children siblings_alike place".split()
 _KIND = "bad_tag good_tag heading paragraph item list container table for_tokens against_tokens".split()
-_AROUND = "page_share from_start to_end parent_links parent_share bad_above good_above against_above for_above next_words last_words digits".split()
+_AROUND = "page_share from_start to_end parent_links parent_share bad_above good_above against_above for_above next_words last_words".split()
 FEATURES = len(_OWN) + len(_KIND) + len(_AROUND)
 
 
 def features(page: Page) -> np.ndarray:
     """The numbers of every node, in document order."""
     n = len(page.tags)
-    letters, words, link, stops, own, digits = (np.zeros(n) for _ in range(6))
+    letters, words, link, stops, own = (np.zeros(n) for _ in range(5))
     first = np.full(n, -1.0)
     seen = 0.0
     for node, piece, linked in page.pieces:
@@ -230,7 +236,7 @@ def features(page: Page) -> np.ndarray:
             tag in ("ul", "ol", "dl"), tag in ("div", "section"), tag in ("table", "tr", "td", "th"), kind_for, against,
             letters[i] / total, start, 1 - start - letters[i] / total,
             link[p] / max(letters[p], 1) if p >= 0 else 0, letters[i] / max(letters[p], 1) if p >= 0 else 1,
-            *up, np.log1p(words[after]) if after else 0, np.log1p(words[before]) if before else 0, 0.0,
+            *up, np.log1p(words[after]) if after else 0, np.log1p(words[before]) if before else 0,
         )
         above[i] = (up[0] or bad, up[1] or good, up[2] + against, up[3] + kind_for)
     return rows

@@ -147,3 +147,16 @@ def test_language_model(spark, odd, none, documents, monkeypatch):
     empty = kn_lm.learn(none)
     assert [r["score"] for r in kn_lm.scored(odd.where("doc_id = 2"), empty).collect()] == [0.0]
     assert kn_lm.scored(none, empty).count() == 0
+
+
+@pytest.mark.parametrize("piece", ["<div><span>", "<p><button><div>", "</p><div>x", "</b><i>", "<li><a>x</li>", "<body><span>", "<table><tr><td><p>"])
+def test_badly_closed_pages_are_read_in_linear_time(piece):
+    import time
+
+    times = []
+    for n in (2000, 8000):
+        start = time.process_time()
+        page = html_trees.Page(piece * n + "</p>" * n + "<p>end</p>")
+        times.append(time.process_time() - start)
+        assert "end" in page.text(np.ones(len(page.tags), bool))
+    assert times[1] < 8 * times[0] + 0.2
