@@ -1,8 +1,7 @@
 """Shards as runs of a Hilbert curve over document metadata, in DataFrame functions alone.
 
-Source, language, size and id are each cut at equally filled quantiles into `2^BITS - 1` classes, nulls being one
-more; a document's place on the
-Hilbert curve through those classes, then its id and text hash, orders all rows. The order is cut into runs of equal
+Source, language, size and id are each cut, texts by whole values, at equally filled quantiles into `2^BITS - 1`
+classes, nulls being one more; a document's place on the Hilbert curve through those classes, then its id and text hash, orders all rows. The order is cut into runs of equal
 row counts (law `rows`), so that every shard covers a small box in several dimensions at once and files can be
 skipped by any of them. Ranks come from a range-partitioned, checkpointed order: rows are numbered within parts, and
 parts are moved by the counts of those before them.
@@ -14,7 +13,7 @@ columns are ignored. More shards than rows leaves shards empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,12 +25,22 @@ ROW_BYTES = 8
 DIMENSIONS = ["source", "lang", "size", "doc_id"]
 
 
-def sortable(column: str, kind: T.DataType) -> Column:
-    """A number in the order of the column; of a text the first six bytes."""
-    if isinstance(kind, T.StringType):
-        head = F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("long")
-    return F.col(column).cast("double")
+def text_borders(rows: DataFrame, column: str, classes: int) -> list[str]:
+    """Ascending values that cut a text column, by whole values, into about equally filled classes.
+
+    Rows are counted by value, values are ordered in range partitions, and a value is a border if the rows up to it
+    reach another of the equal shares; the driver sees borders only.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    placed = cut(counts.repartitionByRange(parts, "v").withColumn("p", F.spark_partition_id()))
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("p").agg(F.sum("n").alias("t")).select(
+        "p", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("ahead"), F.sum("t").over(Window.partitionBy()).alias("total"))
+    upto = F.sum("n").over(Window.partitionBy("p").orderBy("v")) + F.col("ahead")
+    found = placed.join(sums, "p").withColumn("upto", upto).where(
+        f"upto < total AND upto * {classes} DIV total > (upto - n) * {classes} DIV total").select("v").orderBy("v").collect()
+    return [r["v"] for r in found]
 
 
 def hilbert_index(df: DataFrame, axes: list[str], bits: int, to: str) -> DataFrame:
@@ -69,12 +78,14 @@ def sharded(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, dimensions:
     rows = docs.select("doc_id", *[c for c in dimensions if c not in ("size", "doc_id")],
                        (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     kinds = dict(zip(rows.columns, [f.dataType for f in rows.schema.fields], strict=True))
-    numbers = {d: sortable(d, kinds[d]) for d in dimensions}
+    texts = [d for d in dimensions if isinstance(kinds[d], T.StringType)]
+    values = {d: F.col(d) if d in texts else F.col(d).cast("double") for d in dimensions}
     last = (1 << bits) - 1
     shares = [i / last for i in range(1, last)]
-    borders = rows.agg(*[F.array_distinct(F.percentile_approx(v, shares)).alias(d) for d, v in numbers.items()]).first()
+    quantiles = [F.array_distinct(F.percentile_approx(v, shares)).alias(d) for d, v in values.items() if d not in texts]
+    borders = (rows.agg(*quantiles).first().asDict() if quantiles else {}) | {d: text_borders(rows, d, last) for d in texts}
     classes = rows
-    for d, v in numbers.items():
+    for d, v in values.items():
         over = [(v > b).cast("int") for b in borders[d] or []]
         classes = classes.withColumn(f"_class_{d}", F.when(v.isNull(), 0).otherwise(sum(over, F.lit(1))))
     keyed = hilbert_index(classes, [f"_class_{d}" for d in dimensions], bits, "curve")
