@@ -6,8 +6,8 @@ classes together, so that an expression neither class has shown is smoothed alik
 log-likelihoods of a word are compared after division by its length. A document is judged by its largest three word
 ratios, by what its words have above a mild ratio and by its mean ratio, through a logistic curve fitted on labelled rows the models have not seen.
 
-The fit reads at most `SAMPLE` labelled documents outside the held-out fold (those first by a hash of the id) and
-keeps at most `GRAMS` n-grams, the most frequent ones; both bounds are parameters. Every text is scored whole.
+The fit reads at most `SAMPLE` labelled documents outside the held-out fold (those first by a hash of the id), a bound
+that is a parameter, and keeps all their n-grams. Every text is scored whole.
 
 Results for odd rows: a null or empty text, or one without words, has ratios 0; a null id is scored and returned;
 repeated rows are scored one by one; an empty table gives no rows; columns other than id and text are ignored by
@@ -31,7 +31,6 @@ from livetick.llm.common import agreed_labels, batches, fold, mix, sampled, tabl
 FOLDS, HELD_OUT, CUTOFF = 3, 1, 0.7
 ORDER, SHARED = 5, 1
 SAMPLE = 30_000
-GRAMS = 600_000
 #: One labelled row in so many is kept from the counts for the logistic curve.
 CURVE = 4
 BATCH = 256
@@ -274,7 +273,7 @@ class Scorer:
         return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, grams: int = GRAMS) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Scorer:
     """Count both models in Spark over the sampled labelled documents and fit the curve on those set apart."""
     learn = agreed_labels(labels.where(fold("doc_id", FOLDS) != HELD_OUT), label)
     picked = sampled(learn, sample, "doc_id")
@@ -282,7 +281,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     # At most `sample` small rows, so that the texts stay where they are.
     known = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "label", apart.alias("apart"))
     counted = gram_counts(word_counts(known.where(~F.col("apart"))))
-    kept = counted.orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "gram").limit(grams).toArrow()
+    # All n-grams of the sample: those that are rare in it are what is smoothed.
+    kept = counted.orderBy("gram").toArrow()
     counts = np.stack([kept.column("toxic").to_numpy(), kept.column("ordinary").to_numpy()], 1)
     tally = {r["label"]: r["n"] for r in picked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = tally.get(1, 0) / max(sum(tally.values()), 1)
