@@ -281,7 +281,9 @@ def learn(docs: DataFrame) -> Model:
         hashes = mix(keys)
         order = np.argsort(hashes)
         save(f"{folder}/pairs-{bucket}", hashes[order])
-        save(f"{folder}/paircounts-{bucket}", np.minimum(counts[order], 0xFFFFFFFF).astype("<u4"))
+        if len(counts) and counts.max() > 0xFFFFFFFF:
+            raise ValueError("a pair of words occurs more often than its four bytes hold")
+        save(f"{folder}/paircounts-{bucket}", counts[order].astype("<u4"))
         rows = [("pairs", bucket, b"", [len(keys), *marks_of(counts)])]
         front, last = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
         ones = [(counts == 1).astype(np.uint64), (counts == 2).astype(np.uint64), (counts >= 3).astype(np.uint64)]
