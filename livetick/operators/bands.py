@@ -67,10 +67,20 @@ def anomaly_feed(ticks: DataFrame, sigma: float, n: int = 20) -> DataFrame:
     )
 
 
-def wide_by_time(rows: DataFrame, hosts: list[str], columns: list[str]) -> DataFrame:
-    """One row per time with a column per host and value, for a chart; a host outside the list is refused."""
-    listed = F.when(F.col("host").isin(hosts), F.col("host")).otherwise(F.raise_error(F.concat(F.lit("host without a column: "), F.col("host"))))
-    return rows.withColumn("host", listed).groupBy("ts_us").pivot("host", hosts).agg(*[F.first(c).alias(c) for c in columns])
+#: Columns of a wide table; a chart with more hosts takes the long form.
+WIDE_HOSTS = 500
+
+
+def wide_by_time(rows: DataFrame, hosts: list[str], columns: list[str], most: int = WIDE_HOSTS) -> DataFrame:
+    """One row per time with a column per host and value, for a chart.
+
+    The declared hosts come first, with or without rows; hosts only the data know follow by name. Their names are
+    read before the table is built, as they become columns; more than ``most`` are refused.
+    """
+    others = [r["host"] for r in rows.select("host").distinct().filter(F.col("host").isNotNull() & ~F.col("host").isin(hosts)).orderBy("host").limit(most + 1).collect()]
+    if len(hosts) + len(others) > most:
+        raise ValueError(f"more than {most} hosts do not become columns")
+    return rows.groupBy("ts_us").pivot("host", [*hosts, *others]).agg(*[F.first(c).alias(c) for c in columns])
 
 
 def axis_domain(rows: DataFrame, columns: list[str], y_min: float | None = None,

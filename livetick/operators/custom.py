@@ -1,4 +1,4 @@
-"""User functions: reducers over value lists, and a function per host.
+"""User functions: reducers over value lists, and a function per host or sub-series.
 
 A reducer given as three small functions runs on any group size: each task folds
 its own rows, and only its folded states are shuffled.
@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, types as T
 
+from livetick.operators.running import ranked
+
 
 def custom_reduce(
     df: DataFrame,
@@ -68,13 +70,28 @@ def custom_reduce(
     return folded.repartition(parts, key).sortWithinPartitions(key).mapInPandas(merge, f"`{key}` {key_type}, `{out}` double")
 
 
+def series_apply(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str,
+                 rows: int = 100_000, chunk_rows: int = 1_000_000) -> DataFrame:
+    """Call ``fn`` once on each sub-series of ``rows`` consecutive events of a host, in order of arrival.
+
+    The function sees the columns of ``df`` and ``part``, the number of the sub-series, and need not be mergeable.
+    Positions within a host come from chunk totals, so a call holds ``rows`` events at most, however many a host has.
+    """
+    placed = ranked(df, [key], "seq", chunk_rows).selectExpr(*df.columns, f"(rn - 1) div {rows} AS part")
+
+    def call(pdf: pd.DataFrame) -> pd.DataFrame:
+        return fn(pdf.sort_values("seq").reset_index(drop=True))
+
+    return placed.groupBy(key, "part").applyInPandas(call, schema)
+
+
 def partition_apply(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], pd.DataFrame],
                     schema: T.StructType | str) -> DataFrame:
     """Call ``fn`` once on all rows of each host, in arrival order.
 
     All rows of a host lie in one task as one pandas frame, so a host is bounded by a worker's
     memory: a few million rows. Where the function can be merged from parts, use
-    `custom_reduce`, for medians `rollups.middles`; neither gathers a host.
+    `custom_reduce`, for medians `rollups.middles`, for sub-series of a stated length `series_apply`; none gathers a host.
     """
     def call(pdf: pd.DataFrame) -> pd.DataFrame:
         return fn(pdf.sort_values("seq").reset_index(drop=True))

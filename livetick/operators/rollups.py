@@ -23,9 +23,21 @@ def tail(events: DataFrame, window: str | int) -> DataFrame:
 def reduce_by(df: DataFrame, keys: list[str], **outputs: tuple[str, str]) -> DataFrame:
     """Several named reductions in one pass: ``name=(column, reducer)``.
 
-    Reducers: avg, stdev, count, sum, min, max, and keep (the value if all agree, else null).
+    Reducers: avg, stdev, count, sum, min, max, keep (the value if all agree, else null), first and last (in order of
+    ``seq``), unique (distinct values, ascending), top3 and the like (the largest values, descending), and samples (all
+    values, ascending; for keys that bound a group, such as host and tick). Null values never count.
     """
-    return df.groupBy(*keys).agg(*[_REDUCERS[fn](F.col(col)).alias(name) for name, (col, fn) in outputs.items()])
+    tops = {name: (col, int(fn[3:])) for name, (col, fn) in outputs.items() if fn.startswith("top")}
+    plain = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[
+        _REDUCERS[fn](F.col(col)).alias(name) for name, (col, fn) in outputs.items() if name not in tops])
+    for i, (name, (col, n)) in enumerate(tops.items()):
+        # Ranked before the shuffle as well, so a task sends at most n rows of a group.
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(col).desc()))
+        best = df.filter(F.col(col).isNotNull()).select(*keys, col).withColumn("_rank", rank).filter(F.col("_rank") <= n)
+        best = best.groupBy(*[F.col(k).alias(f"_{i}_{k}") for k in keys]).agg(F.sort_array(F.collect_list(col), asc=False).alias(name))
+        same = [F.col(k).eqNullSafe(F.col(f"_{i}_{k}")) for k in keys]
+        plain = plain.join(best, same, "left").withColumn(name, F.coalesce(name, F.array().cast(best.schema[name].dataType)))
+    return plain.select(*keys, *outputs)
 
 
 _REDUCERS = {
@@ -36,6 +48,10 @@ _REDUCERS = {
     "min": F.min,
     "max": F.max,
     "keep": lambda c: F.when(F.min(c) == F.max(c), F.min(c)),
+    "first": lambda c: F.min_by(c, F.when(c.isNotNull(), F.col("seq"))),
+    "last": lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("seq"))),
+    "unique": lambda c: F.sort_array(F.collect_set(c)),
+    "samples": lambda c: F.sort_array(F.collect_list(c)),
 }
 
 
@@ -132,9 +148,8 @@ def weighted_rollup(ticks: DataFrame, tick: str | int, window: str | int) -> Dat
     parts = ticks.filter("cpu_n > 0").selectExpr(
         "host", f"{grid('ts_us', step)} AS k", "cpu_n AS n", "cpu_avg AS mean", "0D AS m2",
     )
-    rolled = sliding_moments(parts, ["host"], duration_us(window) // step)
-    held = parts.select("host", "k").join(rolled, ["host", "k"])
-    return held.selectExpr(f"k * {step}L AS ts_us", "host", "mean AS weighted_avg", "n AS weight")
+    rolled = sliding_moments(parts, ["host"], duration_us(window) // step, filled_only=True)
+    return rolled.selectExpr(f"k * {step}L AS ts_us", "host", "mean AS weighted_avg", "n AS weight")
 
 
 def page_summary(events: DataFrame, retain: str | int, rate_window: str | int) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from livetick.functions.sigma import beyond
 from livetick.functions.timecols import duration_us, grid
-from livetick.operators.grid import next_in_key
+from livetick.operators.grid import next_in_key, steps
+from livetick.operators.running import ranked
 from livetick.operators.sliding import deviation, moments_by, sliding_moments
 from livetick.schema import DEFAULT_THRESHOLDS
 
@@ -107,10 +108,10 @@ def _fill_silent(ticks: DataFrame, step: int, n_thresholds: int) -> DataFrame:
     end = ticks.agg(F.max("ts_us")).scalar()
     ahead = next_in_key(ticks.select("host", "ts_us"), ["host"], "ts_us", step * 100_000, "_next")
     zeros = f"array_repeat(0L, {n_thresholds})"
-    gaps = ahead.withColumn("_last", F.coalesce(F.expr(f"_next - {step}L"), end)).filter(
-        f"ts_us + {step}L <= _last",
-    ).selectExpr(
-        f"explode(sequence(ts_us + {step}L, _last, {step}L)) AS ts_us", "host",
+    spans = ahead.withColumn("_last", F.coalesce(F.expr(f"_next - {step}L"), end)).selectExpr(
+        "host", f"ts_us div {step}L + 1 AS _low", f"_last div {step}L AS _high")
+    gaps = steps(spans, "_low", "_high", "k").selectExpr(
+        f"k * {step}L AS ts_us", "host",
         "CAST(NULL AS double) AS cpu_avg", "CAST(NULL AS double) AS cpu_sd", "0L AS cpu_n", "0L AS n_current",
         f"{zeros} AS anomalies_above", f"{zeros} AS anomalies_below",
     )
@@ -118,15 +119,15 @@ def _fill_silent(ticks: DataFrame, step: int, n_thresholds: int) -> DataFrame:
 
 
 def slice_samples(events: DataFrame, tick: str | int, part_rows: int = 10_000) -> DataFrame:
-    """The full sample list of each host and tick, in parts of about ``part_rows`` samples.
+    """The full sample list of each host and tick, in parts of ``part_rows`` samples in order of arrival.
 
-    The number of parts follows the slice's count, so a slice of any size is kept
-    whole without building one array of it. Part 0 is the only one of a small slice.
+    Part p holds the samples of ranks from ``p * part_rows`` on, so a slice of any size is kept whole without one
+    array of it, and its parts are the same however the table is cut. Null readings have no rank.
     """
     step = duration_us(tick)
-    rows = events.filter("host IS NOT NULL AND ts IS NOT NULL").selectExpr("*", f"{grid('ts_us', step)} AS k")
+    rows = events.filter("host IS NOT NULL AND ts IS NOT NULL").selectExpr("host", "seq", "cpu", f"{grid('ts_us', step)} AS k")
     counts = rows.groupBy("host", "k").agg(F.count("cpu").alias("n_current"))
-    return rows.join(counts, ["host", "k"]).selectExpr(
-        "host", f"(k + 1) * {step}L AS ts_us", "n_current", "cpu",
-        f"pmod(xxhash64(seq), greatest(1L, ceil(n_current / {part_rows}))) AS part",
-    ).groupBy("host", "ts_us", "n_current", "part").agg(F.sort_array(F.collect_list("cpu")).alias("samples"))
+    placed = ranked(rows.filter("cpu IS NOT NULL"), ["host", "k"], "seq")
+    parts = placed.groupBy("host", "k", F.expr(f"(rn - 1) div {part_rows} AS part")).agg(F.sort_array(F.collect_list("cpu")).alias("samples"))
+    return counts.join(parts, ["host", "k"], "left").selectExpr(
+        "host", f"(k + 1) * {step}L AS ts_us", "n_current", "coalesce(part, 0L) AS part", "coalesce(samples, array()) AS samples")

@@ -20,7 +20,7 @@ EVENT = [
     "batch_unpack", "frame_roundtrip", "snapshot_frame", "schema_contract", "required_null_quarantine",
     "enabled_hosts", "host_discovery", "high_cpu_alerts", "host_rollup", "host_tail_avg", "rolling_tail_avg",
     "event_rate", "alert_bars", "keep_topn", "first_last", "last_events", "page_summary", "custom_reducer",
-    "host_apply", "event_baseline", "event_outliers", "event_rolling", "event_rolling_median", "ema_requests", "ema_trend", "total_req_rate",
+    "host_apply", "series_apply", "slice_reducers", "event_baseline", "event_outliers", "event_rolling", "event_rolling_median", "ema_requests", "ema_trend", "total_req_rate",
     "back_window", "retention", "late_filter", "snapshot_append_merge", "snapshot_from_empty", "timed_points", "grid_fill", "fifo_latency",
     "fifo_residual", "latency_percentiles", "pause_rollup", "batch_stats", "egress_bytes", "phase_breakdown",
 ]

@@ -62,7 +62,7 @@ def count_at_sigma_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wide_by_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = B.bands(inputs.ticks(spark, sf_dir), S.SIGMA, S.MIN_SAMPLES)
-    wide = B.wide_by_time(rows, S.ALL_HOSTS, ["smooth", "upper", "lower"])
+    wide = B.wide_by_time(rows, S.HOSTS, ["smooth", "upper", "lower"])
     return wide.selectExpr(ms(), *[num(f"{h}_{c}") for h in S.ALL_HOSTS for c in ("smooth", "upper", "lower")])
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from livetick.functions.timecols import grid as grid_of
+from livetick.functions.timecols import duration_us, grid as grid_of
 from livetick.operators import baseline, custom, grid, hosts, ordering, rolling, rolling_ranks, rollups, smoothing, telemetry
 from livetick.plans import inputs, settings as S
 from livetick.plans.shape import flat, ms, num
@@ -27,7 +28,7 @@ def frame_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw and aggregate frames on one channel; the raw reader keeps its own types only."""
     events = read_events(spark, sf_dir)
     raw = frames.append_frames(frames.event_batches(events, S.BATCH_ROWS)).select("frame")
-    other = frames.aggregate_frames(inputs.ticks(spark, sf_dir)).select("frame")
+    other = frames.empty_aggregate_snapshot(spark).select("frame")
     return frames.decode_events(raw.unionByName(other)).select("type", "time_ms", "cpu", "requests", "host")
 
 
@@ -135,6 +136,27 @@ def host_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.selectExpr("host", num("mid", "median"), num("high - low", "spread"), "n")
 
 
+def series_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user function of each sub-series that cannot be merged from parts: median and longest run that never falls."""
+    def shape(pdf: pd.DataFrame) -> pd.DataFrame:
+        run = (pdf["cpu"].diff() < 0).cumsum()
+        return pd.DataFrame({"host": pdf["host"][:1], "part": pdf["part"][:1], "n": [len(pdf)], "first_seq": pdf["seq"][:1],
+                             "median": [pdf["cpu"].median()], "longest_rise": [run.value_counts().max()]})
+
+    rows = custom.series_apply(read_events(spark, sf_dir).select("seq", "host", "cpu"), "host", shape,
+                               "host string, part bigint, n bigint, first_seq bigint, median double, longest_rise bigint", S.SERIES_ROWS)
+    return rows.selectExpr("host", "part", "n", "first_seq", num("median"), "longest_rise")
+
+
+def slice_reducers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The named output map of a tick's slice with the reducers that return values or lists of them."""
+    rows = read_events(spark, sf_dir).withColumn("k", F.expr(grid_of("ts_us", duration_us(S.TICK))))
+    reduced = rollups.reduce_by(
+        rows, ["host", "k"], n=("cpu", "count"), requests=("requests", "unique"), samples=("cpu", "samples"), top=("cpu", "top2"),
+        first_cpu=("cpu", "first"), last_cpu=("cpu", "last"), cpu_avg=("cpu", "avg"))
+    return reduced.selectExpr("host", "k", "n", flat("requests"), flat("samples"), flat("top"), "first_cpu", "last_cpu", num("cpu_avg"))
+
+
 # -- rolling and ordered ------------------------------------------------------------
 
 def event_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:

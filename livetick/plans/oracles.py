@@ -163,8 +163,10 @@ def oracle_sql() -> dict[str, str]:
         "host_ticks_lineitem": _q(_ticks(S.LINE_TICK, S.LINE_BASE, LI), f"SELECT {TICK_ROW} FROM ticks"),
         "host_ticks_silent": _silent(),
         "slice_samples": _q(slices, """
-SELECT t // 1000 AS ts_ms, host, CAST(0 AS BIGINT) AS part, count(*) AS n_current,
-  array_to_string(list_sort(list(cpu)), ',') AS samples FROM sl GROUP BY t, host"""),
+SELECT t // 1000 AS ts_ms, host, CAST(rn // """ + str(S.PART_ROWS) + """ AS BIGINT) AS part, any_value(n) AS n_current,
+  array_to_string(list_sort(list(cpu)), ',') AS samples
+FROM (SELECT *, row_number() OVER (PARTITION BY t, host ORDER BY seq) - 1 AS rn, count(*) OVER (PARTITION BY t, host) AS n FROM sl) GROUP BY ALL""".replace(
+            "GROUP BY ALL", "GROUP BY t, host, rn // " + str(S.PART_ROWS))),
         "tick_extremes": _q(slices, "SELECT t // 1000 AS ts_ms, host, min(cpu) AS cpu_min, max(cpu) AS cpu_max FROM cl GROUP BY t, host"),
         "tick_requests": _q(slices, f"""
 SELECT t // 1000 AS ts_ms, host, {_num('avg(requests)', 'requests_avg')},
@@ -223,11 +225,12 @@ SELECT seq // {S.BATCH_ROWS} AS part, 'snapshot' AS type, count(*) AS n_rows, mi
   max(ts_us // 1000) AS last_ms, {_num('sum(cpu)', 'cpu_sum')}
 FROM ev WHERE ts_us > {END} - {duration_us(S.KEEP)} GROUP BY 1"""),
         "schema_contract": """
-SELECT count(*) OVER () * 0 + n AS n_rows, pos, field, kind AS declared_kind, kind AS actual_kind, n_null, n_null = 0 AS ok
-FROM (SELECT count(*) AS n, count(*) FILTER (event_id IS NULL) AS a, count(*) FILTER (ts IS NULL) AS b,
+SELECT n AS n_rows, pos, field, kind AS declared_kind, kind AS actual_kind, spot AS actual_pos, n_null,
+  spot > coalesce(lag(spot) OVER (ORDER BY pos), -1) AS in_order, n_null = 0 AND spot > coalesce(lag(spot) OVER (ORDER BY pos), -1) AS ok
+FROM (SELECT *, list_position((SELECT list(column_name) FROM (DESCRIBE SELECT * FROM events)), field) - 1 AS spot FROM (SELECT count(*) AS n, count(*) FILTER (event_id IS NULL) AS a, count(*) FILTER (ts IS NULL) AS b,
   count(*) FILTER (event_type IS NULL) AS c, count(*) FILTER (value IS NULL) AS d FROM events),
 LATERAL (VALUES (CAST(0 AS BIGINT), 'event_id', 'number', a), (1, 'ts', 'time', b), (2, 'event_type', 'string', c),
-  (3, 'value', 'number', d)) AS v(pos, field, kind, n_null)""",
+  (3, 'value', 'number', d)) AS v(pos, field, kind, n_null))""",
         "required_null_quarantine": _q(EV, """
 SELECT seq, CASE WHEN cpu = 0 OR requests = 0 THEN 'quarantine' ELSE 'good' END AS status,
   concat_ws(',', CASE WHEN cpu = 0 THEN 'cpu' END, CASE WHEN requests = 0 THEN 'requests' END) AS missing FROM ev"""),
@@ -256,6 +259,17 @@ SELECT count(*) FILTER (ts_us > {END} - {duration_us(S.KEEP)}) AS retained,
   count(*) FILTER (ts_us <= {END} - {duration_us(S.KEEP)}) AS evicted FROM ev"""),
         "custom_reducer": _q(EV, f"SELECT host, {_num('sqrt(avg(cpu * cpu))', 'cpu_rms')} FROM ev GROUP BY host"),
         "host_apply": _q(EV, f"SELECT host, {_num('quantile_cont(cpu, 0.5)', 'median')}, {_num('max(cpu) - min(cpu)', 'spread')}, count(*) AS n FROM ev GROUP BY host"),
+        "series_apply": _q(EV + f""",
+p AS (SELECT *, (row_number() OVER (PARTITION BY host ORDER BY seq) - 1) // {S.SERIES_ROWS} AS part FROM ev),
+d AS (SELECT *, CASE WHEN cpu < lag(cpu) OVER (PARTITION BY host, part ORDER BY seq) THEN 1 ELSE 0 END AS falls FROM p),
+r AS (SELECT *, sum(falls) OVER (PARTITION BY host, part ORDER BY seq) AS run FROM d),
+l AS (SELECT host, part, max(c) AS longest FROM (SELECT host, part, run, count(*) AS c FROM r GROUP BY ALL) GROUP BY host, part)""", f"""
+SELECT p.host, CAST(p.part AS BIGINT) AS part, count(*) AS n, min(seq) AS first_seq, {_num('quantile_cont(cpu, 0.5)', 'median')},
+  any_value(longest) AS longest_rise FROM p JOIN l ON l.host = p.host AND l.part = p.part GROUP BY p.host, p.part"""),
+        "slice_reducers": _q(EV, f"""
+SELECT host, ts_us // {_H} AS k, count(*) AS n, array_to_string(list_sort(list(DISTINCT requests)), ',') AS requests,
+  array_to_string(list_sort(list(cpu)), ',') AS samples, array_to_string(list_sort(list(cpu), 'DESC')[1:2], ',') AS top,
+  arg_min(cpu, seq) AS first_cpu, arg_max(cpu, seq) AS last_cpu, {_num('avg(cpu)', 'cpu_avg')} FROM ev GROUP BY host, ts_us // {_H}"""),
         "event_baseline": _q(BASELINE, f"""
 SELECT seq, ts_us // 1000 AS ts_ms, host, cpu, window_n, {_num('avg')}, {_num('sd')}, {_num('upper')}, {_num('lower')} FROM bl"""),
         "event_outliers": _q(BASELINE, f"""

@@ -16,6 +16,8 @@ SIGMA = 1.25
 SIGMAS = [0.5, 1.0, 1.25, 1.75, 2.5, 3.5]
 MIN_SAMPLES = 30
 BATCH_ROWS = 100
+PART_ROWS = 5  # samples of a slice in one part
+SERIES_ROWS = 250  # events of a sub-series a user function sees
 ALPHA_REQUESTS, ALPHA_TREND, WARM_UP = 0.25, 0.3, 12
 HELD_BACK = 150.0
 

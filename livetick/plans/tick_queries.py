@@ -47,7 +47,7 @@ def host_ticks_silent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slice_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples_of(read_events(spark, sf_dir), S.TICK).selectExpr(
+    return samples_of(read_events(spark, sf_dir), S.TICK, S.PART_ROWS).selectExpr(
         ms(), "host", "part", "n_current", flat("samples"),
     )
 

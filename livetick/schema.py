@@ -94,10 +94,12 @@ def contract_differences(declared: T.StructType, wire: T.StructType) -> list[tup
 def contract_report(df: DataFrame, declared: T.StructType) -> DataFrame:
     """Check a table against a declared schema: one row per declared field.
 
-    Names and kinds come from the table's schema; the null count of each field
-    comes from one pass over the data, since a required field must hold none.
+    Names, kinds and positions come from the table's schema; the null count of each field
+    comes from one pass over the data, since a required field must hold none. The table may
+    have further fields, but the declared ones must follow each other as declared.
     """
     actual = {f.name: f for f in df.schema.fields}
+    places = {f.name: i for i, f in enumerate(df.schema.fields)}
     nulls = df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         *[
@@ -110,12 +112,16 @@ def contract_report(df: DataFrame, declared: T.StructType) -> DataFrame:
         got = kind_of(actual[field.name].dataType) if field.name in actual else "missing"
         want = kind_of(field.dataType)
         n_null = F.col(f"nulls_{field.name}")
+        before = [places[f.name] for f in declared.fields[:pos] if f.name in places]
+        ordered = field.name in places and places[field.name] > max(before, default=-1)
         rows.append(F.struct(
             F.lit(pos).cast("bigint").alias("pos"),
             F.lit(field.name).alias("field"),
             F.lit(want).alias("declared_kind"),
             F.lit(got).alias("actual_kind"),
+            F.lit(places.get(field.name)).cast("bigint").alias("actual_pos"),
             n_null.alias("n_null"),
-            (F.lit(want == got) & (F.lit(field.nullable) | (n_null == 0))).alias("ok"),
+            F.lit(ordered).alias("in_order"),
+            (F.lit(want == got and ordered) & (F.lit(field.nullable) | (n_null == 0))).alias("ok"),
         ))
     return nulls.select("n_rows", F.inline(F.array(*rows)))

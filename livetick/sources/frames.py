@@ -57,9 +57,19 @@ def _wire_tick() -> Column:
     )
 
 
-def aggregate_frames(ticks: DataFrame) -> DataFrame:
-    """One frame per tick boundary, its rows one per host in name order."""
-    return ticks.groupBy("ts_us").agg(
+#: Hosts of one aggregate frame; a boundary with more of them has several frames.
+FRAME_HOSTS = 1_000
+
+
+def _with_part(ticks: DataFrame, hosts_each: int) -> DataFrame:
+    """Deal the hosts of each boundary to parts of about ``hosts_each``, by the number of all hosts."""
+    parts = ticks.agg(F.expr(f"greatest(1L, bigint(ceil(count(DISTINCT host) / {hosts_each}D)))")).scalar()
+    return ticks.withColumn("part", F.pmod(F.xxhash64("host"), parts))
+
+
+def aggregate_frames(ticks: DataFrame, hosts_each: int = FRAME_HOSTS) -> DataFrame:
+    """Frames of each tick boundary, their rows one per host in name order; about ``hosts_each`` hosts a frame."""
+    return _with_part(ticks, hosts_each).groupBy("ts_us", "part").agg(
         F.array_sort(F.collect_list(F.struct("host", _wire_tick().alias("row")))).alias("_rows")
     ).select(
         "ts_us",
@@ -68,10 +78,10 @@ def aggregate_frames(ticks: DataFrame) -> DataFrame:
     )
 
 
-def aggregate_snapshot(history: DataFrame, thresholds: tuple[float, ...] = DEFAULT_THRESHOLDS) -> DataFrame:
-    """Snapshot frames of a tick history, one per boundary, each with the threshold list."""
+def aggregate_snapshot(history: DataFrame, thresholds: tuple[float, ...] = DEFAULT_THRESHOLDS, hosts_each: int = FRAME_HOSTS) -> DataFrame:
+    """Snapshot frames of a tick history, by boundary and part of the hosts, each with the threshold list."""
     at = F.array(*[F.lit(t) for t in thresholds])
-    return history.groupBy("ts_us").agg(
+    return _with_part(history, hosts_each).groupBy("ts_us", "part").agg(
         F.array_sort(F.collect_list(F.struct("host", _wire_tick().alias("row")))).alias("_rows")
     ).select(
         "ts_us", frame_text("aggregate-snapshot", F.transform("_rows", lambda r: r["row"]), at).alias("frame"),
