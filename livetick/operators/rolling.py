@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from livetick.functions.timecols import duration_us, grid, grid_start
 from livetick.operators.baseline import BUCKETS, bucket_step
+from livetick.operators.ranks import CHUNKS, borders, with_chunk
 
 Folds = dict[str, tuple[str, str]]
 
@@ -62,7 +63,7 @@ def sliding_folds(buckets: DataFrame, keys: list[str], width: int, folds: dict[s
     ).filter(f"p <= _last AND ({some})").selectExpr(*keys, "explode(sequence(p, _last)) AS k", *folds)
 
 
-def trailing_folds(events: DataFrame, window: str | int, folds: Folds, buckets: int = BUCKETS) -> DataFrame:
+def trailing_folds(events: DataFrame, window: str | int, folds: Folds, buckets: int = BUCKETS, chunks: int = CHUNKS) -> DataFrame:
     """Folds of (t - window, t] for every distinct (host, ts_us)."""
     w = duration_us(window)
     step = bucket_step(w, buckets)
@@ -73,14 +74,22 @@ def trailing_folds(events: DataFrame, window: str | int, folds: Folds, buckets:
         struct(ts_us, false AS probe, {', '.join(folds)}),
         struct(ts_us - {w}L AS ts_us, true AS probe, {', '.join(f'NULL AS {m}' for m in folds)})))""",
     ).selectExpr("*", f"{grid('ts_us', step)} AS k")
-    upto = "(PARTITION BY host, k ORDER BY ts_us, probe ROWS UNBOUNDED PRECEDING)"
+    rows = with_chunk(rows, "ts_us", borders(events, "ts_us", chunks))
+    group = "PARTITION BY host, k, _chunk"
+    upto = f"({group} ORDER BY ts_us, probe ROWS UNBOUNDED PRECEDING)"
     # Read backwards, a probe comes before data of its own instant, which lies outside the window.
-    after = "(PARTITION BY host, k ORDER BY ts_us DESC, probe DESC ROWS UNBOUNDED PRECEDING)"
-    ends = rows.selectExpr("*", *[f"{fn}({m}) OVER {upto} AS _u{m}" for m, fn in kinds.items()]).selectExpr(
-        "*", *[f"{fn}({m}) OVER {after} AS _a{m}" for m, fn in kinds.items()],
-    ).selectExpr(
+    after = f"({group} ORDER BY ts_us DESC, probe DESC ROWS UNBOUNDED PRECEDING)"
+    local = rows.selectExpr(
+        "*", f"lead(1) OVER ({group} ORDER BY ts_us, probe) AS _next", *[f"{fn}({m}) OVER {upto} AS _u{m}" for m, fn in kinds.items()],
+    ).selectExpr("*", *[f"{fn}({m}) OVER {after} AS _a{m}" for m, fn in kinds.items()])
+    # What the bucket's other chunks hold, before a row's own and behind it.
+    before, behind = (f"(PARTITION BY host, k ORDER BY _chunk {way} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)" for way in ("ASC", "DESC"))
+    carry = local.filter("_next IS NULL").selectExpr(
+        "host", "k", "_chunk", *[f"{fn}(_u{m}) OVER {before} AS _cu{m}" for m, fn in kinds.items()],
+        *[f"{fn}(_u{m}) OVER {behind} AS _ca{m}" for m, fn in kinds.items()])
+    ends = local.join(carry, ["host", "k", "_chunk"]).selectExpr(
         "host", "k", "probe", f"if(probe, ts_us + {w}L, ts_us) AS ts_us",
-        *[f"if(probe, _a{m}, _u{m}) AS {m}" for m in folds],
+        *[f"if(probe, {_merge(fn, f'_a{m}', f'_ca{m}')}, {_merge(fn, f'_u{m}', f'_cu{m}')}) AS {m}" for m, fn in kinds.items()],
     )
     if buckets == 1:
         return ends.groupBy("host", "ts_us").agg(*[F.expr(f"{fn}({m}) AS {m}") for m, fn in kinds.items()])
@@ -95,10 +104,10 @@ def trailing_folds(events: DataFrame, window: str | int, folds: Folds, buckets:
 
 
 def rolling(events: DataFrame, window: str | int, folds: Folds, outputs: dict[str, str],
-            buckets: int = BUCKETS) -> DataFrame:
+            buckets: int = BUCKETS, chunks: int = CHUNKS) -> DataFrame:
     """Append reducers of (t - window, t] of the event's host to every event."""
     events = events.filter("host IS NOT NULL AND ts IS NOT NULL")
     named = {f"_r_{m}": fold for m, fold in folds.items()}
-    stats = trailing_folds(events, window, named, buckets).selectExpr("host", "ts_us", *[f"_r_{m} AS {m}" for m in folds])
+    stats = trailing_folds(events, window, named, buckets, chunks).selectExpr("host", "ts_us", *[f"_r_{m} AS {m}" for m in folds])
     reduced = stats.selectExpr("host", "ts_us", *[f"{e} AS {name}" for name, e in outputs.items()])
     return events.join(reduced, ["host", "ts_us"])

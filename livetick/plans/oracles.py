@@ -209,7 +209,7 @@ SELECT pc.host, pc.n AS n_gaps, p50 // 1000 AS p50_ms, p99 // 1000 AS p99_ms,
 SELECT count(DISTINCT ts_us) AS frames, CAST(sum(n_current) AS BIGINT) AS folded,
   (SELECT count(*) FROM ev WHERE ts_us < {END} // {_H} * {_H}) AS raw,
   {_num(f'(sum(n_current) - (SELECT count(*) FROM ev WHERE ts_us < {END} // {_H} * {_H})) * 100.0 / (SELECT count(*) FROM ev WHERE ts_us < {END} // {_H} * {_H})', 'drift_percent')},
-  false AS flagged FROM ticks"""),
+  abs((sum(n_current) - (SELECT count(*) FROM ev WHERE ts_us < {END} // {_H} * {_H})) * 100.0 / (SELECT count(*) FROM ev WHERE ts_us < {END} // {_H} * {_H})) >= 30 AS flagged FROM ticks"""),
         "counter_deltas": _q(slices + """,
 c AS (SELECT host, t, count(*) AS n, sum(requests) AS r, max(cpu) AS g FROM cl GROUP BY host, t),
 e AS (SELECT host, min(t) AS t0, max(t) AS t1 FROM c GROUP BY host)""", f"""

@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from livetick.operators import baseline, ranks, rolling_ranks, smoothing
+from livetick.operators import baseline, ranks, rolling, rolling_ranks, smoothing
 
 RANDOM = random.Random(11)
 
@@ -95,3 +95,14 @@ def test_no_group_of_a_burst_outweighs_the_others(spark):
     events = spark.range(5_000).selectExpr("id AS seq", "timestamp_micros(id) AS ts", "id AS ts_us", "'one' AS host", "double(id) AS cpu", "id AS requests")
     rows = ranks.with_chunk(events, "ts_us", ranks.borders(events, "ts_us", 50))
     assert max(r["count"] for r in rows.groupBy("host", "_chunk").count().collect()) <= 2 * 5_000 / 50
+
+
+@pytest.mark.parametrize("chunks", [2, 9, 256])
+def test_folds_of_a_burst_within_one_bucket(spark, make_events, chunks):
+    rows = [(10_000 + RANDOM.randrange(500), RANDOM.random(), i, "burst") for i in range(300)] + [(RANDOM.randrange(0, 60_000), RANDOM.random(), 1, "b") for _ in range(100)]
+    got = rolling.rolling(make_events(rows), "20s", {"n": ("sum", "1L"), "lo": ("min", "cpu"), "hi": ("max", "cpu"), "s": ("sum", "requests")},
+                          {"n": "n", "lo": "lo", "hi": "hi", "total": "s"}, chunks=chunks)
+    by_seq = {r.seq: (r.n, r.lo, r.hi, r.total) for r in got.collect()}
+    for i, (t, _, _, host) in enumerate(rows):
+        own = [(v, q) for u, v, q, h in rows if h == host and t - 20_000 < u <= t]
+        assert by_seq[i] == (len(own), min(v for v, _ in own), max(v for v, _ in own), sum(q for _, q in own))
