@@ -52,27 +52,31 @@ class _Packed(StatefulProcessor):
         pass
 
 
+#: Ticks whose windows are added up at a time.
+_TICKS = 2_048
+
+
 def windows(buckets: np.ndarray, ticks: np.ndarray, width: int) -> np.ndarray:
     """Moments of the ``width`` buckets that end at each tick; both ascend, no tick's window is empty.
 
-    Each window adds up its own buckets around the mean of one of them: nothing is subtracted from running sums.
+    Each window adds up its own buckets: means around its first one, deviations around its mean. Nothing is subtracted
+    from running sums, and values far from zero keep their last digits.
     """
     out = np.zeros(len(ticks), _BUCKET)
-    if not len(ticks):
-        return out
-    center = buckets["mean"][0]
-    # Stretches without an empty window in between, as dense arrays of a bucket a tick.
-    for part in np.split(np.arange(len(ticks)), np.flatnonzero(np.diff(ticks) > width) + 1):
-        first, last = ticks[part[0]], ticks[part[-1]]
-        own = buckets[(buckets["k"] > first - width) & (buckets["k"] <= last)]
-        dense = np.zeros((3, last - first + width))
-        at = own["k"] - (first - width + 1)
-        gap = own["mean"] - center
-        dense[:, at] = own["n"], own["n"] * gap, own["m2"] + own["n"] * gap * gap
-        n, s1, s2 = np.lib.stride_tricks.sliding_window_view(dense, width, axis=1)[:, ticks[part] - first].sum(axis=2)
-        out["n"][part], out["mean"][part] = n, center + s1 / n
-        out["m2"][part] = np.maximum(0.0, s2 - s1 * s1 / n)
     out["k"] = ticks
+    # Stretches without an empty window in between, as dense arrays of a bucket a tick.
+    for stretch in np.split(np.arange(len(ticks)), np.flatnonzero(np.diff(ticks) > width) + 1):
+        for part in (stretch[at : at + _TICKS] for at in range(0, len(stretch), _TICKS)):
+            first, last = ticks[part[0]], ticks[part[-1]]
+            own = buckets[(buckets["k"] > first - width) & (buckets["k"] <= last)]
+            dense = np.zeros((3, last - first + width))
+            dense[:, own["k"] - (first - width + 1)] = own["n"], own["mean"], own["m2"]
+            n, mean, m2 = np.lib.stride_tricks.sliding_window_view(dense, width, axis=1)[:, ticks[part] - first]
+            total = n.sum(axis=1)
+            center = np.take_along_axis(mean, (n > 0).argmax(axis=1)[:, None], axis=1)
+            middle = center[:, 0] + (n * (mean - center)).sum(axis=1) / total
+            out["n"][part], out["mean"][part] = total, middle
+            out["m2"][part] = (m2 + n * (mean - middle[:, None]) ** 2).sum(axis=1)
     return out
 
 

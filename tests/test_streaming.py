@@ -91,7 +91,7 @@ def test_events_behind_the_watermark_are_rejected(spark, tmp_path, feed):
     assert spark.read.parquet(str(tmp_path / "out")).count() == before
 
 
-@pytest.mark.parametrize("name", ["stream_frames", "stream_resume", "stream_high_filter", "stream_host_ticks", "stream_retention", "stream_late", "stream_global_ticks", "stream_snapshot"])
+@pytest.mark.parametrize("name", ["stream_frames", "stream_resume", "stream_high_filter", "stream_host_ticks", "stream_retention", "stream_global_ticks", "stream_snapshot"])
 def test_registered_streams_read_a_folder_in_several_batches(spark, data_dir, tmp_path, name, monkeypatch):
     from livetick.plans import stream_queries
 
