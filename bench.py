@@ -27,7 +27,7 @@ HEADLINE = [
     "host_ticks", "host_ticks_dense", "host_ticks_lineitem", "stream_host_ticks", "agg_frames", "bands",
     "anomaly_dots", "anomaly_density", "event_baseline", "ema_requests", "ema_trend", "late_filter",
     "fifo_latency", "latency_percentiles", "phase_breakdown", "global_ticks", "grid_fill", "host_rollup",
-    "alert_bars", "frame_roundtrip", "slice_samples", "event_rolling_median", "stream_global_ticks", "stream_retention",
+    "alert_bars", "frame_roundtrip", "slice_samples", "stream_global_ticks",
 ]
 CLOCK_EVENTS = 3_000_000
 # Tables whose rows a query folds into ticks, for the events-per-second figure.
